@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import bpe, dac
-from docassay.llm._common import read_table
+from docassay.llm import bpe, dac, langid, probminhash
+from docassay.llm._common import crc_remainder, read_table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,16 +16,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder("doc_id", 3) == 1)
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_id_output, op10_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
