@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import bpe, dac, langid, probminhash
+from docassay.llm import bpe, dac, langid, pii, probminhash
 from docassay.llm._common import crc_remainder, read_table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(pii.cells(docs)))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder("doc_id", 3) == 1)
     model = langid.fit(docs.where("not held_out"))
@@ -35,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
