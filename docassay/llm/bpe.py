@@ -316,8 +316,13 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     return _run(docs, path, text, keep, digest=True)
 
 
-def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: bool) -> DataFrame:
-    made = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens bigint, ids array<bigint>, decoded string"
+def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with n_tokens, ids (array of int) and decoded_sha256."""
+    return _run(docs, path, text, keep, digest=None)
+
+
+def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: bool | None) -> DataFrame:
+    made = "n_tokens bigint, ids array<int>, decoded_sha256 string" if digest is None else "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens bigint, ids array<bigint>, decoded string"
     chosen = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
@@ -330,12 +335,15 @@ def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: b
                 decoded = decode_batch(ids, offsets, pieces)
                 kept = [batch.column(k) for k in range(len(keep))]
                 n = pa.array(np.diff(offsets))
-                if digest:
+                if digest is not False:
                     raw, text_raw, at = memoryview(ids.astype("<u4")).cast("B"), memoryview(decoded.buffers()[2] or b""), np.frombuffer(decoded.buffers()[1], dtype=np.int64)[decoded.offset :]
-                    made = [[hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)], [hashlib.sha256(text_raw[at[k] : at[k + 1]]).hexdigest() for k in range(len(decoded))]]
-                    columns = [*kept, n, *map(pa.array, made)]
+                    second = pa.array([hashlib.sha256(text_raw[at[k] : at[k + 1]]).hexdigest() for k in range(len(decoded))], pa.string())
+                else:
+                    second = decoded.cast(pa.string())
+                if digest:
+                    first = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)], pa.string())
                 else:
-                    columns = [*kept, n, pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids.astype(np.int64))), decoded.cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("n_tokens", "ids", "decoded"))])
+                    first = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids.astype(np.int32 if digest is None else np.int64)))
+                yield pa.RecordBatch.from_arrays([*kept, n, first, second], names=[*keep, "n_tokens", "ids_sha256" if digest else "ids", "decoded" if digest is False else "decoded_sha256"])
 
     return chosen.mapInArrow(run, f"{kinds}, {made}")

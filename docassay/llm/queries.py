@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import bpe, dac, langid, pii, probminhash
+from docassay.llm import bpe, dac, langid, mixing, pii, probminhash
 from docassay.llm._common import crc_remainder, read_table
 
 
@@ -35,12 +35,21 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(read_table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens that each domain of the labelled table is to have.
+TARGETS = {"high": 0.7, "low": 0.25, "toxic": 0.05}
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(read_table(spark, sf_dir, "labels"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"), labels, TARGETS)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op6_source_mixing, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
