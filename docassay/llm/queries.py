@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import bpe, dac, langid, mixing, pii, probminhash
+from docassay.llm import bpe, dac, langid, mincut, mixing, pii, probminhash
 from docassay.llm._common import crc_remainder, read_table
 
 
@@ -44,12 +44,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), labels, TARGETS)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return mincut.extract(pages, mincut.fit(pages))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op6_source_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op6_source_mixing, op7_html_extraction, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
