@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import bpe, dac, langid, mincut, mixing, pii, probminhash
+from docassay.llm import bpe, dac, hmm, langid, mincut, mixing, pii, probminhash
 from docassay.llm._common import crc_remainder, read_table
 
 
@@ -49,12 +49,17 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(pages, mincut.fit(pages))
 
 
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return hmm.score(docs.select("doc_id", "text", (crc_remainder("doc_id", 7) == 2).alias("held_out")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op6_source_mixing, op7_html_extraction, op10_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_token_id_output, op5_minhash_near_dedup, op6_source_mixing, op7_html_extraction, op8_hmm_scoring, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
