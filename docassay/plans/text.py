@@ -1,0 +1,170 @@
+"""Text layer: fields, redaction, lines, repeated lines, markers, arithmetic, running balances."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docassay.functions import text as T
+from docassay.operators import layout
+from docassay.plans import projections as P
+from docassay.plans.registry import query
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("document_id", F.format_string("doc_%06d", "doc_id"))
+
+
+ID_SQL = "printf('doc_%06d', doc_id) AS document_id"
+
+
+@query(rf"""
+WITH a AS (SELECT {ID_SQL}, list_slice(regexp_extract_all(text, '(?:CNY|RMB|¥)?[ \t\n\f\r]*([0-9][0-9,]*(?:\.[0-9]{{1,2}})?)', 1), 1, 30) AS raw FROM documents)
+SELECT document_id, len(raw) AS amount_count, coalesce(list_sum(list_transform(raw, lambda x: CAST(replace(x, ',', '') AS DOUBLE))), 0) AS amount_sum FROM a
+""")
+def field_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of a text: at most thirty, and their sum."""
+    rows = documents(spark, sf_dir).select("document_id", T.amounts("text", T.AMOUNT_FREE).alias("a"))
+    return rows.select("document_id", F.size("a").cast("bigint").alias("amount_count"), F.aggregate("a", F.lit(0.0), lambda x, y: x + y).alias("amount_sum"))
+
+
+@query(f"""SELECT {ID_SQL}, list_slice(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 12 AND 24), 1, 10) AS account_numbers FROM documents""")
+def field_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 to 24 digits, the first ten."""
+    return documents(spark, sf_dir).select("document_id", T.found("text", T.ACCOUNT_STRICT, 0, 10).alias("account_numbers"))
+
+
+@query(r"""
+WITH f AS (SELECT l_orderkey AS k, l_linenumber AS line, 'Report Date: ' || strftime(l_shipdate, '%Y/%m/%d') || ' No. ' || (20240000000000 + l_orderkey) || '  seen ' || strftime(l_shipdate, '%Y.%m.%d') AS text FROM lineitem)
+SELECT k, line, list_transform(regexp_extract_all(text, '[0-9]{4}[/.][0-9]{2}[/.][0-9]{2}'), lambda d: replace(replace(d, '/', '-'), '.', '-')) AS dates FROM f
+""")
+def field_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of either separator as yyyy-mm-dd, from report lines made of ship dates."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = F.concat(F.lit("Report Date: "), F.date_format("l_shipdate", "yyyy/MM/dd"), F.lit(" No. "), (F.col("l_orderkey") + 20240000000000).cast("string"), F.lit("  seen "), F.date_format("l_shipdate", "yyyy.MM.dd"))
+    return items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), T.iso_dates(line).alias("dates"))
+
+
+@query(rf"""
+WITH r AS (SELECT {ID_SQL}, text AS t FROM documents),
+a AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])([0-9]{{17}}[0-9Xx]|[0-9]{{15}})([^0-9]|$)', '\1{T.HIDDEN_ID}\3', 'g') AS t FROM r),
+b AS (SELECT document_id, regexp_replace(t, '(^|[^0-9A-Za-z])[0-9A-Za-z]{{18}}([^0-9A-Za-z]|$)', '\1{T.HIDDEN_CREDIT}\2', 'g') AS t FROM a),
+b2 AS (SELECT document_id, regexp_replace(t, '(^|[^0-9A-Za-z])[0-9A-Za-z]{{18}}([^0-9A-Za-z]|$)', '\1{T.HIDDEN_CREDIT}\2', 'g') AS t FROM b),
+c AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])[0-9]{{12,24}}([^0-9]|$)', '\1{T.HIDDEN_LONG}\2', 'g') AS t FROM b2),
+d AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])1[3-9][0-9]{{9}}([^0-9]|$)', '\1{T.HIDDEN_PHONE}\2', 'g') AS t FROM c),
+e AS (SELECT document_id, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '{T.HIDDEN_EMAIL}', 'g') AS t FROM d)
+SELECT document_id, sha256(t) AS redacted_sha256, contains(t, '{T.HIDDEN_EMAIL}') AS hid_email, contains(t, '{T.HIDDEN_LONG}') AS hid_number FROM e
+""")
+def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The redaction chain over whole texts."""
+    rows = documents(spark, sf_dir).select("document_id", T.redact("text").alias("t"))
+    return rows.select("document_id", F.sha2("t", 256).alias("redacted_sha256"), F.contains("t", F.lit(T.HIDDEN_EMAIL)).alias("hid_email"), F.contains("t", F.lit(T.HIDDEN_LONG)).alias("hid_number"))
+
+
+@query(f"WITH {P.LINES_SQL} SELECT * FROM line_ratio")
+def dup_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = documents(spark, sf_dir).select("document_id", F.explode(F.split("text", "\n")).alias("text"))
+    return layout.repeated_line_ratio(lines)
+
+
+@query(rf"""
+WITH w AS (SELECT {ID_SQL}, list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '') AS w FROM documents)
+SELECT document_id, len(w) AS words, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS distinct_words, len(w) >= 20 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) < 0.28 AS repetitive FROM w
+""")
+def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
+    rows = documents(spark, sf_dir).select("document_id", F.size(words).cast("bigint").alias("words"), F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).cast("bigint").alias("distinct_words"))
+    return rows.withColumn("repetitive", (F.col("words") >= 20) & (F.col("distinct_words") / F.greatest("words", F.lit(1)) < 0.28))
+
+
+WORDS = r"""
+SELECT document_id, CAST(floor(pos / 400) AS INT) + 1 AS page, pos AS seq, word AS text, CAST(pos % 12 AS DOUBLE) * 40 AS x_min, CAST(pos % 12 AS DOUBLE) * 40 + 36 AS x_max,
+  CAST(floor((pos % 400) / 12) AS DOUBLE) * 6 + CASE WHEN pos % 2 = 0 THEN 0.4 ELSE -0.4 END AS y_min, CAST(floor((pos % 400) / 12) AS DOUBLE) * 6 + 5 AS y_max
+"""
+WORDS_SQL = f"words AS ({WORDS} FROM (SELECT {ID_SQL}, unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''), 1) - 1 AS pos FROM documents) x)"
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word boxes: twelve words a line, four hundred a page, lines a little uneven."""
+    rows = documents(spark, sf_dir).select("document_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("pos", "word"))
+    return spark.sql(f"{WORDS} FROM {{w}}", w=rows)
+
+
+LINES_OF_WORDS = """lines AS (
+  SELECT document_id, page, CAST(round_even(y_min / 6, 0) AS INTEGER) AS band, string_agg(text, ' ' ORDER BY x_min, seq) AS text, min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max) AS y_max
+  FROM words GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {WORDS_SQL}, {LINES_OF_WORDS} SELECT * FROM lines")
+def line_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines_of(words(spark, sf_dir))
+
+
+@query(f"""
+WITH {WORDS_SQL}, l AS (SELECT document_id, page, CAST(round_even(y_min / 18, 0) AS INTEGER) AS line, min(y_min) AS y, min(x_min) AS x, string_agg(text, ' ' ORDER BY x_min, seq) AS text FROM words GROUP BY 1, 2, 3),
+p AS (SELECT document_id, page, string_agg(text, chr(10) ORDER BY y, x) AS text FROM l GROUP BY 1, 2),
+a AS (SELECT document_id, unnest(range(1, max(page) + 2)) AS page FROM words GROUP BY 1)
+SELECT document_id, sha256(string_agg(coalesce(text, ''), chr(10) || chr(12) || chr(10) ORDER BY page)) AS text_sha256 FROM a LEFT JOIN p USING (document_id, page) GROUP BY 1
+""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts with one blank page after the last."""
+    w = words(spark, sf_dir)
+    boxes = w.select("document_id", "page", "seq", "text", F.col("x_min").alias("x"), F.col("y_min").alias("y"), F.lit("").alias("line_num"), F.lit("").alias("block_num"), F.lit("").alias("par_num"))
+    pages = w.groupBy("document_id").agg((F.max("page") + 1).alias("page_count"))
+    return layout.page_text(boxes, pages).select("document_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""
+WITH {WORDS_SQL}, b AS (SELECT document_id, lower(string_agg(text, ' ' ORDER BY seq)) AS t FROM words GROUP BY 1)
+SELECT document_id, CASE WHEN contains(t, 'secret') OR contains(t, 'token') OR contains(t, 'license') THEN 1 ELSE 0 END AS marker_flag,
+  array_to_string(list_filter([CASE WHEN contains(t, 'license') THEN 'license' END, CASE WHEN contains(t, 'secret') THEN 'secret' END, CASE WHEN contains(t, 'token') THEN 'token' END], lambda x: x IS NOT NULL), ';') AS marker_tokens FROM b
+""")
+def marker_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marker search over the words put together, with tokens that these texts have."""
+    return layout.marker_flags(words(spark, sf_dir), ("token", "secret", "license"))
+
+
+@query(f"""WITH i AS ({P.oracle(P.INVOICE)}) SELECT l_orderkey, l_linenumber, abs(amount + tax - total) > 0.05 AS labelled_mismatch,
+  NOT (abs(amount + tax - total) <= greatest(0.1, total * 0.002E0) OR abs(amount + total - tax) <= greatest(0.1, tax * 0.002E0) OR abs(tax + total - amount) <= greatest(0.1, amount * 0.002E0)) AS any_order_mismatch FROM i""")
+def invoice_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arithmetic of an invoice: by label within 0.05, and in any order within 0.1 or 0.2 %."""
+    a, t, z = F.col("amount"), F.col("tax"), F.col("total")
+    adds = lambda x, y, s: F.abs(x + y - s) <= F.greatest(F.lit(0.1), s * 0.002)
+    return P.spark_sql(spark, sf_dir, P.INVOICE).select("l_orderkey", "l_linenumber", (F.abs(a + t - z) > 0.05).alias("labelled_mismatch"), (~(adds(a, t, z) | adds(a, z, t) | adds(t, z, a))).alias("any_order_mismatch"))
+
+
+@query(f"""WITH b AS ({P.oracle(P.BANK)}), l AS (SELECT *, lag(balance) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM b)
+SELECT user_id, count(*) AS balance_rows, count(*) FILTER (flow IS NOT NULL AND abs(before + flow - balance) > 0.05) AS balance_breaks FROM l GROUP BY 1""")
+def bank_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.balance_breaks(P.spark_sql(spark, sf_dir, P.BANK), "user_id", ["ts", "event_id"])
+
+
+@query(r"""
+SELECT c_custkey, upper(substr(sha256('cust' || c_custkey), 1, 10)) AS short_id, regexp_replace(c_name, '[^A-Za-z0-9_-]', '_', 'g') AS safe_name,
+  lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS letters_key, split_part('a/b/' || c_name || '.pdf', '/', 3) AS base_name, split_part('boom: ' || c_mktsegment, ':', 1) AS error_prefix
+FROM customer
+""")
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", F.substring(T.public_id(F.concat(F.lit("cust"), F.col("c_custkey").cast("string"))), 4, 10).alias("short_id"), T.safe_name("c_name").alias("safe_name"), T.letters_key("c_name").alias("letters_key"), T.basename(F.concat(F.lit("a/b/"), F.col("c_name"), F.lit(".pdf"))).alias("base_name"), F.split_part(F.concat(F.lit("boom: "), F.col("c_mktsegment")), F.lit(":"), F.lit(1)).alias("error_prefix"))
+
+
+FREE_TEXT = "SELECT printf('doc_%06d', c_custkey) AS document_id, CASE c_custkey % 6 WHEN 0 THEN 'invoice' WHEN 1 THEN 'contract' WHEN 2 THEN 'bank_page' WHEN 3 THEN 'credit_report' WHEN 4 THEN 'receipt' ELSE 'other' END AS doc_type, CASE WHEN c_custkey % 4 = 0 THEN concat('Party A ', c_name) ELSE concat('Total ', CAST(c_custkey AS STRING), ' Tax 5 Amount ', CAST(c_custkey - CASE WHEN c_custkey % 8 = 3 THEN 0 ELSE 5 END AS STRING)) END AS text FROM {customer}"
+
+
+@query(f"""
+WITH t AS ({FREE_TEXT.replace("{customer}", "customer")}), f AS (SELECT *, list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS a, len(regexp_extract_all(text, '(?:^|[^-_A-Za-z0-9])[-_A-Za-z0-9]{{6,24}}(?:[^-_A-Za-z0-9]|$)')) AS inv FROM t),
+s AS (SELECT document_id, doc_type, CASE doc_type
+  WHEN 'invoice' THEN CASE WHEN len(a) >= 3 THEN CASE WHEN abs(a[1] + a[2] - a[3]) <= greatest(0.1, a[3] * 0.002E0) OR abs(a[1] + a[3] - a[2]) <= greatest(0.1, a[2] * 0.002E0) OR abs(a[2] + a[3] - a[1]) <= greatest(0.1, a[1] * 0.002E0) THEN 0 ELSE 25 END ELSE 8 END + CASE WHEN inv = 0 THEN 8 ELSE 0 END + 6
+  WHEN 'contract' THEN CASE WHEN len(a) = 0 THEN 8 ELSE 0 END + 8 + CASE WHEN contains(text, 'Party A') THEN 0 ELSE 6 END + 6
+  WHEN 'bank_page' THEN 8 + CASE WHEN len(a) < 3 THEN 8 ELSE 0 END + 6
+  WHEN 'credit_report' THEN 0 WHEN 'receipt' THEN CASE WHEN len(a) = 0 THEN 10 ELSE 0 END + 8 + 6
+  ELSE CASE WHEN len(a) = 0 THEN 8 ELSE 0 END END AS x FROM f)
+SELECT document_id, doc_type, CAST(x AS DOUBLE) AS business_score, CASE WHEN x >= 60 THEN 'high' WHEN x >= 25 THEN 'medium' WHEN x >= 15 THEN 'low' ELSE 'clean' END AS business_level FROM s
+""")
+def business_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free-text detector over made-up lines."""
+    from docassay.operators.integrated import detect_business
+
+    rows = spark.sql(FREE_TEXT, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return detect_business(rows).select("document_id", "doc_type", "business_score", "business_level")
