@@ -51,7 +51,8 @@ a AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])([0-9]{{17}}[0-9Xx]|[0-9]
 b AS (SELECT document_id, regexp_replace(t, '(^|[^0-9A-Za-z])[0-9A-Za-z]{{18}}([^0-9A-Za-z]|$)', '\1{T.HIDDEN_CREDIT}\2', 'g') AS t FROM a),
 b2 AS (SELECT document_id, regexp_replace(t, '(^|[^0-9A-Za-z])[0-9A-Za-z]{{18}}([^0-9A-Za-z]|$)', '\1{T.HIDDEN_CREDIT}\2', 'g') AS t FROM b),
 c AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])[0-9]{{12,24}}([^0-9]|$)', '\1{T.HIDDEN_LONG}\2', 'g') AS t FROM b2),
-d AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])1[3-9][0-9]{{9}}([^0-9]|$)', '\1{T.HIDDEN_PHONE}\2', 'g') AS t FROM c),
+c2 AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])[0-9]{{12,24}}([^0-9]|$)', '\1{T.HIDDEN_LONG}\2', 'g') AS t FROM c),
+d AS (SELECT document_id, regexp_replace(t, '(^|[^0-9])1[3-9][0-9]{{9}}([^0-9]|$)', '\1{T.HIDDEN_PHONE}\2', 'g') AS t FROM c2),
 e AS (SELECT document_id, regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '{T.HIDDEN_EMAIL}', 'g') AS t FROM d)
 SELECT document_id, sha256(t) AS redacted_sha256, contains(t, '{T.HIDDEN_EMAIL}') AS hid_email, contains(t, '{T.HIDDEN_LONG}') AS hid_number FROM e
 """)
