@@ -4,8 +4,8 @@ Vectors become integers, floor(SCALE * x). Every task builds a cover tree over i
 each bounded chunk of queries: a node's children are a net of its points whose covering radius shrinks from level to
 level, and every node keeps the measured radius of what it covers. A pair of nodes is visited unless the bound
 cq . cx + |cq| rx + |cx| rq + rq rx is below the worst kth score of the query group; pairs of leaves are scored at once,
-in floating point where products are exact and in whole numbers of any size where they might not be. Tasks' best rows
-are ranked by Spark.
+in floating point where products are exact, else in whole numbers of any size that are cut to 64 bits at the end. Tasks'
+best rows are ranked by Spark.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without
 vec_id; vectors of different length are not compared; a query is not its own candidate (nor is a row that repeats its
