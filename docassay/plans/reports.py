@@ -95,7 +95,9 @@ def public_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.public_rows(results(spark, sf_dir))
 
 
-@query(f"WITH {PUBLIC_CTE} SELECT * FROM d WHERE report_variant = 'enterprise' AND contains(lower(document_id || ' ' || report_variant || ' ' || source_format || ' ' || coalesce(primary_finding, '')), 'original') ORDER BY CASE risk_conclusion WHEN 'fail' THEN 0 WHEN 'possible' THEN 1 WHEN 'undetermined' THEN 2 ELSE 3 END, fail DESC, possible DESC, document_id LIMIT 10 OFFSET 10")
+@query(f"""WITH {PUBLIC_CTE}, f AS (SELECT *, row_number() OVER (ORDER BY CASE risk_conclusion WHEN 'fail' THEN 0 WHEN 'possible' THEN 1 WHEN 'undetermined' THEN 2 ELSE 3 END, fail DESC, possible DESC, document_id) AS place, count(*) OVER () AS total
+  FROM d WHERE report_variant = 'enterprise' AND contains(lower(document_id || ' ' || report_variant || ' ' || source_format || ' ' || coalesce(primary_finding, '')), 'original'))
+SELECT * EXCLUDE (place, total) FROM f WHERE floor((place - 1) / 10) + 1 = least(2, ceil(total / 10))""")
 def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of ten of a filtered list."""
     rows = serving.filtered(serving.public_rows(results(spark, sf_dir)), search=" Original ", conclusion="no such", report_variant="enterprise")
