@@ -38,10 +38,11 @@ def matrix(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.n
     return out
 
 
-def query_chunks(queries: DataFrame) -> list[pa.Table]:
-    """The queries in chunks of some CHUNK rows, by hash, one after the other; a chunk is what is broadcast at a time."""
+def query_chunks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries in chunks of some CHUNK rows, by hash, one after the other; the driver holds one chunk at a time."""
     n = -(-queries.count() // CHUNK)
-    return [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).toArrow() for i in range(n)]
+    for i in range(n):
+        yield queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).toArrow()
 
 
 def row_blocks(batches, rows: int = ROWS) -> Iterator[pa.Table]:
