@@ -135,3 +135,109 @@ def status_counts(results: DataFrame, key: str = "source_id") -> DataFrame:
     own = results.where(F.col("rule_id").isin(*RULES)).groupBy(key).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
     total = sum((F.col(s) for s in STATUSES), F.lit(0))
     return own.withColumn("manual", F.col("manual") + F.greatest(F.lit(0), F.lit(len(RULES)) - total)).withColumn("overall_status", overall(F.col("fail"), F.col("possible"), F.col("manual")))
+
+
+# Headings that end the personal section, and labels that end a value.
+AFTER_PERSONAL = ("信息概要", "配偶信息", "共同借款人信息", "其他人员信息")
+LABELS = ("企业名称", "中征码", "统一社会信用代码", "组织机构代码", "查询机构", "报告时间")
+NOT_NAMES = ("信息概要", "身份标识", "企业信用报告")
+ALLOWED_FONTS = {"helvetica": r"(?i)\bType\s+1\s+WinAnsi\s+no\s+no\s+no\b", "sourcehanserifcn-regular": r"(?i)\bCID\s+TrueType\s+Identity-H\s+yes\s+yes\s+yes\b"}
+
+
+def original_source(native_chars: Column, pages: Column, large_images: Column) -> Column:
+    """Native text, pages, and page images on less than four fifths of them."""
+    return F.coalesce((native_chars >= 300) & (pages > 0) & (large_images < F.ceil(pages * 0.8)), F.lit(False))
+
+
+def fonts_rule(listing: Column) -> Column:
+    """P1D: exactly the allowed fonts, each with its attributes; subset prefixes do not count."""
+    lines = F.filter(F.transform(F.split(listing, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike("(?i)^name") & ~s.rlike("^[- ]+$"))
+    name = lambda s: F.lower(F.regexp_replace(F.split(s, r"\s+")[0], "(?i)^[A-Z]{6}\\+", ""))
+    same = F.array_sort(F.array_distinct(F.transform(lines, name))) == F.array(*map(F.lit, sorted(ALLOWED_FONTS)))
+    for font, attributes in ALLOWED_FONTS.items():
+        same = same & F.exists(lines, _has(name, font, attributes))
+    return F.when(listing.isNull() | (F.trim(listing) == ""), "manual").when(same, "pass").otherwise("possible")
+
+
+def _has(name, font: str, attributes: str):
+    return lambda s: (name(s) == font) & s.rlike(attributes)
+
+
+def personal_section(text: Column) -> Column:
+    """Lines from the heading of personal data, on one of the first six pages, to the next heading or a hundred lines on."""
+
+    def of_page(page: Column) -> Column:
+        lines = F.split(page, "\n")
+        start = F.array_position(F.transform(lines, lambda s: F.contains(compact(s), F.lit("个人基本信息"))), True)
+        scoped = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), 100)
+
+        def ends(s: Column, i: Column) -> Column:
+            hit = F.lit(False)
+            for h in AFTER_PERSONAL:
+                hit = hit | F.contains(compact(s), F.lit(h))
+            return hit & (i > 1)
+
+        stop = F.array_position(F.transform(scoped, ends), True)
+        cut = F.when(stop > 0, F.slice(scoped, 1, (stop - 1).cast("int"))).otherwise(scoped)
+        return F.when(start > 0, cut)
+
+    found = F.filter(F.transform(F.slice(pages(half_width(text)), 1, 6), of_page), lambda x: x.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
+
+
+def after_label(lines: Column, label: str, ahead: int = 3) -> Column:
+    """What follows a label on its line, or the first of the next lines that is not blank; one value a labelled line."""
+
+    def value(s: Column, i: Column) -> Column:
+        tail = F.regexp_extract(s, label + r"\s*[:：]?\s*(.*)$", 1)
+        following = F.get(F.filter(F.slice(lines, i + 2, ahead), lambda x: F.trim(x) != ""), F.lit(0))
+        return F.when(s.rlike(label), F.coalesce(F.nullif(F.trim(tail), F.lit("")), following, F.lit("")))
+
+    return F.filter(F.transform(lines, value), lambda v: v.isNotNull())
+
+
+def personal_values(section: Column) -> tuple[Column, Column]:
+    """(identity numbers, dates of birth as yyyy-mm-dd) named in the personal section, each once."""
+    ids = F.transform(after_label(section, BOUNDARY + "(?:证件号码|身份证号码)"), lambda v: F.regexp_extract_all(compact(v), F.lit(r"(?<!\d)(\d{17}[\dXx]|\d{15})(?!\d)"), F.lit(1)))
+    date = r"((?:19|20)\d{2})[-/.年]?(\d{1,2})[-/.月]?(\d{1,2})"
+    part = lambda v, k: F.regexp_extract(v, date, k)
+    births = F.transform(after_label(section, BOUNDARY + "出生(?:日期|年月日)"), lambda v: F.when(v.rlike(date), F.concat_ws("-", part(v, 1), F.lpad(part(v, 2), 2, "0"), F.lpad(part(v, 3), 2, "0"))))
+    return F.array_distinct(F.flatten(ids)), F.array_distinct(F.array_compact(births))
+
+
+def identity_sections(text: Column) -> tuple[Column, Column]:
+    """Lines of the cover, and of the first page from the second to the eighth with an identity heading, up to thirty that are not blank."""
+    every = pages(half_width(text))
+
+    def of_page(page: Column) -> Column:
+        lines = F.split(page, "\n")
+        heads = F.transform(F.slice(lines, 1, 60), lambda s: F.regexp_replace(compact(s), "^[:：|｜]+|[:：|｜]+$", "") == "身份标识")
+        start = F.array_position(heads, True)
+        return F.when(start > 0, F.slice(F.filter(F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), 1_000_000), lambda s: F.trim(s) != ""), 1, 30))
+
+    found = F.filter(F.transform(F.slice(every, 2, 7), of_page), lambda x: x.isNotNull())
+    return F.split(cover(half_width(text)), "\n"), F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
+
+
+def identity_values(lines: Column, label: str) -> Column:
+    """Valid values right after an exact label: a name, a 16-digit code or an 18-character code, by the label; each once."""
+    others = "|".join(LABELS)
+    known = rf"^\s*(?:{others})\s*:?[ \t]*"
+
+    def valid(raw: Column) -> Column:
+        x = F.upper(F.regexp_replace(compact(F.split(raw, others, 2)[0]), "^[:：|｜]+|[:：|｜]+$", ""))
+        ok = {"中征码": x.rlike(r"^\d{16}$"), "统一社会信用代码": x.rlike("^[0-9A-Z]{18}$")}.get(label, F.char_length(x).between(2, 80) & x.rlike("[㐀-鿿]") & ~x.isin(*NOT_NAMES))
+        return F.when(ok, x)
+
+    def value(s: Column, i: Column) -> Column:
+        own = valid(F.regexp_extract(s, rf"^\s*{label}\s*:?[ \t]*(.*)$", 1))
+        following = F.get(F.filter(F.slice(lines, i + 2, 4), lambda x: F.trim(x) != ""), F.lit(0))
+        return F.when(s.rlike(rf"^\s*{label}"), F.coalesce(own, F.when(~following.rlike(known), valid(F.trim(following)))))
+
+    return F.array_distinct(F.array_compact(F.transform(lines, value)))
+
+
+def enterprise_identity(text: Column, native: Column) -> Column:
+    """C2 of an enterprise report: name and both codes on the cover and in the identity section."""
+    first, second = identity_sections(text)
+    return identity_rule([(identity_values(first, x), identity_values(second, x)) for x in LABELS[:3]], native)
