@@ -55,11 +55,11 @@ s AS (SELECT *, greatest(0, least(1, 0.20E0 * greatest(0, 1 - abs(ln(greatest(as
 k AS (SELECT *, CASE WHEN dense THEN 'dense_square_pattern' WHEN mid < 0.22 AND saturation >= 0.12 AND area <= 0.03 THEN 'header_emblem_pattern' WHEN NOT square THEN 'elongated_component' WHEN tiny AND NOT color THEN 'tiny_fragment'
   WHEN color OR (ring >= 0.085 AND coverage >= 0.70 AND uniformity >= 0.68 AND hollow <= 0.45 AND ink <= 0.22 AND area >= 0.0035) OR (saturation <= 0.12 AND ring >= 0.085 AND coverage >= 0.78 AND uniformity >= 0.42 AND area BETWEEN 0.0032 AND 0.055 AND hollow <= 0.40 AND ink <= 0.22) THEN 'annular_stamp_geometry'
   WHEN bottom THEN 'bottom_stamp_geometry' ELSE 'insufficient_stamp_geometry' END AS reason FROM s)
-SELECT document_id, semantic_score, reason, CASE WHEN reason IN ('annular_stamp_geometry', 'bottom_stamp_geometry') THEN 'seal' ELSE 'unknown' END AS seal_class,
+SELECT document_id, round_even(semantic_score, 9) AS semantic_score, reason, CASE WHEN reason IN ('annular_stamp_geometry', 'bottom_stamp_geometry') THEN 'seal' ELSE 'unknown' END AS seal_class,
   reason IN ('annular_stamp_geometry', 'bottom_stamp_geometry') OR (reason = 'insufficient_stamp_geometry' AND semantic_score >= 0.42) AS should_ocr FROM k
 """)
 def candidate_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.semantics(P.spark_sql(spark, sf_dir, CANDIDATES)).select("document_id", "semantic_score", "reason", "seal_class", "should_ocr")
+    return geometry.semantics(P.spark_sql(spark, sf_dir, CANDIDATES)).select("document_id", F.bround("semantic_score", 9).alias("semantic_score"), "reason", "seal_class", "should_ocr")
 
 
 @query()
