@@ -31,7 +31,9 @@ SHAPES = 5
 EPOCHS = 150
 RIDGE = 1e-4
 ROUNDS = 40
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5
+#: Weight of the rates' moves against the misfit: it keeps rates bounded where no document can supply a domain.
+SLACK = 1e-5
 
 
 def featurise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,23 +121,23 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: l
     return chosen.mapInArrow(run, schema)
 
 
-def rate_of(posterior: Column, moved: list[float]) -> Column:
-    """A document's rate: one plus the sum of the rounds' moves along its posterior, projected to what is not negative."""
+def rate_of(tokens: Column, posterior: Column, moved: list[float]) -> Column:
+    """A document's rate: one for a document without tokens, else one plus the sum of the rounds' moves along its posterior, projected to what is not negative."""
     dot = F.lit(1.0)
     for k, m in enumerate(moved):
         dot = dot + F.get(posterior, F.lit(k)) * F.lit(float(m))
-    return F.greatest(F.lit(0.0), dot)
+    return F.when(tokens == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), dot))
 
 
 def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior") -> tuple[list[float], float]:
-    """(sum of the moves, relative residual) that bring the domains' expected tokens to shares of the total; rows are read once a round."""
+    """(sum of the moves, relative slope left) that bring the domains' expected tokens to shares of the total; rows are read once a round."""
     d = len(targets)
     p, t = F.col(posterior), F.col(tokens).cast("double")
     pairs = [(j, k) for j in range(d) for k in range(j, d)]
     share = np.array(targets) / sum(targets)
     best, lowest, least, moved, step = [0.0] * d, np.inf, np.inf, np.zeros(d), np.zeros(d)
     for _ in range(ROUNDS):
-        held = rows.select(rate_of(p, moved.tolist()).alias("r"), t.alias("t"), *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(d)))
+        held = rows.select(rate_of(t, p, moved.tolist()).alias("r"), t.alias("t"), *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(d)))
         free = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
         now = held.agg(F.sum("t").alias("t"), (F.sum(F.col("t") * F.col("r") * F.col("r")) / 2).alias("half"), *(F.sum(F.col("r") * F.col("t") * F.col(f"p{k}")).alias(f"s{k}") for k in range(d)), *(F.sum(free * F.col(f"p{j}") * F.col(f"p{k}")).alias(f"h{j}_{k}") for j, k in pairs)).first()
         total = float(now["t"] or 0)
@@ -143,8 +145,10 @@ def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", poste
             return [0.0] * d, 0.0
         goal = share * total
         short = goal - np.array([float(now[f"s{k}"]) for k in range(d)])
-        left = float(np.abs(short).sum() / total)
-        value = float(now["half"]) - float(moved @ goal)  # its gradient is the shortfall; convex
+        slope = short - SLACK * total * moved
+        left = float(np.abs(slope).sum() / total)
+        soft = SLACK * total
+        value = float(now["half"]) - float(moved @ goal) + soft / 2 * float(moved @ moved)  # convex
         if value > lowest:  # too far: half the step from the best point
             step = step / 2
             if np.abs(step).max() < 1e-9:
@@ -157,7 +161,7 @@ def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", poste
         h = np.zeros((d, d))
         for j, k in pairs:
             h[j, k] = h[k, j] = now[f"h{j}_{k}"]
-        step = np.linalg.solve(h + np.eye(d) * (1e-7 * np.trace(h) + 1e-9), short)
+        step = np.linalg.solve(h + np.eye(d) * soft, slope)
         moved = moved + step
     return best, least
 
@@ -172,7 +176,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFr
     domains = sorted(targets)
     rows = materialise(posteriors(docs, fit(docs, labels, domains), domains), "posteriors")
     moved, _ = solve(rows, [targets[d] for d in domains])
-    rated = rows.withColumn("rate", rate_of(F.col("posterior"), moved))
+    rated = rows.withColumn("rate", rate_of(F.col("n_tokens"), F.col("posterior"), moved))
     return rated.select("doc_id", "n_tokens", *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies_of(F.col("rate"), "doc_id").alias("copies"))
 
 
@@ -186,7 +190,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> D
     rows = materialise(posteriors(docs, model, domains, keep=()), "posteriors")
     moved, _ = solve(rows, [targets[d] for d in domains])
     again = posteriors(docs, model, domains, keep=tuple(docs.columns), prefix=prefix)
-    rate = rate_of(F.col(prefix + "posterior"), moved)
+    rate = rate_of(F.col(prefix + "n_tokens"), F.col(prefix + "posterior"), moved)
     dealt = again.withColumn(prefix + "n", copies_of(rate, "doc_id")).where(F.col(prefix + "n") > 0)
     return dealt.withColumn(prefix + "k", F.explode(F.sequence(F.lit(1), F.col(prefix + "n")))).select(*docs.columns)
 

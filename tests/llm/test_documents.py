@@ -263,6 +263,7 @@ def test_rates_match_targets(spark, documents, empty):
     labels = mixing.quality_domains(spark.read.parquet(f"{SF}/labels.parquet"))
     out = mixing.mix(documents, labels, TARGETS).toPandas()
     assert (out.rate >= 0).all() and (out.copies >= np.floor(out.rate)).all() and (out.copies <= np.floor(out.rate) + 1).all()
+    assert (out.rate[out.n_tokens == 0] == 1).all() and (out.n_tokens == 0).any()
     total = out.n_tokens.sum()
     for d, share in TARGETS.items():
         assert abs((out.rate * out.n_tokens * out[f"p_{d}"]).sum() / total - share) < 0.01
