@@ -2,7 +2,7 @@
 
 Tokens are the words of the text between ASCII white space, A to Z lower-cased, then one end token. The counts of all
 words of all training rows are a distributed table keyed by a 64-bit hash; every token of every row is looked up in it:
-the FREQUENT commonest words in a broadcast of that size, all others by a join, after each row has summed up its own.
+the commonest words, FREQUENT at most, in a broadcast, all others by a join, after each row has summed up its own.
 
 The HMM emits classes: each of the OWN commonest words is a class, the end is one, other words share one of TAILS
 classes by their last letters; within such a class a word has its add-one share. Baum-Welch runs over all training rows:
@@ -31,6 +31,8 @@ OWN, TAILS = 4096, 512
 CLASSES = OWN + TAILS + 1
 END = CLASSES - 1
 FREQUENT = 1 << 18
+#: Bins to a doubling of the count, where the commonest words are told from the others.
+BINS = 64
 WINDOW = 64
 ROUNDS = 3
 #: Distinct words that a task holds before it hands its counts on.
@@ -83,7 +85,16 @@ class Vocabulary:
     """The commonest words' counts, those that are classes, and the totals."""
 
     def __init__(self, counts: DataFrame, ends: int):
-        top = counts.orderBy(F.desc("c"), "hash").limit(FREQUENT).select("hash", "c", "tail").toArrow()  # FREQUENT rows
+        # Counts by a fine logarithmic bin say from which count on there are FREQUENT words at most; no task sorts them all.
+        size = F.floor(F.log2(F.col("c").cast("double")) * BINS).cast("int")
+        least, room = None, FREQUENT
+        for r in sorted(counts.groupBy(size.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bin"]):  # 64 * BINS rows at most
+            room -= r["n"]
+            if room < 0:
+                break
+            least = r["bin"]
+        chosen = counts.where(size >= least) if least is not None else counts.limit(0)
+        top = chosen.select("hash", "c", "tail").toArrow().sort_by([("c", "descending"), ("hash", "ascending")])  # FREQUENT rows at most
         h, c = top["hash"].to_numpy().view(U64), top["c"].to_numpy()
         order = np.argsort(h)
         self.hash, self.count = h[order], c[order]
