@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_chars:
 
     A partition of the range over doc_id starts another file after file_chars of text, so a task holds no more than that.
     """
-    ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         files, base = fs.FileSystem.from_uri(folder)
