@@ -5,9 +5,10 @@ words of all training rows are a distributed table keyed by a 64-bit hash; every
 the commonest words, FREQUENT at most, in a broadcast, all others by a join, after each row has summed up its own.
 
 The HMM emits classes: each of the OWN commonest words is a class, the end is one, other words share one of TAILS
-classes by their last letters; within such a class a word has its add-one share. Baum-Welch runs over all training rows:
-tasks add up expected counts over windows of WINDOW tokens, Spark sums them across partitions, the driver holds one
-STATES x classes model. Scoring runs the scaled forward recursion over whole rows, so a row's score is exact under the
+classes by their last letters; within such a class a word has its add-one share. Baum-Welch runs over all training rows
+from a fixed random start, until a round raises the summed log-likelihood by less than TOLERANCE of it: tasks add up
+expected counts over windows of WINDOW tokens, Spark sums them across partitions, the driver holds one STATES x classes
+model. MOST_ROUNDS only guards against a run without end; a model that meets it is reported by a warning. Scoring runs the scaled forward recursion over whole rows, so a row's score is exact under the
 model: log10 of the probability of its class sequence and of its words given their classes.
 
 Defined results: null and empty texts are the end token alone. A table without training rows gives every token an equal
@@ -16,6 +17,7 @@ share. Rows that repeat a doc_id are scored one by one, and all of them train. E
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -34,7 +36,11 @@ FREQUENT = 1 << 18
 #: Bins to a doubling of the count, where the commonest words are told from the others.
 BINS = 64
 WINDOW = 64
-ROUNDS = 3
+#: Windows that are walked at once.
+WINDOWS = 2048
+#: Training ends when a round's relative gain in log-likelihood is below this.
+TOLERANCE = 1e-4
+MOST_ROUNDS = 500
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 1_000_000
 
@@ -178,6 +184,7 @@ class Model:
 
     def __init__(self, start: np.ndarray, later: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.later, self.move, self.emit = start, later, move, emit
+        self.rounds = 0
 
     @classmethod
     def initial(cls, shares: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
@@ -190,13 +197,13 @@ class Model:
 
 def expected(model: Model, seqs: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts (starts, later starts, moves, emissions) and log-likelihood over windows of the sequences."""
-    k = len(model.start)
+    k, classes = len(model.start), len(model.emit)
     starts, later = np.zeros(k), np.zeros(k)
-    moves, emits, total = np.zeros((k, k)), np.zeros_like(model.emit), 0.0
+    moves, emits, total = np.zeros((k, k)), np.zeros((k, classes)), 0.0
     flat = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
     n = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs))
     if not len(flat):
-        return starts, later, moves, emits, total
+        return starts, later, moves, emits.T, total
     per = -(-n // window)
     first = np.repeat(np.cumsum(n) - n, per)
     inner = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
@@ -204,37 +211,39 @@ def expected(model: Model, seqs: list[np.ndarray], window: int = WINDOW) -> tupl
     size = np.minimum(window, np.repeat(n, per) - inner * window)
     order = np.argsort(-size, kind="stable")
     begin, size, inner = begin[order], size[order], inner[order]
-    for a in range(0, len(begin), 8192):
-        b0, s0, i0 = begin[a : a + 8192], size[a : a + 8192], inner[a : a + 8192]
+    emit, onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    for a in range(0, len(begin), WINDOWS):  # arrays are states x windows
+        b0, s0, i0 = begin[a : a + WINDOWS], size[a : a + WINDOWS], inner[a : a + WINDOWS]
         active = [int(np.searchsorted(-s0, -t, side="left")) for t in range(int(s0[0]))]  # windows longer than t
-        alphas, scales, outs = [], [], []
+        alphas, scales, outs, gammas = [], [], [], []
         for t, m in enumerate(active):
             c = flat[b0[:m] + t]
-            e = model.emit[c]
-            x = (np.where((i0 == 0)[:, None], model.start, model.later) if t == 0 else alphas[-1][:m] @ model.move) * e
-            s = x.sum(axis=1)
-            alphas.append(x / s[:, None])
+            e = emit.take(c, axis=1)
+            x = (np.where(i0 == 0, model.start[:, None], model.later[:, None]) if t == 0 else onward @ alphas[-1][:, :m]) * e
+            s = x.sum(axis=0)
+            alphas.append(x / s)
             scales.append(s)
             outs.append((c, e))
-            total += float(np.log(s).sum())
-        beta = np.empty((0, k))
+        total += float(np.log(np.concatenate(scales)).sum())
+        beta = np.empty((k, 0))
         for t in range(len(active) - 1, -1, -1):
             m = active[t]
-            full = np.ones((m, k))
-            full[: len(beta)] = beta
+            full = np.ones((k, m))
+            full[:, : beta.shape[1]] = beta
             gamma = alphas[t] * full
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            c, e = outs[t]
-            for j in range(k):
-                emits[:, j] += np.bincount(c, gamma[:, j], len(emits))
+            gamma /= gamma.sum(axis=0)
+            gammas.append(gamma)
             if t:
-                y = e * full / scales[t][:, None]
-                moves += model.move * (alphas[t - 1][:m].T @ y)
-                beta = y @ model.move.T
+                y = outs[t][1] * full / scales[t]
+                moves += model.move * (alphas[t - 1][:, :m] @ y.T)
+                beta = model.move @ y
             else:
-                starts += gamma[i0[:m] == 0].sum(axis=0)
-                later += gamma[i0[:m] > 0].sum(axis=0)
-    return starts, later, moves, emits, total
+                starts += gamma[:, i0 == 0].sum(axis=1)
+                later += gamma[:, i0 > 0].sum(axis=1)
+        c = np.concatenate([c for c, _ in reversed(outs)])
+        for j in range(k):
+            emits[j] += np.bincount(c, np.concatenate([g[j] for g in gammas]), classes)
+    return starts, later, moves, emits.T, total
 
 
 def maximise(starts, later, moves, emits) -> Model:
@@ -268,13 +277,14 @@ def sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column("classes")]
 
 
-def train(rows: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows; expected counts are summed across partitions."""
+def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> Model:
+    """Baum-Welch over all rows until it converges; expected counts and log-likelihood are summed across partitions."""
     spark = rows.sparkSession
     model = Model.initial(shares)
     k, m = STATES, len(shares)
-    parts = (k, k, k * k, m * k)
-    for _ in range(rounds):
+    parts = (k, k, k * k, m * k, 1)
+    last = -np.inf
+    for done in range(most):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
@@ -282,17 +292,20 @@ def train(rows: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
             for whole in batches:
                 for batch in slices(whole, "classes", 2_000_000):
                     got = expected(sent.value, sequences(batch))
-                    sums += np.concatenate([x.ravel() for x in got[:4]])
+                    sums += np.concatenate([np.ravel(x) for x in got])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["place", "x"])
 
         table = rows.select("classes").mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()  # as many rows as the model has parameters
         sums = np.zeros(sum(parts))
         sums[table["place"].to_numpy()] = table["x"].to_numpy()
-        if not sums.any():
-            break
-        a, b, c, d = np.split(sums, np.cumsum(parts)[:-1])
+        a, b, c, d, (total,) = np.split(sums, np.cumsum(parts)[:-1])
+        if not sums.any() or total - last <= tolerance * abs(total):
+            return model
+        last = total
         model = maximise(a, b, c.reshape(k, k), d.reshape(m, k))
+        model.rounds = done + 1
+    warnings.warn(f"Baum-Welch has not converged in {most} rounds", stacklevel=2)
     return model
 
 

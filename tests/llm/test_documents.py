@@ -320,6 +320,24 @@ def test_baum_welch_and_forward():
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
 
 
+def test_training_runs_until_it_converges(spark):
+    rng = np.random.default_rng(1)
+    seqs = [np.repeat(rng.permutation(4), 3) * 3 + rng.integers(0, 3, 12) for _ in range(200)]
+    shares = np.bincount(np.concatenate(seqs), minlength=12) / sum(map(len, seqs))
+    rows = spark.createDataFrame([(s.astype(np.uint16).tobytes(),) for s in seqs], "classes binary").repartition(3)
+    model = hmm.train(rows, shares)
+    *sums, total = hmm.expected(model, seqs)
+    # One more round would gain next to nothing; three rounds are far from that.
+    assert hmm.expected(hmm.maximise(*sums), seqs)[4] - total < 1e-3 * abs(total)
+    early = hmm.Model.initial(shares)
+    for _ in range(3):
+        early = hmm.maximise(*hmm.expected(early, seqs)[:4])
+    assert total > hmm.expected(early, seqs)[4] + 0.01 * abs(total)
+    with pytest.warns(UserWarning, match="not converged"):
+        hmm.train(rows, shares, most=2)
+    assert hmm.train(rows.limit(0), shares).rounds == 0
+
+
 # Shared
 
 
