@@ -99,10 +99,9 @@ def dual_search(best: Best, q: np.ndarray, q_root: Node, x: np.ndarray, ids: np.
                 score = np.array([[max(-most - 1, min(most, s)) for s in row] for row in q[a.a : a.b].astype(object) @ x[rows].astype(object).T], dtype=np.int64)
             for i in range(a.a, a.b):
                 s = score[i - a.a]
-                hit = np.flatnonzero(s >= best.score[i, -1])
+                hit = np.flatnonzero((s >= best.score[i, -1]) & (ids[rows] != best.queries[i]))
                 if len(hit) > best.k:  # keep what can be among the k best, ties included
-                    least = np.partition(s[hit], -best.k - 1)[-best.k - 1] if len(hit) > best.k + 1 else s[hit].min()
-                    hit = hit[s[hit] >= least]
+                    hit = hit[s[hit] >= np.partition(s[hit], -best.k)[-best.k]]
                 if len(hit):
                     best.offer(i, s[hit], ids[rows][hit])
         elif a.children and (not b.children or a.radius >= b.radius):

@@ -113,12 +113,15 @@ def task(k: int, width: int, bits: int, model, radius: int):
                 q, q_norms, best, q_codes = held[n]
                 x_norms = norms_of(x)
                 index = Index(codes(x, model), bits) if n == width else None
+                known = np.sort(ids)
+                own = np.searchsorted(known, best.queries, "right") - np.searchsorted(known, best.queries, "left")  # rows that repeat the query's vec_id
                 for i in range(len(q)):
-                    rows = index.ball(q_codes[i], radius, k + 1) if index else np.arange(len(x))
+                    rows = index.ball(q_codes[i], radius, k + int(own[i])) if index else np.arange(len(x))
+                    rows = rows[ids[rows] != best.queries[i]]
                     rough = (x[rows] @ q[i]) / (x_norms[rows] * q_norms[i])
                     keep = rough >= best.score[i, -1] - 1e-9
-                    if keep.sum() > k + 1:
-                        keep &= rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9
+                    if keep.sum() > k:
+                        keep &= rough >= np.partition(rough, -k)[-k] - 1e-9
                     rows = rows[keep]
                     best.offer(i, cosines(x[rows], x_norms[rows], q[i], q_norms[i]), ids[rows])
         yield from (best for _, _, best, _ in held.values())
@@ -146,7 +149,8 @@ def radius_for(rows: DataFrame, queries: DataFrame, k: int, width: int, model) -
             score = (x @ q.T) / (norms_of(x)[:, None] * norms_of(q))
             code = codes(x, model)
             for i in range(len(q)):
-                top = np.argpartition(-score[:, i], min(k + 1, len(x)) - 1)[: k + 1]
+                score[row_ids == ids[i], i] = -np.inf
+                top = np.flatnonzero(score[:, i] >= np.partition(score[:, i], -min(k, len(x)))[-min(k, len(x))])
                 best.offer(i, score[top, i], row_ids[top])
                 distances |= {(i, int(row_ids[r])): int(np.bitwise_count(code[r] ^ q_codes[i])) for r in top}
         i, j = np.nonzero(best.id != np.iinfo(np.int64).max)

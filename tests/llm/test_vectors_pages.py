@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,25 @@ def test_exact_top_k(vectors):
     assert covertree.top_k(vectors.limit(0)).count() == 0
 
 
+def test_a_query_row_repeated_within_a_task(spark):
+    x = np.random.default_rng(8).normal(size=(60, 8)).astype(np.float32)
+    x[0] *= 10  # the query's own rows have the highest products
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[0].tolist())] * 6
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    cosine = lambda a, b: float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+    whole = [(i, np.floor(256 * v)) for i, v in clean_rows(df, True)]
+    assert {tuple(r) for r in covertree.top_k(df).collect()} == brute(whole, lambda a, b: int(a @ b))
+    chunk = pa.table({"vec_id": pa.array([0]), "v": pa.array([x[0].astype(float).tolist()])})
+    block = pa.table({"vec_id": pa.array([i for i, _ in rows]), "v": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
+    want = {i for q, _, i, _ in brute(clean_rows(df, False), cosine) if q == 0}
+    (best,) = mih.task(5, 0, 0, None, 0)(chunk, [block])
+    assert set(best.id[0].tolist()) == want
+    # Within the ball too: at radius 0 it holds the own rows only, and k others are to come.
+    model = mih.fit(x.astype(float), 8)
+    (best,) = mih.task(5, 8, 8, model, 0)(chunk, [block])
+    assert (best.id[0] != np.iinfo(np.int64).max).all()
+
+
 def test_whole_numbers_beyond_floating_point(spark):
     rows = [(0, [1.0e6, 1.0]), (1, [1.0e6, 0.25]), (2, [1.0e6, 0.5]), (50, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
