@@ -10,7 +10,8 @@ The shape model is fitted on the blocks of at most SAMPLE pages, those of least
 boilerplate apart. Everything else runs on every whole page.
 
 Defined results: null or empty html, and pages without content, give an empty string. Unclosed, crossed and stray tags
-are repaired as far as a stack of open elements can; a "<" that opens no tag is text. Rows are independent: repeated
+are repaired as far as a stack of open elements can; a "<" that opens no tag is text. An unclosed script or style ends
+with the page, another unclosed raw element at its own tag. Of a formula the MathML stays, without its annotations. Rows are independent: repeated
 rows and clashing extra columns change nothing. Of equal cuts the one with the least content is taken.
 """
 
@@ -35,11 +36,12 @@ MARKUP = re.compile(
     r"|<[!?][^>]*>?",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(?P<key>class|id|role|style|aria-hidden|hidden)\b\s*(?:=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s\"'>]+)))?", re.I)
+# Every attribute from left to right, so that nothing is looked for within a name or a value.
+ATTRIBUTE = re.compile(r"(?P<key>[^\s/>\"'][^\s/>=\"']*+)(?:\s*+=\s*+(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s\"'>]++)?))?")
 
 # Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object canvas audio video select datalist".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - {"br"}
 ITEMS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "optgroup"})}
@@ -70,6 +72,7 @@ def parse(source: str) -> list[Block]:
     names: list[str] = [""]
     opened: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
+    endless: set[str] = set()  # raw elements that no tag ends from here on
     linked, links, ordinal, at, end = 0, 0, 0, 0, len(source)
 
     def flush():
@@ -154,8 +157,13 @@ def parse(source: str) -> list[Block]:
                         break
         if name in RAW:
             if not m["attrs"].rstrip().endswith("/"):
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
-                at = close.end()
+                close = None if name in endless else re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):
+                    at = end
+                else:
+                    endless.add(name)
             continue
         if name in VOID or m["attrs"].rstrip().endswith("/"):
             continue
@@ -167,9 +175,13 @@ def parse(source: str) -> list[Block]:
         elif name == "header" and not content:
             away = True
         attrs = m["attrs"]
-        if attrs and "=" in attrs or "hidden" in attrs:
+        if attrs:
+            seen = set()
             for x in ATTRIBUTE.finditer(attrs):
                 key, value = x["key"].lower(), x["a"] or x["b"] or x["c"] or ""
+                if key in seen:  # the first of equal names counts
+                    continue
+                seen.add(key)
                 if key in ("class", "id") and name not in ("html", "body"):
                     words = {w.lower() for w in WORD.findall(value)}
                     if words & AWAY_WORDS and not (words & {"header"} and content and len(words & AWAY_WORDS) == 1):

@@ -133,6 +133,19 @@ def test_main_text_of_a_page_without_article():
     assert mincut.main_text(PAGE, mincut.BASE_SHAPE) == want
 
 
+def test_attributes_by_exact_name_formulas_and_unclosed_elements():
+    text = lambda page: mincut.main_text(page, mincut.BASE_SHAPE)
+    page = lambda inner: f"<article><p>Some words come first.</p>{inner}</article>"
+    for attrs in ('href="/blog/hidden-costs"', 'data-title="The hidden cost of rent"', 'data-id="share-3"', 'data-testid="comment-body"', 'href="?class=menu"', "data-x='a style=display:none'", "data-hidden", 'id="a" id="menu"'):
+        assert text(page(f"<div {attrs}>This is kept.</div>")) == "Some words come first. This is kept.", attrs
+    for attrs in ("hidden", "HIDDEN", "class=x hidden", 'aria-hidden="true"', "style = 'display: none'", 'class="menu"', "ID=comments", 'data-a="1"class="menu"'):
+        assert text(page(f"<div {attrs}>This goes.</div>")) == "Some words come first.", attrs
+    math = "<math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x+1</annotation></semantics></math>"
+    assert text(page(f"<p>Let {math} be.</p>")) == text(page(f'<p>Let <span>{math}</span><span aria-hidden="true">x+1</span> be.</p>')) == "Some words come first. Let x+1 be."
+    assert text(page("<p>One <svg><p>two <svg>three.</p>")) == "Some words come first. One two three."
+    assert text(page("<p>One.</p><script>two")) == "Some words come first. One."
+
+
 def test_minimum_cut_equals_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(200):
