@@ -4,7 +4,7 @@ Model: hashed character trigrams (a non-letter counts as a word edge) have one s
 counts over all training rows; a further component, uniform over the buckets, stands for noise. A document's segments
 are its words (cut after SEGMENT letters where a script has no word edges); expectation-maximisation over them estimates
 the share of each language. The language set is the prefix of the languages, ranked by share, whose log-likelihood
-less PENALTY * log(trigrams) / 2 a language is best; the prediction is its language of largest share.
+less PENALTY * log(trigrams) / 2 a language is best, tried up to where no larger set can be better; the prediction is its language of largest share.
 
 Defined results: null texts and texts without a letter give `und`, score 0 and no languages; without any training row
 every document does. Ties go to the language first in code point order. Rows are independent of each other, so repeated
@@ -28,23 +28,19 @@ SMOOTHING = 0.5
 SEGMENT = 32
 ROUNDS = 8
 PENALTY = 4.0
-#: Largest language set that is tried; further languages keep their part of the noise share.
-LARGEST_SET = 6
 SLICE = 2_000_000
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    table = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), dtype=bool, count=1 << 16)
-    table[0xFFFF] = True  # all of the other planes
-    return table
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the letters of some texts: bucket, row, whether it begins a segment; and of each row, its letters."""
     rows = pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")).to_pylist()
     codes = np.frombuffer(("\n" + "\n".join(rows) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[np.minimum(codes, 0xFFFF)]
+    letter = _letters()[codes]
     at = np.flatnonzero(letter)
     if not len(at):
         return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool), np.zeros(len(rows), np.int64)
@@ -119,7 +115,7 @@ def infer(texts: pa.Array, names: list[str], model: np.ndarray) -> tuple[list[st
     p = np.exp(like - top[:, None]).astype(np.float32)
     base = np.add.reduceat(top, heads)
 
-    def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def em(share: np.ndarray, rounds: int, p=p, local=local, heads=heads, size=size, base=base) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(rounds):
             r = p * share[local]
             total = r.sum(axis=1)
@@ -135,13 +131,23 @@ def infer(texts: pa.Array, names: list[str], model: np.ndarray) -> tuple[list[st
     np.put_along_axis(rank, order, np.arange(k)[None, :], axis=1)
     cost = PENALTY * np.log(np.maximum(letters[at], 2)) / 2
     best, best_share = np.full(len(heads), -np.inf), np.zeros((len(heads), k + 1))
-    for m in range(1, min(k, LARGEST_SET) + 1):
-        share = np.where(np.c_[rank < m, np.ones(len(heads), bool)], np.maximum(full, 1e-6), 0)
-        share, value = em((share / share.sum(axis=1, keepdims=True)).astype(np.float32), ROUNDS // 2)
-        value = value - m * cost
-        better = value > best
-        best = np.where(better, value, best)
-        best_share[better] = share[better]
+    left, part = np.arange(len(heads)), (p, local, heads, size, base)  # rows that a larger set may fit better, their segments
+    for m in range(1, k + 1):
+        # No set explains a segment better than its best component does.
+        rise = base[left] + 1e-6 * size[left, 0] - m * cost[left] > best[left]
+        if not rise.any():
+            break
+        if not rise.all():
+            left = left[rise]
+            inside = np.isin(local, left)
+            count = size[left, 0]
+            part = p[inside], np.repeat(np.arange(len(left)), count), np.cumsum(count) - count, size[left], base[left]
+        share = np.where(np.c_[rank[left] < m, np.ones(len(left), bool)], np.maximum(full[left], 1e-6), 0)
+        share, value = em((share / share.sum(axis=1, keepdims=True)).astype(np.float32), ROUNDS // 2, *part)
+        value = value - m * cost[left]
+        better = value > best[left]
+        best[left] = np.where(better, value, best[left])
+        best_share[left[better]] = share[better]
     first = np.lexsort((np.arange(k)[None, :].repeat(len(heads), 0), -whole, -best_share[:, :k]), axis=1)[:, 0]
     pred, score, listed, noise = ["und"] * n, np.zeros(n), [""] * n, np.zeros(n)
     score[at] = np.clip(best_share[np.arange(len(heads)), first], 0, 1)

@@ -338,6 +338,25 @@ def test_training_runs_until_it_converges(spark):
     assert hmm.train(rows.limit(0), shares).rounds == 0
 
 
+def test_letters_of_all_planes_and_sets_of_many_languages():
+    rng = np.random.default_rng(5)
+    alphabets = [[chr(0x4E00 + 100 * k + j) for j in range(6)] for k in range(9)]
+    word = lambda k: "".join(rng.choice(alphabets[k], 6))
+    names = [f"l{k}" for k in range(9)]
+    model = np.full((langid.BUCKETS, 10), -np.log(langid.BUCKETS), np.float32)
+    for k in range(9):
+        n = np.bincount(langid.trigrams(pa.array([" ".join(word(k) for _ in range(3000))]))[0], minlength=langid.BUCKETS)
+        model[:, k] = np.log((n + 0.01) / (n.sum() + 0.01 * langid.BUCKETS))
+    texts = ["\U0001f600 \U0001d7d8\U0001f4a9 12!", "\U0001f600" + word(3) + " " + word(3), " ".join(word(k) for k in range(9) for _ in range(60)), "\U00020000\U00020001"]
+    pred, score, listed, noise = langid.infer(pa.array(texts), names, model)
+    assert (pred[0], score[0], listed[0], noise[0]) == ("und", 0, "", 0)
+    assert langid.trigrams(pa.array(texts))[3].tolist() == [0, 12, 9 * 60 * 6, 2]
+    assert pred[3] != "und" and len(listed[2].split(",")) == 9
+    for i in range(len(texts)):  # rows are independent of each other
+        one = langid.infer(pa.array([texts[i]]), names, model)
+        assert one[0][0] == pred[i] and one[2][0] == listed[i]
+
+
 # Shared
 
 
