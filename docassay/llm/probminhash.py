@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-A document's weighted set holds its five-word shingles (all its words, if fewer), weighted 1 + log2(count). Every
+A document's set holds its five-word shingles (all its words, if fewer). They all weigh one, however often they occur,
+as links are about the sets: weights by count would miss copies one of which repeats a passage. In a weighted set every
 shingle is a Poisson process of its weight's rate whose points fall into SLOTS slots; a slot keeps the shingle of its
 first point, and a shingle's process ends once it is later than every slot (early termination). The share of equal slots
-estimates the probability Jaccard similarity. BANDS bands of ROWS slots make candidates; links are verified on the exact
+estimates the probability Jaccard similarity, at equal weights that of the sets. BANDS bands of ROWS slots make candidates; links are verified on the exact
 Jaccard similarity of the shingle sets, at SIMILARITY or more; classes are the connected components of the links.
 
 Work per bucket follows its size. Equal texts are one node from the start. Each bucket first compares its members with
@@ -67,7 +68,7 @@ def shingles(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.nd
 
 
 def signatures(sets: list[np.ndarray], times: list[np.ndarray]) -> np.ndarray:
-    """ProbMinHash of each weighted set: the shingle hash (32 bits) of the first point in each slot."""
+    """ProbMinHash of each set, weighted 1 + log2(times): the shingle hash (32 bits) of the first point in each slot."""
     n = len(sets)
     q = np.full(n * SLOTS, np.inf)
     out = np.zeros(n * SLOTS, dtype=np.uint32)
@@ -103,14 +104,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def bands_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys of each set, its shingles weighing one."""
+    return band_keys(signatures(sets, [np.ones(len(s), dtype=np.int64) for s in sets]))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, node (hash of the words; null without words), keys (one for each band)."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, chars=4_000_000):
-                sets, times, node, words = shingles(batch.column("text"))
-                keys = band_keys(signatures(sets, times))
+                sets, _, node, words = shingles(batch.column("text"))
+                keys = bands_of(sets)
                 none = words == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.astype(np.int64), mask=none), lists], names=["doc_id", "node", "keys"])

@@ -357,6 +357,18 @@ def test_letters_of_all_planes_and_sets_of_many_languages():
         assert one[0][0] == pred[i] and one[2][0] == listed[i]
 
 
+def test_near_copies_that_repeat_a_passage_share_bands(spark):
+    docs = []
+    for n in range(40):
+        plain = [f"w{n}x{j}" for j in range(104)]
+        docs += [(2 * n, " ".join(plain)), (2 * n + 1, " ".join(plain + plain[:24] * 1000))]
+        sets, *_ = probminhash.shingles(pa.array([t for _, t in docs[-2:]]))
+        assert probminhash.similar(*sets)
+    rows = probminhash.sketch(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    keys = {r["doc_id"]: set(r["keys"]) for r in rows}
+    assert all(keys[2 * n] & keys[2 * n + 1] for n in range(40))
+
+
 # Shared
 
 
