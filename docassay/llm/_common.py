@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,53 @@ def slices(batch: pa.RecordBatch, column: str = "text", chars: int = SLICE_CHARS
         yield batch.slice(int(a), int(b - a))
 
 
+class Recent:
+    """A cache bounded in bytes: two generations, of which the older one goes when the newer one is half the bound."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.old, self.held = {}, {}, 0
+
+    def get(self, key: str) -> bytes | None:
+        out = self.new.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key: str, value: bytes) -> bytes:
+        cost = 250 + 2 * len(key) + len(value)  # what the objects and their places in a table take, about
+        if cost < 2_000:
+            if self.held + cost > self.size // 2:
+                self.old, self.new, self.held = self.new, {}, 0
+            self.new[key] = value
+            self.held += cost
+        return value
+
+
+@functools.cache
+def _trim() -> Callable | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library than glibc
+        return None
+
+
+def released(run: Callable) -> Callable:
+    """A task that hands its free memory back at its end: Python workers live on, and other operators run beside them."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim():
+            _trim()(0)
+
+    return wrapped
+
+
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of each word, distinct words, first word of each row and the total) of texts cut at ASCII white space; null is empty."""
     texts = pc.fill_null(texts.cast(pa.string()), "")

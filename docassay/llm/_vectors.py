@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docassay.llm._common import released
+
 #: Queries to a broadcast chunk, and rows that a task indexes at a time.
 CHUNK = 8_192
 ROWS = 32_768
@@ -92,7 +94,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, kind: str, task: Callabl
             for best in task(sent.value, row_blocks(batches)):
                 yield best.batch()
 
-        part = rows.mapInArrow(run, f"query_id bigint, vec_id bigint, score {kind}")
+        part = rows.mapInArrow(released(run), f"query_id bigint, vec_id bigint, score {kind}")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], f"query_id bigint, rank int, vec_id bigint, score {kind}")

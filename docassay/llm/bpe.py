@@ -1,23 +1,28 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-Encoding. For every prefix of a pre-token, exactly one vocabulary entry can be the last token of that prefix's BPE
-result: the one that ends there and is compatible with the last token of the prefix before it (two tokens are
-compatible if BPE leaves their concatenation as these two). The transducer keeps that last token for the newest
-positions only. A later token reaches back at most ``max_len`` symbols, so tokens on which the back-pointer chains of
-the newest ``max_len`` positions agree are stable; they are emitted and forgotten. ``lookahead`` is a bound computed
-from the merge list on how far a merge can be pre-empted by merges of earlier rank on its right, and memory stays
-below it plus ``max_len`` however long the input is.
-
-Decoding. ``Decoder`` takes ids one at a time and returns text as soon as it is certain: in "pieces" mode (a tokenizer
-file without decoder) token strings parted by single spaces, in "bytes" mode the UTF-8 bytes behind the byte-level
-alphabet, of which an unfinished character waits in the state.
+Encoding. Two tokens are compatible if BPE leaves their concatenation as these two; a chain of tokens of which each is
+compatible with the one before it is the BPE result of its text, and a text has one such chain. The transducer walks
+along compatible tokens, longest first, and steps back from an end that no token follows (that end stays dead, as one
+chain only leads there). ``lookahead`` is computed from the merge list: no merge across a place depends on a symbol
+further to its right than that. So a token is stable, and is emitted and forgotten, once the walk is so many symbols
+beyond it; symbols are read ``max_len`` ahead of the walk, and memory stays below three times the lookahead however long the
+input is. Pre-tokens of every length take this way.
+
+Decoding. ``Decoder`` is a state machine from ids to text that emits what is certain: in "pieces" mode (a tokenizer
+file without decoder) token strings parted by single spaces, where the state is whether a piece has come; in "bytes" mode
+the UTF-8 bytes behind the byte-level alphabet, where an unfinished character waits in the state. ``run`` walks the first
+machine over many texts at once, by its table of outputs.
 
 Null and empty texts have no ids and decode to the empty string. Rows are independent: repeated rows, ties and extra
-columns pass through.
+columns pass through. Kept columns must not be named like a made one (n_tokens, ids, ids_sha256, decoded, decoded_sha256);
+such a name raises a ValueError.
+
+A worker's caches are bounded in bytes and dropped at the end of its task.
 """
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import functools
 import hashlib
@@ -32,10 +37,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from docassay.llm._common import expand, slices, words_of
+from docassay.llm._common import Recent, expand, released, slices, words_of
 
-#: Entries of each of the two generations of a worker's cache of white-space-parted chunks.
-CACHE = 300_000
+#: Bytes, about, of a worker's caches of pre-tokens and of other white-space-parted chunks; entries of its table of compatible tokens.
+WORDS, CHUNKS, PAIRS = 64_000_000, 16_000_000, 200_000
+#: Bytes of text that a worker encodes at a time.
+SLICE = 4_000_000
 END = "\0"  # the end of a pre-token; a control character is never a byte-level letter
 
 
@@ -62,27 +69,32 @@ class Transducer:
         self.lookahead = self._lookahead()
         self.names = {i: s for s, i in self.vocab.items()}
         self._reach: dict[str, int] = {}  # longest token by its first three letters
-        for s in self.vocab:
-            letters = s.removesuffix(END)
+        for x in self.vocab:
+            letters = x.removesuffix(END)
             self._reach[letters[:3]] = max(self._reach.get(letters[:3], 3), len(letters))
         self._known: dict[int, bool] = {}
-        self._alone: dict[str, bool] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
 
     def _lookahead(self) -> int:
-        """Symbols to the right that can still change a token, at most: the longest chain of merges, each of an earlier
-        rank than the one before, of which each takes a right edge of what the one before wants to join."""
-        best: dict[str, int] = {}
-        edge: dict[str, str] = {}
+        """Symbols to the right of a place that can decide, at most, whether a merge joins there.
+
+        A merge (a, b) joins at a place if b stands there on its right. That takes the symbols of b, and that no merge
+        of earlier rank joins b, or one of the tokens at b's right edge from which b was made, to what follows; such a
+        merge in turn depends on as many symbols as it does itself. Ranks fall along such a chain, so it ends.
+        """
+        best: dict[str, int] = {}  # by left token, of the merges of earlier rank
+        edge: dict[str, set[str]] = {}  # right parts from which a token is made
         most = 0
         for a, b in self.ranks:
-            reach, s = 0, b
-            while s is not None:
+            reach, todo, seen = 0, [b], {b}
+            while todo:
+                s = todo.pop()
                 reach = max(reach, best.get(s, 0))
-                s = edge.get(s)
+                new = edge.get(s, set()) - seen
+                seen |= new
+                todo += new
             reach += len(b.removesuffix(END))
             best[a] = max(best.get(a, 0), reach)
-            edge.setdefault(a + b, b)
+            edge.setdefault(a + b, set()).add(b)
             most = max(most, reach)
         return most
 
@@ -100,97 +112,63 @@ class Transducer:
     def _symbols(piece: str) -> list[str]:
         return [*piece[:-2], piece[-2:]] if piece.endswith(END) else [*piece]
 
-    def alone(self, piece: str) -> bool:
-        if (ok := self._alone.get(piece)) is None:
-            ok = self._alone[piece] = self.merge_all(self._symbols(piece)) == [piece]
+    def follows(self, before: int, i: int) -> bool:
+        """Whether token i may follow token before - 1, or stand first for 0: BPE leaves the two as they are."""
+        if len(self._known) >= PAIRS:
+            self._known.clear()
+        right = self.names[i]
+        left = [self.names[before - 1]] if before else []
+        ok = self._known[before << 32 | i] = self.merge_all([*"".join(left), *self._symbols(right)]) == [*left, right]
         return ok
 
-    def fits(self, left: str, right: str) -> bool:
-        if (ok := self._fits.get((left, right))) is None:
-            if len(self._fits) >= 2_000_000:
-                self._fits.clear()
-            ok = self._fits[left, right] = self.merge_all([*left, *self._symbols(right)]) == [left, right]
-        return ok
+    def release(self) -> None:
+        self._known.clear()
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one pre-token, given symbol by symbol, as soon as they are stable."""
-        window, last, cut, pending = "", [], 0, 0  # last[k]: the token that ends at symbol k of the window
-        done, most, alone, fits, vocab = 0, self.max_len, self.alone, self.fits, self.vocab
-        for symbol in symbols:
-            window += symbol
-            end = len(last) + 1
-            for n in range(min(most, end), 0, -1):
-                piece = window[end - n :]
-                if piece in vocab and (fits(last[end - n - 1], piece) if end > n + cut or (cut and end > n) else end == n and not cut and alone(piece)):
-                    last.append(piece)
-                    break
-            else:
-                raise ValueError(f"no token ends with {symbol!r}: the vocabulary lacks a symbol")
-            pending += 1
-            if pending >= 4 * most:  # what the newest chains agree on is stable
-                heads = set(range(max(done, end - most), end + 1))
-                while len(heads) > 1:
-                    k = max(heads)
-                    heads.discard(k)
-                    heads.add(k - len(last[k - 1].removesuffix(END)))
-                stable = heads.pop()
-                yield from self._back(last, done, stable)
-                keep = max(0, stable - 1)  # the last stable token stays as context
-                window, last, cut, done = window[keep:], last[keep:], 1 if keep or cut else 0, stable - keep
-                pending = 0
-        yield from self._back(last, done, len(last))
-
-    @staticmethod
-    def _back(last: list[str], start: int, end: int) -> list[str]:
-        out = []
-        while end > start:
-            out.append(last[end - 1])
-            end -= len(last[end - 1].removesuffix(END))
-        return out[::-1]
-
-    def word(self, letters: str) -> list[int]:
-        """Ids of one pre-token of letters of the byte-level alphabet. One that the lookahead covers is walked depth
-        first, longest token first; a prefix has one result only, so an end from which no walk succeeds stays dead."""
-        n, vocab = len(letters), self.vocab
-        if n > 4 * self.max_len:
-            return [vocab[t] for t in self.stream([*letters[:-1], letters[-1] + END])]
-        if (whole := vocab.get(letters + END)) is not None and self.alone(letters + END):
-            return [whole]
+    def stream(self, blocks: Iterable[str]) -> Iterator[int]:
+        """Ids of one pre-token, given as blocks of letters of which the last ends with END, each as soon as the walk is
+        ``lookahead`` symbols beyond it."""
+        blocks, ended = iter(blocks), False
+        window, size, pos = "", 0, 0  # what was read and not yet emitted, its symbols, where the walk stands
+        head = before = 0  # one more than the last id that was emitted, and that the walk took; 0 at the start
         ids: list[int] = []
         at: list[int] = []
         dead: set[int] = set()
-        known, reach, pos, before = self._known, self._reach, 0, 0
-        while pos < n:
-            for end in range(min(n, pos + reach.get(letters[pos : pos + 3], 3)), pos, -1):
+        known, find, reach, most, full = self._known, self.vocab.get, self._reach, self.max_len, 2 * self.lookahead
+        while True:
+            while not ended and size - pos < most:
+                block = next(blocks, None)
+                if block is None:
+                    ended = True
+                else:
+                    window += block
+                    ended = block[-1:] == END
+                    size = len(window) - ended
+            if pos >= size:
+                break
+            for end in range(min(size, pos + reach.get(window[pos : pos + 3], 3)), pos, -1):
                 if end in dead:
                     continue
-                i = vocab.get(letters[pos:end] if end < n else letters[pos:] + END)
-                if i is None:
-                    continue
-                ok = known.get(before << 20 | i)
-                if ok is None:
-                    ok = self._know(before, i)
-                if ok:
+                i = find(window[pos:end] if end < size else window[pos:])
+                if i is not None and ((ok := known.get(before << 32 | i)) or (ok is None and self.follows(before, i))):
                     ids.append(i)
                     at.append(pos)
                     pos, before = end, i + 1
                     break
             else:
                 if not ids:
-                    raise ValueError(f"the vocabulary lacks a symbol of {letters!r}")
+                    raise ValueError(f"the vocabulary lacks a symbol of {window[pos : pos + most]!r}")
                 dead.add(pos)
                 ids.pop()
                 pos = at.pop()
-                before = ids[-1] + 1 if ids else 0
-        return ids
-
-    def _know(self, before: int, i: int) -> bool:
-        """Whether token i may follow token before - 1, or stand first for 0."""
-        if len(self._known) >= 2_000_000:
-            self._known.clear()
-        ok = self.fits(self.names[before - 1], self.names[i]) if before else self.alone(self.names[i])
-        self._known[before << 20 | i] = ok
-        return ok
+                before = ids[-1] + 1 if ids else head
+            if pos >= full:
+                k = bisect.bisect_right(at, pos - self.lookahead) - 1  # tokens that end where a stable place begins the next
+                if k > 0:
+                    yield from ids[:k]
+                    gone, head = at[k], ids[k - 1] + 1
+                    window, size, pos = window[gone:], size - gone, pos - gone
+                    ids, at, dead = ids[k:], [x - gone for x in at[k:]], {x - gone for x in dead if x > gone}
+        yield from ids
 
 
 class Tokenizer:
@@ -214,42 +192,36 @@ class Tokenizer:
             self.pieces[i] = s
         self.letters = byte_letters()
         self.latin = str.maketrans({chr(c): "".join(self.letters[b] for b in chr(c).encode()) for c in range(0x250)})
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.words, self.chunks = Recent(WORDS), Recent(CHUNKS)
+
+    def release(self) -> None:
+        """Forget what was cached."""
+        self.words.clear()
+        self.chunks.clear()
+        self.transducer.release()
+
+    def _word(self, s: str) -> bytes:
+        """Ids, as 32-bit integers, of one pre-token."""
+        if (out := self.words.get(s)) is None:
+            letters = s.translate(self.latin) if s.isascii() else "".join(self.letters[b] for b in s.encode("utf-8", "replace"))
+            out = self.words.put(s, array("I", self.transducer.stream((letters + END,))).tobytes())
+        return out
 
-    def _span(self, text: str) -> list[int]:
+    def _span(self, text: str) -> bytes:
         text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        ids: list[int] = []
-        for m in self.pattern.finditer(text):
-            s = m.group()
-            ids += self.transducer.word(s.translate(self.latin) if s.isascii() else "".join(self.letters[b] for b in s.encode("utf-8", "replace")))
-        return ids
+        return b"".join(self._word(m.group()) for m in self.pattern.finditer(text))
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.special_at.split(text):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                ids += self._span(part)
-        return ids
+    def encode(self, text: str) -> bytes:
+        """Ids, as 32-bit integers, of a text."""
+        return b"".join(array("I", [self.special[part]]).tobytes() if part in self.special else self._span(part) for part in self.special_at.split(text) if part)
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids, as 32-bit integers, of text without ASCII white space; no pre-token crosses such white space."""
-        if (out := self._new.get(chunk)) is None:
-            if (out := self._old.get(chunk)) is None:
-                body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-                if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:  # letters that NFC leaves alone: one pre-token
-                    ids = self.transducer.word(body.lower().translate(self.latin))
-                    if body is not chunk:
-                        ids += self.transducer.word(chunk[-1])
-                else:
-                    ids = self.encode(chunk)
-                out = array("I", ids).tobytes()
-            if len(chunk) <= 64:
-                if len(self._new) >= CACHE:
-                    self._old, self._new = self._new, {}
-                self._new[chunk] = out
+        """Ids of text without ASCII white space; no pre-token crosses such white space."""
+        body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+        if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:  # letters that NFC leaves alone: one pre-token
+            return self._word(body.lower()) if body is chunk else self._word(body.lower()) + self._word(chunk[-1])
+        if (out := self.chunks.get(chunk)) is None:
+            out = self.chunks.put(chunk, self.encode(chunk))
         return out
 
 
@@ -260,28 +232,52 @@ class Decoder:
     def __init__(self, pieces: list[str], mode: str = "pieces", suffix: str = "</w>"):
         self.pieces, self.mode, self.suffix = pieces, mode, suffix
         self.bytes = {c: b for b, c in byte_letters().items()}
+        self.table: pa.Array | None = None
+        self.reset()
+
+    def reset(self) -> None:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.begun = False
+        self.begun = 0
 
-    def feed(self, token: int) -> str:
+    def output(self, begun: int, token: int) -> str:
+        """What a piece emits, by whether one has come before; nothing, for an unknown id."""
         piece = self.pieces[token] if 0 <= token < len(self.pieces) else ""
-        if not piece:
-            return ""
+        return " " + piece if begun and piece else piece
+
+    def feed(self, token: int) -> str:
         if self.mode == "pieces":
-            out = (" " if self.begun else "") + piece
-            self.begun = True
+            out = self.output(self.begun, token)
+            self.begun |= bool(out)
             return out
+        piece = self.pieces[token] if 0 <= token < len(self.pieces) else ""
         ended = piece.endswith(self.suffix) and len(piece) > len(self.suffix)
         body = piece.removesuffix(self.suffix) if ended else piece
         out = self.state.decode(bytes(self.bytes.get(c, 0x3F) for c in body))
         return out + (self.state.decode(b"", True) + " " if ended else "")
 
     def finish(self) -> str:
-        return self.state.decode(b"", True)
+        out = self.state.decode(b"", True)
+        self.reset()
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join([*(self.feed(int(i)) for i in ids), self.finish()])
 
+    def run(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of many id sequences, each from the start state. The machine of "pieces" has two states, so its
+        outputs are a table by state and id, and the state before an id is whether an id with a piece precedes it."""
+        if self.mode != "pieces":
+            return pa.array([self.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], pa.large_string())
+        n = len(self.pieces)
+        if self.table is None:
+            self.table = pa.array([self.output(state, k) for state in (0, 1) for k in range(n)], pa.large_string())
+            self.shown = np.array([bool(x) for x in self.pieces])
+        shown = self.shown[ids]
+        before = np.cumsum(shown) - shown
+        begun = before > np.repeat(np.r_[before, 0][offsets[:-1]], np.diff(offsets))
+        out = self.table.take(pa.array(ids.astype(np.int64) + n * begun))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, type=pa.int64()), out), pa.scalar("", pa.large_string()))
+
 
 def ids_of(texts: pa.Array, chunk) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, first id of each text and the total); chunk gives the ids of a white-space-parted piece as bytes."""
@@ -295,12 +291,6 @@ def ids_of(texts: pa.Array, chunk) -> tuple[np.ndarray, np.ndarray]:
     return flat[expand(starts[codes], per_word)], ends[offsets]
 
 
-def decode_batch(ids: np.ndarray, offsets: np.ndarray, pieces: pa.Array) -> pa.Array:
-    """Decoder("pieces") over many texts at once: as that state's only content is whether a piece came before, it is a join."""
-    taken = pieces.take(pa.array(ids, type=pa.uint32()))
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, type=pa.int64()), taken), pa.scalar(" ", pa.large_string()))
-
-
 @functools.cache
 def load(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -323,16 +313,19 @@ def tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
 def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: bool | None) -> DataFrame:
     made = "n_tokens bigint, ids array<int>, decoded_sha256 string" if digest is None else "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens bigint, ids array<bigint>, decoded string"
-    chosen = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("text"))
+    clash = {"n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"} & {*keep}
+    if clash:
+        raise ValueError(f"kept columns have names of made ones: {sorted(clash)}")
+    chosen = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("text_of_row"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def run(batches):
         tokenizer = load(path)
-        pieces = pa.array(tokenizer.pieces, type=pa.large_string())
+        decoder = Decoder(tokenizer.pieces)
         for whole in batches:
-            for batch in slices(whole, chars=12_000_000):
-                ids, offsets = ids_of(batch.column("text"), tokenizer.chunk)
-                decoded = decode_batch(ids, offsets, pieces)
+            for batch in slices(whole, "text_of_row", SLICE):
+                ids, offsets = ids_of(batch.column(len(keep)), tokenizer.chunk)
+                decoded = decoder.run(ids, offsets)
                 kept = [batch.column(k) for k in range(len(keep))]
                 n = pa.array(np.diff(offsets))
                 if digest is not False:
@@ -345,5 +338,6 @@ def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: b
                 else:
                     first = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids.astype(np.int32 if digest is None else np.int64)))
                 yield pa.RecordBatch.from_arrays([*kept, n, first, second], names=[*keep, "n_tokens", "ids_sha256" if digest else "ids", "decoded" if digest is False else "decoded_sha256"])
+        tokenizer.release()
 
-    return chosen.mapInArrow(run, f"{kinds}, {made}")
+    return chosen.mapInArrow(released(run), f"{kinds}, {made}" if kinds else made)

@@ -4,18 +4,22 @@ An id is cut into chunks of CHUNKS bits, lowest first. Level 0 holds the first c
 which of its entries go on in the next level, and a rank directory (ones before each block of RANK bits) tells where.
 Any id is found with one rank look-up per level, without decoding its neighbours.
 
-A file holds the documents of one range of doc_id in ascending order (equal doc_ids by text): MAGIC, a header of 64-bit
+A file holds the documents of one range of doc_id in ascending order (equal doc_ids by a hash of the text, then by their
+place in the input, so that one doc_id may hold any share of the rows): MAGIC, a header of 64-bit
 integers (documents, ids, levels), doc_ids, their null flags, first id of each document, then for each level its
 entries, bitmap and rank directory. Files are written by tasks under names of their own attempt; the manifest, which
 Spark commits, names the files that count, so a task that is run again does no harm.
 
-Null texts count as empty; every document ends with ``end_id``. Null doc_ids come first, equal ones keep their text
-order. Empty tables give no files and no rows.
+Documents are read back by address: a span of ids takes one rank look-up per level, for where it begins there.
+
+Null texts count as empty; every document ends with ``end_id``. Null doc_ids come first. Empty tables give no files and
+no rows; extra columns take no part.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import uuid
@@ -28,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import materialise, shared_dir, slices
+from docassay.llm._common import Recent, materialise, released, shared_dir, slices
 from docassay.llm.bpe import byte_letters, ids_of
 
 MAGIC = b"DACIDS1\n"
@@ -36,7 +40,8 @@ MAGIC = b"DACIDS1\n"
 CHUNKS = (8, 8, 16)
 #: Bits to a block of the rank directory.
 RANK = 512
-CACHE = 300_000
+#: Bytes, about, of a worker's cache of chunks; it goes at the end of a task.
+CACHE = 160_000_000
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,16 +81,34 @@ class Codes:
             self.levels.append((entries, bitmap, ranks))
             n = int(ranks[-1])
 
+    def rank(self, level: int, i: int) -> int:
+        """Entries before the i-th of a level that go on in the next one."""
+        _, bitmap, ranks = self.levels[level]
+        block = i // RANK
+        whole, rest = bitmap[block * RANK // 8 : i >> 3], i & 7
+        return int(ranks[block]) + int(np.bitwise_count(whole).sum()) + (int(bitmap[i >> 3] & ((1 << rest) - 1)).bit_count() if rest else 0)
+
     def one(self, i: int) -> int:
-        """The i-th id, by a rank look-up per level."""
+        """The i-th id."""
         out = shift = 0
-        for (entries, bitmap, ranks), bits in zip(self.levels, CHUNKS, strict=False):
+        for k, ((entries, bitmap, _), bits) in enumerate(zip(self.levels, CHUNKS, strict=False)):
             out |= int(entries[i]) << shift
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // RANK
-            lead = np.unpackbits(bitmap[block * RANK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * RANK]
-            i, shift = int(ranks[block]) + int(lead.sum()), shift + bits
+            i, shift = self.rank(k, i), shift + bits
+        return out
+
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The ids from the a-th to before the b-th: their entries stand together in every level."""
+        out, where, shift = np.zeros(b - a, dtype=np.uint32), slice(None), 0
+        for k, ((entries, bitmap, _), bits) in enumerate(zip(self.levels, CHUNKS, strict=False)):
+            out[where] |= entries[a:b].astype(np.uint32) << np.uint32(shift)
+            more = np.flatnonzero(np.unpackbits(bitmap[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a])
+            if not len(more):
+                break
+            a = self.rank(k, a)
+            b, shift = a + len(more), shift + bits
+            where = more if isinstance(where, slice) else where[more]
         return out
 
     def all(self) -> np.ndarray:
@@ -112,7 +135,7 @@ def dump(doc_ids: np.ndarray, nulls: np.ndarray, first: np.ndarray, ids: np.ndar
 
 
 class LibraryEncoder:
-    """Ids of white-space-parted chunks by the tokenizers library, behind a bounded cache of two generations.
+    """Ids of white-space-parted chunks by the tokenizers library, behind a bounded cache.
 
     No pre-token of such a file crosses white space. For chunks of Latin letters the normaliser and the pre-tokeniser
     leave one lower-case pre-token, which goes to the library's model at once; all others take its whole encode().
@@ -128,25 +151,19 @@ class LibraryEncoder:
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.latin = str.maketrans({chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)})
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.recent = Recent(CACHE)
         self.mark = {s: [t.id for t in self.model.tokenize(s)] for s in ".,"}
 
     def chunk(self, chunk: str) -> bytes:
-        if (out := self.new.get(chunk)) is None:
-            if (out := self.old.get(chunk)) is None:
-                body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-                if body.isalpha() and max(body) < "ɐ" and "İ" not in body:
-                    ids = [t.id for t in self.model.tokenize(body.lower().translate(self.latin))]
-                    if body is not chunk:
-                        ids += self.mark[chunk[-1]]
-                else:
-                    ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                out = array("I", ids).tobytes()
-            if len(chunk) <= 64:
-                if len(self.new) >= CACHE:
-                    self.old, self.new = self.new, {}
-                self.new[chunk] = out
+        if (out := self.recent.get(chunk)) is None:
+            body = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+            if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:
+                ids = [t.id for t in self.model.tokenize(body.lower().translate(self.latin))]
+                if body is not chunk:
+                    ids += self.mark[chunk[-1]]
+            else:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            out = self.recent.put(chunk, array("I", ids).tobytes())
         return out
 
 
@@ -171,7 +188,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_chars:
 
     A partition of the range over doc_id starts another file after file_chars of text, so a task holds no more than that.
     """
-    ordered = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", "hash", "place"]
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -201,8 +220,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, file_chars:
                     kept, size, order = [], 0, order + 1
         if kept:
             yield close().append_column("piece", pa.array([order], pa.int64()))
+        encoder(path).recent.clear()
 
-    made = ordered.mapInArrow(run, "path string, first_id bigint, null_first boolean, docs bigint, ids bigint, piece bigint")
+    made = ordered.mapInArrow(released(run), "path string, first_id bigint, null_first boolean, docs bigint, ids bigint, piece bigint")
     return made.withColumn("part", F.spark_partition_id())
 
 
@@ -220,11 +240,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with files.open_input_file(path) as f:
                     codes = Codes(f.read())
-                raw, first = memoryview(codes.all().astype("<u4")).cast("B"), codes.first
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first, first[1:], strict=False)]
+                first = codes.first
+                crc = [zlib.crc32(codes.span(a, b).astype("<u4", copy=False)) for a, b in itertools.pairwise(first.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids, mask=codes.nulls.astype(bool)), pa.array(first[:-1] + base), pa.array(np.diff(first)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.repartition(max(1, len(rows))).mapInArrow(released(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import U64, mix, slices
+from docassay.llm._common import U64, mix, released, slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 SEGMENT = 32
 ROUNDS = 8
 PENALTY = 4.0
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 @functools.cache
@@ -81,7 +81,7 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                     sums[name] += np.bincount(bucket[code == k], minlength=BUCKETS)
         yield from flush()
 
-    return rows.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 made = infer(batch.column(len(keep)), names, table)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(x, kind) for x, kind in zip(made, MADE.values(), strict=True))], names=[*keep, *(prefix + x for x in MADE)])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(released(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

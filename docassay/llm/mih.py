@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docassay.llm._common import released
 from docassay.llm._vectors import Best, clean, matrix, row_blocks, search
 
 SAMPLE = 4_096
@@ -156,7 +157,7 @@ def radius_for(rows: DataFrame, queries: DataFrame, k: int, width: int, model) -
         i, j = np.nonzero(best.id != np.iinfo(np.int64).max)
         yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best.score[i, j]), pa.array([distances[a, int(best.id[a, b])] for a, b in zip(i.tolist(), j.tolist(), strict=True)], pa.int32())], names=["query_id", "score", "distance"])
 
-    near = rows.mapInArrow(run, "query_id bigint, score double, distance int").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "distance")), asc=False), 1, k).alias("near"))
+    near = rows.mapInArrow(released(run), "query_id bigint, score double, distance int").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "distance")), asc=False), 1, k).alias("near"))
     far = sorted(d["distance"] for r in near.collect() for d in r["near"])  # PROBES times k values
     return far[min(len(far) - 1, int(COVER * len(far)))] if far else 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm._common import hash_words, materialise, slices, words_of
+from docassay.llm._common import hash_words, materialise, released, slices, words_of
 
 SAMPLE = 8_000
 BUCKETS = 1 << 14
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[np.ndar
                 shapes = pa.ListArray.from_arrays(pa.array(np.arange(len(shape) + 1, dtype=np.int32) * SHAPES), pa.array(shape.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), lists, shapes], names=["doc_id", "domain", "buckets", "shape"])
 
-    table = joined.select("doc_id", "domain", "text").mapInArrow(run, "doc_id bigint, domain string, buckets array<int>, shape array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    table = joined.select("doc_id", "domain", "text").mapInArrow(released(run), "doc_id bigint, domain string, buckets array<int>, shape array<double>").toArrow().sort_by("doc_id").combine_chunks()
     w, v = np.zeros((BUCKETS, len(domains))), np.zeros((SHAPES, len(domains)))
     if not table.num_rows:
         return w, v
@@ -118,7 +118,7 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: l
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * d), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(n), lists], names=[*keep, f"{prefix}n_tokens", f"{prefix}posterior"])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(released(run), schema)
 
 
 def rate_of(tokens: Column, posterior: Column, moved: list[float]) -> Column:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import U64, hash_words, materialise, mix, slices, words_of
+from docassay.llm._common import U64, hash_words, materialise, mix, released, slices, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -121,7 +121,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.astype(np.int64), mask=none), lists], names=["doc_id", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id bigint, node bigint, keys array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(sa, sb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out.filter(pc.equal(out.column("node"), out.column("asked"))).select(["node", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "node").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    return texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("text", "node").mapInArrow(released(run), "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
