@@ -1,22 +1,28 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks with their place in the element tree. Each block has two terminal capacities: what
-it costs to call it boilerplate, and what it costs to call it content, from a logistic model over its shape (words, link
-share, sentence marks, heading, list) plus fixed evidence of its containers. Smoothness edges join neighbours in the page
-and neighbours under one parent; they weaken with tree distance and across containers. Blocks whose terminal capacity
-outweighs all their edges are settled first (this is exact); a maximum flow over the rest gives the cut.
-
-The shape model is fitted on the blocks of at most SAMPLE pages, those of least hash, whose containers tell content and
-boilerplate apart. Everything else runs on every whole page.
+A page becomes a row of text blocks with their place in the element tree. A classifier gives each block its terminal
+capacity: the log-odds of being content, by its shape (words, link share, sentence marks, heading, list) and by what its
+containers are called (elements, roles, words of class and id names), all of them features of one logistic model.
+Smoothness edges join neighbours in the page and neighbours under one ancestor; their capacity is half the log-odds that
+blocks so related are of one kind. Blocks whose terminal capacity outweighs all their edges are settled first (this is
+exact); a maximum flow over the rest gives the cut, so neighbours outvote a block that its own features leave in doubt.
+
+Weights and edges are fitted on the blocks of all pages, as counts by feature cell (their number is bounded by the
+features). Labels come from pages that mark their main part with an element or role: what is in it is content, all else
+boilerplate. Every labelled block counts three times: with all features, without elements and roles, and by its shape
+alone, so that pages without such marks are judged by the features that they have. Counts become shares, so the fit is
+the same at every size; a ridge towards PRIOR decides where the pages say nothing.
 
 Defined results: null or empty html, and pages without content, give an empty string. Unclosed, crossed and stray tags
 are repaired as far as a stack of open elements can; a "<" that opens no tag is text. An unclosed script or style ends
-with the page, another unclosed raw element at its own tag. Of a formula the MathML stays, without its annotations. Rows are independent: repeated
-rows and clashing extra columns change nothing. Of equal cuts the one with the least content is taken.
+with the page, another unclosed raw element at its own tag. Of a formula the MathML stays, without its annotations.
+What a page hides is not text. Rows are independent: repeated rows and clashing extra columns change nothing. Of equal
+cuts the one with the least content is taken.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import deque
@@ -26,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import slices
+from docassay.llm._common import released, slices
 
-SAMPLE = 2_000
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -46,29 +51,47 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 CLOSES_P = BLOCK - {"br"}
 ITEMS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "optgroup"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTENT = frozenset("article main".split())
+MAINS = frozenset("article main".split())
 AWAY = frozenset("nav footer aside form button menu dialog fieldset label search head".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip".split())
 # Words of class and id names, apart at hyphens, underscores, digits and humps.
-AWAY_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus respond discussion share sharing social related recommended recommendations trending popular subscribe subscription newsletter signup login signin register widget widgets popup modal overlay paywall toolbar pagination pager tags taglist copyright legal disclaimer skip search form".split())
+AWAY_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus respond discussion share sharing social related recommended recommendations trending popular subscribe subscription newsletter signup login signin register widget widgets popup modal overlay paywall toolbar pagination pager tags taglist copyright legal disclaimer skip search form".split())
 CONTENT_WORDS = frozenset("article content post entry story body text prose main".split())
+# Words that say nothing beside a word of the first list: a name made of both kinds only is sure.
+PLAIN_WORDS = frozenset("area bar block body bottom box btn button buttons col column container content div footer group header holder inner item items left link links list main panel post posts right section slot top unit wrap wrapper".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE = re.compile(r"[.!?…。！？](?:[\"'”’)\]]*)(?:\s|$)")
 
-FIXED_AWAY, FIXED_CONTENT, HINT, MOST_SHAPE = 8.0, 5.0, 2.5, 3.0
-BASE_SHAPE = (0.0,) * 17
-NEXT, SIBLING = 1.0, 0.75
+# Evidence of a block's containers: the marked main part; an element or role that is not main text; a name that surely is
+# not, or partly; a name of content; and, on a page with a marked main part, a place outside it.
+MAIN, ASIDE, SURE, PARTLY, NAMED, OUTSIDE = (1 << k for k in range(6))
+SHAPES, EVIDENCE = 16, 6
+#: Log-odds that each feature adds where the pages say nothing: words (6), link share (4), sentence marks (2), heading
+#: (2), list item (2), then the evidence in its order, then what every block has.
+PRIOR = (-1.0, -0.6, 0.0, 0.5, 1.0, 1.5, 0.5, 0.0, -1.5, -2.5, -0.6, 0.7, 0.0, 0.2, 0.1, -0.3, 1.5, -3.0, -3.0, -0.6, 1.0, -1.0, 0.3)
+#: What all labelled blocks together weigh against the ridge.
+WEIGHT = 200.0
+#: Relations: same block parent, same ancestor above it, near in depth, else; each for equal and for unequal evidence; then
+#: the next block under the same ancestor.
+RELATIONS = 9
+PRIOR_EDGES = (1.5, 1.2, 0.6, 0.4, 0.4, 0.2, 0.1, 0.05, 0.8)
+#: Share that smooths a relation's odds.
+SMOOTH = 0.02
+LEAST_EDGE = 0.05
+UNITS = 10_000
+#: The model without any page.
+BASE = (PRIOR, PRIOR_EDGES)
 
 
 class Block:
-    __slots__ = ("away", "content", "depth", "heading", "hint", "item", "key", "linked", "parent", "text")
+    __slots__ = ("depth", "evidence", "heading", "item", "key", "linked", "parent", "text")
 
 
 def parse(source: str) -> list[Block]:
     """Text blocks in page order."""
     blocks: list[Block] = []
-    # An open element: (name, ordinal, away, content, hint, hidden).
-    stack: list[tuple] = [("", 0, False, False, 0, False)]
+    # An open element: (name, ordinal, evidence, hidden).
+    stack: list[tuple] = [("", 0, 0, False)]
     names: list[str] = [""]
     opened: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
@@ -86,7 +109,7 @@ def parse(source: str) -> list[Block]:
                     k -= 1
                 b = Block()
                 b.text, b.linked, b.parent, b.depth = text, min(linked, len(text)), stack[k][1], len(stack)
-                b.away, b.content, b.hint = top[2], top[3], top[4]
+                b.evidence = top[2]
                 b.heading = names[k] in HEADINGS
                 b.item = bool(opened.get("li") or opened.get("td") or opened.get("dd"))
                 b.key = stack[k - 1][1] if k else 0
@@ -108,7 +131,7 @@ def parse(source: str) -> list[Block]:
 
     def add(text: str):
         nonlocal linked
-        if not stack[-1][5]:
+        if not stack[-1][3]:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -167,13 +190,11 @@ def parse(source: str) -> list[Block]:
             continue
         if name in VOID or m["attrs"].rstrip().endswith("/"):
             continue
-        _, _, away, content, hint, hidden = stack[-1]
-        if name in CONTENT:
-            away, content, hint = False if name == "article" and not away else away, True, 0 if not away else hint
-        elif name in AWAY:
-            away = True
-        elif name == "header" and not content:
-            away = True
+        _, _, evidence, hidden = stack[-1]
+        if name in MAINS:
+            evidence = evidence & ~PARTLY | MAIN
+        elif name in AWAY or (name == "header" and not evidence & MAIN):
+            evidence |= ASIDE
         attrs = m["attrs"]
         if attrs:
             seen = set()
@@ -183,17 +204,10 @@ def parse(source: str) -> list[Block]:
                     continue
                 seen.add(key)
                 if key in ("class", "id") and name not in ("html", "body"):
-                    words = {w.lower() for w in WORD.findall(value)}
-                    if words & AWAY_WORDS and not (words & {"header"} and content and len(words & AWAY_WORDS) == 1):
-                        if words & CONTENT_WORDS and not words & {"comment", "comments", "sidebar", "footer", "nav", "menu", "related", "ad", "ads", "advert"}:
-                            hint -= 1
-                        else:
-                            away = True
-                    elif words & CONTENT_WORDS:
-                        hint += 1
+                    evidence |= named(value, bool(evidence & MAIN))
                 elif key == "role":
-                    away = away or bool({*value.lower().split()} & AWAY_ROLES)
-                    content = content or value.lower() in ("main", "article")
+                    roles = {*value.lower().split()}
+                    evidence |= ASIDE * bool(roles & AWAY_ROLES) | MAIN * bool(roles & MAINS)
                 elif key == "style":
                     flat = value.lower().replace(" ", "")
                     hidden = hidden or "display:none" in flat or "visibility:hidden" in flat
@@ -201,13 +215,32 @@ def parse(source: str) -> list[Block]:
                     hidden = True
         ordinal += 1
         links += name == "a"
-        stack.append((name, ordinal, away, content, max(-2, min(2, hint)), hidden))
+        stack.append((name, ordinal, evidence, hidden))
         names.append(name)
         opened[name] = opened.get(name, 0) + 1
     flush()
+    if any(b.evidence & MAIN for b in blocks):
+        for b in blocks:
+            if not b.evidence & MAIN:
+                b.evidence |= OUTSIDE
     return blocks
 
 
+@functools.lru_cache(4096)
+def named(value: str, in_main: bool) -> int:
+    """Evidence of a class or id attribute."""
+    out = 0
+    for token in value.split()[:64]:
+        words = [w.lower() for w in WORD.findall(token)]
+        away = [w for w in words if w in AWAY_WORDS and not (in_main and w == "header")]
+        if away:
+            sure = any(w not in PLAIN_WORDS for w in away) or len(words) == 1
+            out |= SURE if sure and all(w in AWAY_WORDS or w in PLAIN_WORDS for w in words) else PARTLY
+        elif any(w in CONTENT_WORDS for w in words):
+            out |= NAMED
+    return out
+
+
 def shape(b: Block) -> tuple[int, ...]:
     """The active shape features of a block: word count, link share, sentence marks, heading, list item."""
     words, share = b.text.count(" ") + 1, b.linked / len(b.text)
@@ -217,132 +250,240 @@ def shape(b: Block) -> tuple[int, ...]:
         10 + bool(SENTENCE.search(b.text)),
         12 + b.heading,
         14 + b.item,
-        16,
     )
 
 
 def terminals(blocks: list[Block], weights: tuple[float, ...]) -> list[float]:
     """Capacity to the content side less that to the boilerplate side, of each block."""
-    out = []
-    for b in blocks:
-        x = max(-MOST_SHAPE, min(MOST_SHAPE, sum(weights[k] for k in shape(b))))
-        x += HINT * b.hint
-        if b.away:
-            x -= FIXED_AWAY
-        elif b.content:
-            x += FIXED_CONTENT
-        out.append(x)
-    return out
+    by_evidence = {e: weights[-1] + sum(weights[SHAPES + k] for k in range(EVIDENCE) if e >> k & 1) for e in {b.evidence for b in blocks}}
+    return [by_evidence[b.evidence] + sum(weights[k] for k in shape(b)) for b in blocks]
 
 
-def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def relations(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """(block, later block, kind of relation) of the pairs that edges join."""
     out, last = [], {}
     for k, b in enumerate(blocks):
         if k:
             a = blocks[k - 1]
-            near = 1.0 if a.parent == b.parent or a.key == b.key else 0.6 if abs(a.depth - b.depth) <= 1 else 0.3
-            out.append((k - 1, k, NEXT * near if (a.away, a.content) == (b.away, b.content) else 0.1))
-        j = last.get((b.key, b.away))
+            kind = 0 if a.parent == b.parent else 1 if a.key == b.key else 2 if abs(a.depth - b.depth) <= 1 else 3
+            out.append((k - 1, k, kind if a.evidence == b.evidence else 4 + kind))
+        j = last.get((b.key, b.evidence))
         if j is not None and j < k - 1:
-            out.append((j, k, SIBLING))
-        last[b.key, b.away] = k
+            out.append((j, k, 8))
+        last[b.key, b.evidence] = k
     return out
 
 
 def minimum_cut(unary: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """The content side of a minimum cut; of several, the least."""
+    """The content side of a minimum cut; of several, the least. Capacities count in whole units."""
     n = len(unary)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    near: list[dict[int, int]] = [{} for _ in range(n)]
+    total = [0] * n
     for a, b, w in links:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    gain, side = list(unary), [None] * n
+        w = round(w * UNITS)
+        near[a][b] = near[a].get(b, 0) + w
+        near[b][a] = near[b].get(a, 0) + w
+        total[a] += w
+        total[b] += w
+    gain, side = [round(u * UNITS) for u in unary], [None] * n
     pending = deque(range(n))
     while pending:  # a block that outweighs its edges is settled; its edges become capacities of its neighbours
         k = pending.popleft()
-        if side[k] is None and abs(gain[k]) > sum(near[k].values()):
+        if side[k] is None and abs(gain[k]) > total[k]:
             side[k] = gain[k] > 0
             for j, w in near[k].items():
                 gain[j] += w if side[k] else -w
+                total[j] -= w
                 del near[j][k]
                 pending.append(j)
             near[k] = {}
     rest = [k for k in range(n) if side[k] is None]
     if rest:
-        content = _flow(rest, gain, near)
-        for k in rest:
-            side[k] = k in content
+        for k, content in zip(rest, flow_side(rest, gain, near), strict=True):
+            side[k] = content
     return [bool(s) for s in side]
 
 
-def _flow(rest: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow by shortest augmenting paths."""
-    source, sink = -1, -2
-    room: dict[int, dict[int, float]] = {source: {}, sink: {}} | {k: dict(near[k]) for k in rest}
+def flow_side(rest: list[int], gain: list[int], near: list[dict[int, int]]) -> list[bool]:
+    """Whether the source still reaches each node after a maximum flow, by two search trees that grow from the terminals,
+    meet on augmenting paths and keep what a saturated arc did not cut off."""
+    place = {k: i for i, k in enumerate(rest)}
+    n = len(rest)
+    to: list[int] = []
+    cap: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]
     for k in rest:
-        a, b = (source, k) if gain[k] > 0 else (k, sink)
-        room[a][b] = abs(gain[k])
-        room[b][a] = 0.0
-    while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
-            a = queue.popleft()
-            for b, w in room[a].items():
-                if w > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if sink not in before:
-            return {*before} - {source}
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        least = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= least
-            room[b][a] = room[b].get(a, 0.0) + least
-
-
-def main_text(source: str, weights: tuple[float, ...]) -> str:
+        i = place[k]
+        for other, w in near[k].items():
+            j = place[other]
+            if i < j:  # arc a goes from i to j, arc a ^ 1 back
+                arcs[i].append(len(to))
+                arcs[j].append(len(to) + 1)
+                to += (j, i)
+                cap += (w, w)
+    room = [gain[k] for k in rest]  # to the source if above 0, to the sink if below
+    tree = [(g > 0) - (g < 0) for g in room]  # 1: of the source, -1: of the sink, 0: free
+    up = [-1 if t else None for t in tree]  # the arc to the parent, -1 at a terminal, None without a parent
+    active = deque(i for i in range(n) if tree[i])
+
+    def rooted(i: int) -> bool:
+        while up[i] is not None:
+            if up[i] == -1:
+                return True
+            i = to[up[i]]
+        return False
+
+    def augment(a: int) -> list[int]:
+        """Push what the path through arc a, from the source's tree to the sink's, lets through; the nodes cut off."""
+        i, j = to[a ^ 1], to[a]
+        least, x = cap[a], i
+        while up[x] != -1:
+            least = min(least, cap[up[x] ^ 1])
+            x = to[up[x]]
+        least, x = min(least, room[x]), j
+        while up[x] != -1:
+            least = min(least, cap[up[x]])
+            x = to[up[x]]
+        least = min(least, -room[x])
+        cap[a] -= least
+        cap[a ^ 1] += least
+        lost = []
+        for x, sign in ((i, 1), (j, -1)):
+            while up[x] != -1:
+                arc = up[x] ^ 1 if sign > 0 else up[x]
+                cap[arc] -= least
+                cap[arc ^ 1] += least
+                parent = to[up[x]]
+                if not cap[arc]:
+                    up[x] = None
+                    lost.append(x)
+                x = parent
+            room[x] -= sign * least
+            if not room[x]:
+                up[x] = None
+                lost.append(x)
+        return lost
+
+    def adopt(lost: list[int]) -> None:
+        while lost:
+            i = lost.pop()
+            t = tree[i]
+            for a in arcs[i]:
+                if tree[to[a]] == t and cap[a ^ 1 if t > 0 else a] and rooted(to[a]):
+                    up[i] = a
+                    break
+            else:
+                for a in arcs[i]:
+                    j = to[a]
+                    if tree[j] == t:
+                        if cap[a ^ 1 if t > 0 else a]:
+                            active.append(j)
+                        if up[j] == a ^ 1:
+                            up[j] = None
+                            lost.append(j)
+                tree[i] = 0
+
+    while active:
+        i = active[0]
+        t, meeting = tree[i], None
+        if t:
+            for a in arcs[i]:
+                if cap[a if t > 0 else a ^ 1]:
+                    j = to[a]
+                    if not tree[j]:
+                        tree[j], up[j] = t, a ^ 1
+                        active.append(j)
+                    elif tree[j] != t:
+                        meeting = a if t > 0 else a ^ 1
+                        break
+        if meeting is None:
+            active.popleft()
+        else:
+            adopt(augment(meeting))
+    return [t > 0 for t in tree]
+
+
+def labels(source: str, model: tuple[tuple[float, ...], tuple[float, ...]]) -> tuple[list[Block], list[float], list[bool]]:
+    """(blocks, terminal capacities, whether each is content) of a page."""
     blocks = parse(source)
-    side = minimum_cut(terminals(blocks, weights), edges(blocks))
+    weights, edges = model
+    unary = terminals(blocks, weights)
+    return blocks, unary, minimum_cut(unary, [(a, b, edges[kind]) for a, b, kind in relations(blocks)])
+
+
+def main_text(source: str, model: tuple[tuple[float, ...], tuple[float, ...]]) -> str:
+    blocks, _, side = labels(source, model)
     return " ".join(b.text for b, s in zip(blocks, side, strict=True) if s)
 
 
-def fit(pages: DataFrame) -> tuple[float, ...]:
-    """Shape weights from the blocks of a bounded sample whose containers are sure."""
-    chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-    sample = pages.select("page_id", F.col("html").cast("string")).join(F.broadcast(chosen), "page_id", "left_semi").select("html")
+def truth(b: Block) -> bool | None:
+    """What a page's own marks say of a block: content, boilerplate, or nothing sure."""
+    if b.evidence & MAIN:
+        return None if b.evidence & (ASIDE | SURE | PARTLY) else True
+    return False if b.evidence & OUTSIDE else None
+
+
+def fit(pages: DataFrame) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """(feature weights, edge capacities) from the blocks of all pages that mark their main part."""
 
     def run(batches):
+        counts: dict[tuple, int] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
-                counts: dict[tuple, int] = {}
                 for page in batch.column("html").to_pylist():
-                    for b in parse(page or ""):
-                        if b.away or b.content:
-                            key = (b.content and not b.away, *shape(b))
+                    blocks = parse(page or "")
+                    known = [truth(b) for b in blocks]
+                    for b, yes in zip(blocks, known, strict=True):
+                        if yes is not None:
+                            key = (yes, b.evidence, *shape(b))
                             counts[key] = counts.get(key, 0) + 1
-                yield pa.RecordBatch.from_pydict({"yes": pa.array([k[0] for k in counts], pa.bool_()), "shape": pa.array([list(k[1:]) for k in counts], pa.list_(pa.int32())), "n": pa.array([*counts.values()], pa.int64())})
-
-    cells = sample.mapInArrow(run, "yes boolean, shape array<int>, n bigint").groupBy("yes", "shape").agg(F.sum("n").alias("n")).collect()  # as many as shapes exist
-    size = len(BASE_SHAPE)
-    x = np.zeros((len(cells), size))
-    for i, c in enumerate(cells):
-        x[i, c["shape"]] = 1
-    y, n = np.array([c["yes"] for c in cells], float), np.array([c["n"] for c in cells], float)
-    if not len(cells) or y.min() == y.max():
-        return BASE_SHAPE
-    n = n / np.where(y > 0, n[y > 0].sum(), n[y == 0].sum())  # both sides weigh the same
-    w = np.zeros(size)
-    for _ in range(25):  # Newton with a ridge
+                    for i, j, kind in relations(blocks):
+                        if known[i] is not None and known[j] is not None:
+                            key = (known[i] == known[j], -1, kind)
+                            counts[key] = counts.get(key, 0) + 1
+        keys = [*counts]
+        yield pa.RecordBatch.from_pydict({"yes": pa.array([k[0] for k in keys], pa.bool_()), "evidence": pa.array([k[1] for k in keys], pa.int32()), "shape": pa.array([list(k[2:]) for k in keys], pa.list_(pa.int32())), "n": pa.array([counts[k] for k in keys], pa.int64())})
+
+    made = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(released(run), "yes boolean, evidence int, shape array<int>, n bigint")
+    cells = made.groupBy("yes", "evidence", "shape").agg(F.sum("n").alias("n")).collect()  # as many as features have values
+    return _weights([c for c in cells if c["evidence"] >= 0]), _edges([c for c in cells if c["evidence"] < 0])
+
+
+def _weights(cells: list) -> tuple[float, ...]:
+    prior = np.array(PRIOR)
+    yes = sum(c["n"] for c in cells if c["yes"])
+    no = sum(c["n"] for c in cells if not c["yes"])
+    if not yes or not no:
+        return PRIOR
+    x, y, n = [], [], []
+    marks = MAIN | OUTSIDE | ASIDE
+    for c in sorted(cells, key=lambda c: (c["yes"], c["evidence"], c["shape"])):
+        for evidence in (c["evidence"], c["evidence"] & ~marks, 0):
+            row = np.zeros(len(prior))
+            row[[*c["shape"], *(SHAPES + k for k in range(EVIDENCE) if evidence >> k & 1), len(prior) - 1]] = 1
+            x.append(row)
+            y.append(float(c["yes"]))
+            n.append(WEIGHT * c["n"] / (yes if c["yes"] else no) / 6)  # both sides, and the three views, weigh the same
+    x, y, n, w = np.array(x), np.array(y), np.array(n), prior.copy()
+    for _ in range(50):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(size)
-        w -= np.linalg.solve(h, x.T @ (n * (p - y)) + 1e-3 * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (n * (p - y)) + (w - prior))
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
     return tuple(float(v) for v in w)
 
 
-def extract(pages: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+def _edges(cells: list) -> tuple[float, ...]:
+    same, other = np.zeros(RELATIONS), np.zeros(RELATIONS)
+    for c in cells:
+        (same if c["yes"] else other)[c["shape"][0]] += c["n"]
+    total = same + other
+    odds = (same / np.maximum(total, 1) + SMOOTH) / (other / np.maximum(total, 1) + SMOOTH)
+    return tuple(float(max(LEAST_EDGE, np.log(o) / 2)) if t else p for o, t, p in zip(odds, total, PRIOR_EDGES, strict=True))
+
+
+def extract(pages: DataFrame, model: tuple[tuple[float, ...], tuple[float, ...]]) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     chosen = pages.select("page_id", "url", F.col("html").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -350,7 +491,7 @@ def extract(pages: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "html"):
-                texts = [main_text(page or "", weights) for page in batch.column("html").to_pylist()]
+                texts = [main_text(page or "", model) for page in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return chosen.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return chosen.mapInArrow(released(run), f"{kinds}, text string, n_chars bigint")
