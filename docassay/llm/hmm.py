@@ -5,11 +5,15 @@ words of all training rows are a distributed table keyed by a 64-bit hash; every
 the commonest words, FREQUENT at most, in a broadcast, all others by a join, after each row has summed up its own.
 
 The HMM emits classes: each of the OWN commonest words is a class, the end is one, other words share one of TAILS
-classes by their last letters; within such a class a word has its add-one share. Baum-Welch runs over all training rows
-from a fixed random start, until a round raises the summed log-likelihood by less than TOLERANCE of it: tasks add up
-expected counts over windows of WINDOW tokens, Spark sums them across partitions, the driver holds one STATES x classes
-model. MOST_ROUNDS only guards against a run without end; a model that meets it is reported by a warning. Scoring runs the scaled forward recursion over whole rows, so a row's score is exact under the
-model: log10 of the probability of its class sequence and of its words given their classes.
+classes by their last letters; within such a class a word has its add-one share. Baum-Welch runs over all training rows,
+whole, from a fixed random start, until a pass raises the summed log-likelihood by less than TOLERANCE of it. A pass is
+SHARDS steps: in each, tasks add up expected counts over the rows of one share of the files, Spark sums them across
+partitions, they replace that share's counts of the pass before, and the model is made anew from the counts of all shares
+(incremental expectation-maximisation). The model to start from is trained likewise on the first share alone. The driver holds SHARDS tables of STATES x classes. MOST_PASSES only guards against
+a run without end; a model that meets it is reported by a warning. Rows are walked in windows of WINDOW tokens that hand
+their state on, forwards and then backwards, so memory does not grow with a row's length and nothing is cut. Scoring
+runs the scaled forward recursion over whole rows, so a row's score is exact under the model: log10 of the probability of
+its class sequence and of its words given their classes.
 
 Defined results: null and empty texts are the end token alone. A table without training rows gives every token an equal
 share. Rows that repeat a doc_id are scored one by one, and all of them train. Extra columns take no part.
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import U64, hash_words, materialise, slices, words_of
+from docassay.llm._common import U64, hash_words, materialise, released, slices, words_of
 
 STATES = 8
 OWN, TAILS = 4096, 512
@@ -35,12 +39,12 @@ END = CLASSES - 1
 FREQUENT = 1 << 18
 #: Bins to a doubling of the count, where the commonest words are told from the others.
 BINS = 64
-WINDOW = 64
-#: Windows that are walked at once.
-WINDOWS = 2048
-#: Training ends when a round's relative gain in log-likelihood is below this.
+#: Tokens that are walked between two stored states, and rows that are walked at once.
+WINDOW, ROWS = 128, 1024
+#: Training ends when a pass's relative gain in log-likelihood is below this.
 TOLERANCE = 1e-4
-MOST_ROUNDS = 500
+SHARDS = 8
+MOST_PASSES = 200
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 1_000_000
 
@@ -84,7 +88,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "hash bigint, tail smallint, n bigint").where("n > 0").groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(released(run), "hash bigint, tail smallint, n bigint").where("n > 0").groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
 
 
 class Vocabulary:
@@ -176,81 +180,83 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 )
                 rid += count
 
-    return docs.select("doc_id", "held_out", F.col("text").cast("string")).mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, classes binary, known bigint, logs double, within double, rare binary, times binary")
+    return docs.select("doc_id", "held_out", F.col("text").cast("string")).mapInArrow(released(run), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, classes binary, known bigint, logs double, within double, rare binary, times binary")
 
 
 class Model:
-    """Start, start of a later window, transitions and emissions (classes x states)."""
+    """Start, transitions and emissions (classes x states)."""
 
-    def __init__(self, start: np.ndarray, later: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.later, self.move, self.emit = start, later, move, emit
-        self.rounds = 0
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
+        self.passes = 0
 
     @classmethod
     def initial(cls, shares: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         emit = (shares + 1e-9)[:, None] * rng.gamma(2.0, 1.0, (len(shares), states))
         move = np.full((states, states), 0.3 / max(1, states - 1)) + np.eye(states) * (0.7 - 0.3 / max(1, states - 1))
-        even = np.full(states, 1 / states)
-        return cls(even, even, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def expected(model: Model, seqs: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts (starts, later starts, moves, emissions) and log-likelihood over windows of the sequences."""
+def expected(model: Model, seqs: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (starts, moves, emissions) and log-likelihood of whole sequences."""
     k, classes = len(model.start), len(model.emit)
-    starts, later = np.zeros(k), np.zeros(k)
-    moves, emits, total = np.zeros((k, k)), np.zeros((k, classes)), 0.0
-    flat = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
-    n = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs))
-    if not len(flat):
-        return starts, later, moves, emits.T, total
-    per = -(-n // window)
-    first = np.repeat(np.cumsum(n) - n, per)
-    inner = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    begin = first + inner * window
-    size = np.minimum(window, np.repeat(n, per) - inner * window)
-    order = np.argsort(-size, kind="stable")
-    begin, size, inner = begin[order], size[order], inner[order]
-    emit, onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    for a in range(0, len(begin), WINDOWS):  # arrays are states x windows
-        b0, s0, i0 = begin[a : a + WINDOWS], size[a : a + WINDOWS], inner[a : a + WINDOWS]
-        active = [int(np.searchsorted(-s0, -t, side="left")) for t in range(int(s0[0]))]  # windows longer than t
-        alphas, scales, outs, gammas = [], [], [], []
-        for t, m in enumerate(active):
-            c = flat[b0[:m] + t]
-            e = emit.take(c, axis=1)
-            x = (np.where(i0 == 0, model.start[:, None], model.later[:, None]) if t == 0 else onward @ alphas[-1][:, :m]) * e
-            s = x.sum(axis=0)
-            alphas.append(x / s)
-            scales.append(s)
-            outs.append((c, e))
-        total += float(np.log(np.concatenate(scales)).sum())
-        beta = np.empty((k, 0))
-        for t in range(len(active) - 1, -1, -1):
-            m = active[t]
-            full = np.ones((k, m))
-            full[:, : beta.shape[1]] = beta
-            gamma = alphas[t] * full
-            gamma /= gamma.sum(axis=0)
-            gammas.append(gamma)
-            if t:
-                y = outs[t][1] * full / scales[t]
-                moves += model.move * (alphas[t - 1][:, :m] @ y.T)
-                beta = model.move @ y
-            else:
-                starts += gamma[:, i0 == 0].sum(axis=1)
-                later += gamma[:, i0 > 0].sum(axis=1)
-        c = np.concatenate([c for c, _ in reversed(outs)])
-        for j in range(k):
-            emits[j] += np.bincount(c, np.concatenate([g[j] for g in gammas]), classes)
-    return starts, later, moves, emits.T, total
-
-
-def maximise(starts, later, moves, emits) -> Model:
+    starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
+    seqs = sorted((s for s in seqs if len(s)), key=len, reverse=True)
+    emit = np.ascontiguousarray(model.emit.T, dtype=np.float32)
+    start, move = model.start.astype(np.float32)[:, None], model.move.astype(np.float32)
+    onward = np.ascontiguousarray(move.T)
+    for a in range(0, len(seqs), ROWS):  # arrays are states x sequences, the longest first
+        group = seqs[a : a + ROWS]
+        flat, n = np.concatenate(group), np.fromiter(map(len, group), dtype=np.int64, count=len(group))
+        begin = np.cumsum(n) - n
+        longer = lambda t, n=n: int(np.searchsorted(-n, -t, side="left"))  # noqa: E731  sequences longer than t
+
+        def walk(w: int, before: np.ndarray | None, last: int | None = None, flat=flat, begin=begin, n=n, longer=longer):
+            """Classes, emissions, scaled states and scales of a window's places, for all sequences or the first ones."""
+            for t in range(w * window, min((w + 1) * window, int(n[0]))):
+                m = longer(t) if last is None else last
+                c = flat[begin[:m] + t]
+                e = emit.take(c, axis=1)
+                x = (start if before is None else onward @ before[:, :m]) * e
+                s = x.sum(axis=0)
+                before = x / s
+                yield c, e, before, s
+
+        entries: list[np.ndarray | None] = [None]  # the state before each window
+        while (m := longer(len(entries) * window)) > 0:
+            for _, _, state, _ in walk(len(entries) - 1, entries[-1], m):
+                pass
+            entries.append(state)
+        carry = np.empty((k, 0), np.float32)  # what the next window hands back
+        for w in range(len(entries) - 1, -1, -1):
+            steps = list(walk(w, entries[w]))
+            total += sum(float(np.log(s, dtype=np.float64).sum()) for *_, s in steps)
+            gammas = []
+            for i in range(len(steps) - 1, -1, -1):
+                _, e, alpha, s = steps[i]
+                beta = np.ones_like(alpha)
+                if carry.shape[1]:
+                    after = carry.shape[1]
+                    beta[:, :after] = move @ carry
+                    moves += model.move * (alpha[:, :after] @ carry.T)
+                gamma = alpha * beta
+                gamma /= gamma.sum(axis=0)
+                gammas.append(gamma)
+                carry = e * beta / s
+            if not w:
+                starts += gammas[-1].sum(axis=1)
+            c = np.concatenate([c for c, *_ in reversed(steps)])
+            for j in range(k):
+                emits[j] += np.bincount(c, np.concatenate([g[j] for g in gammas]), classes)
+    return starts, moves, emits.T, total
+
+
+def maximise(starts, moves, emits) -> Model:
     share = lambda x, add: (x + add) / (x + add).sum(axis=-1, keepdims=True)
     even = emits.sum(axis=1) + 0.5
     emit = emits + 0.1 * even[:, None] / even.sum() * max(1.0, float(emits.sum()) ** 0.5)
-    return Model(share(starts, 0.1), share(later, 0.1), share(moves, 0.1), emit / emit.sum(axis=0))
+    return Model(share(starts, 0.1), share(moves, 0.1), emit / emit.sum(axis=0))
 
 
 def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
@@ -277,17 +283,21 @@ def sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column("classes")]
 
 
-def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> Model:
-    """Baum-Welch over all rows until it converges; expected counts and log-likelihood are summed across partitions."""
+def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, most: int = MOST_PASSES) -> Model:
+    """Baum-Welch over all rows of a written table (classes, held_out) that are not held out, until it converges."""
     spark = rows.sparkSession
     model = Model.initial(shares)
     k, m = STATES, len(shares)
-    parts = (k, k, k * k, m * k, 1)
-    last = -np.inf
-    for done in range(most):
+    parts = (k, k * k, m * k, 1)
+    files = sorted(rows.inputFiles())
+    shards = [spark.read.schema(rows.schema).parquet(*files[i::SHARDS]).where("not held_out") for i in range(min(SHARDS, len(files)))]
+    counts = np.zeros((len(shards), sum(parts)))
+
+    def count(i: int) -> None:
+        """Expected counts of a share under the model."""
         sent = spark.sparkContext.broadcast(model)
 
-        def run(batches, sent=sent):
+        def run(batches):
             sums = np.zeros(sum(parts))
             for whole in batches:
                 for batch in slices(whole, "classes", 2_000_000):
@@ -296,16 +306,27 @@ def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, mos
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["place", "x"])
 
-        table = rows.select("classes").mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()  # as many rows as the model has parameters
-        sums = np.zeros(sum(parts))
-        sums[table["place"].to_numpy()] = table["x"].to_numpy()
-        a, b, c, d, (total,) = np.split(sums, np.cumsum(parts)[:-1])
-        if not sums.any() or total - last <= tolerance * abs(total):
-            return model
-        last = total
-        model = maximise(a, b, c.reshape(k, k), d.reshape(m, k))
-        model.rounds = done + 1
-    warnings.warn(f"Baum-Welch has not converged in {most} rounds", stacklevel=2)
+        table = shards[i].select("classes").mapInArrow(released(run), "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()  # as many rows as the model has parameters
+        counts[i] = 0
+        counts[i, table["place"].to_numpy()] = table["x"].to_numpy()
+        sent.unpersist()
+
+    # The first share alone gives the model to start from, then each pass takes all shares.
+    for stage in ([0],) * (len(shards) > 1) + (range(len(shards)),) * (len(shards) > 0):
+        last = -np.inf
+        for done in range(most):
+            for i in stage:
+                count(i)
+                if counts[:, -1].any() and (done or len(stage) == 1 or i + 1 == len(shards)):  # all of the stage's shares have counts
+                    a, c, d, _ = np.split(counts.sum(axis=0), np.cumsum(parts)[:-1])
+                    model = maximise(a, c.reshape(k, k), d.reshape(m, k))
+            total = counts[:, -1].sum()
+            if not total or total - last <= tolerance * abs(total):
+                break
+            last = total
+        else:
+            warnings.warn(f"Baum-Welch has not converged in {most} passes", stacklevel=2)
+        model.passes = done + 1
     return model
 
 
@@ -322,7 +343,7 @@ def score(docs: DataFrame) -> DataFrame:
     shares[vocabulary.own[own]] = vocabulary.count[own]
     shares[OWN : OWN + TAILS] = vocabulary.tail_n
     shares[END] = vocabulary.ends
-    model = train(rows.where("not held_out"), shares / max(1, shares.sum()))
+    model = train(rows, shares / max(1, shares.sum()))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -331,7 +352,7 @@ def score(docs: DataFrame) -> DataFrame:
                 logs = forward(sent.value, sequences(batch)) / np.log(10)
                 yield batch.drop_columns(["classes"]).append_column("sequence", pa.array(logs))
 
-    scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "logs", "within", "classes").mapInArrow(run, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, within double, sequence double")
+    scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "logs", "within", "classes").mapInArrow(released(run), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, within double, sequence double")
 
     def rare(batches):
         for whole in batches:
@@ -341,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
                 rid = np.repeat(np.asarray(batch.column("rid")), [len(x) for x in h])
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(h)), pa.array(np.concatenate(n).astype(np.int32))], names=["rid", "hash", "n"])
 
-    others = rows.select("rid", "rare", "times").mapInArrow(rare, "rid bigint, hash bigint, n int")
+    others = rows.select("rid", "rare", "times").mapInArrow(released(rare), "rid bigint, hash bigint, n int")
     found = others.join(counts.select("hash", "c"), "hash").groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     v = vocabulary
     floor, end_log = float(np.log10(v.tokens + v.distinct + 1)), float(np.log10(v.ends + 1))

@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from docassay.llm import bpe, dac, hmm, langid, mixing, pii, probminhash
-from docassay.llm._common import Recent, crc_remainder, shared_dir, slices, words_of
+from docassay.llm._common import Recent, crc_remainder, materialise, shared_dir, slices, words_of
 from docassay.llm.queries import TARGETS, tokenizer_path
 
 from .conftest import SF
@@ -443,6 +444,39 @@ def test_unigram_base_and_proper_scores(spark, documents, empty):
     assert hmm.score(empty.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
+def test_scores_equal_plain_code_under_the_trained_model(spark, documents, monkeypatch):
+    trained = []
+    train = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: trained.append(train(*a)) or trained[-1])
+    monkeypatch.setattr(hmm, "OWN", 300)  # so that many words share a class
+    monkeypatch.setattr(hmm, "FREQUENT", 900)  # and many are looked up by a join
+    monkeypatch.setattr(hmm, "CLASSES", 300 + hmm.TAILS + 1)
+    monkeypatch.setattr(hmm, "END", 300 + hmm.TAILS)
+    df = documents.select("doc_id", "text", (crc_remainder("doc_id", 7) == 2).alias("held_out"))
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(df).collect()}
+    (model,) = trained
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    docs = [(i, re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows(df)]
+    counts = Counter(x for _, w, held in docs if not held for x in w)
+    top = sorted(counts, key=lambda x: (-counts[x], int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)))))[:300]
+    own = {x: k for k, x in enumerate(top)}
+    tail = lambda x: zlib.crc32(x[-3:].encode()) % hmm.TAILS
+    n, v = Counter(), Counter()
+    for x, c in counts.items():
+        if x not in own:
+            n[tail(x)] += c
+            v[tail(x)] += 1
+    for i, words, _ in docs:
+        seq = [own.get(x, 300 + tail(x)) for x in words] + [hmm.END]
+        within = sum(math.log10((counts[x] + 1) / (n[tail(x)] + v[tail(x)] + 1)) for x in words if x not in own)
+        a, total = model.start, 0.0
+        for k, c in enumerate(seq):
+            a = (a if not k else a @ model.move) * model.emit[c]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(got[i, len(seq)], total + within, rel_tol=1e-6), i
+
+
 def test_baum_welch_and_forward():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(0, 6, rng.integers(1, 40)) for _ in range(50)]
@@ -455,11 +489,26 @@ def test_baum_welch_and_forward():
         return math.log(a.sum())
 
     assert np.allclose(hmm.forward(model, seqs), [brute(s) for s in seqs])
+    # Counts by the sum over all paths of states.
+    short = [s[:4] for s in seqs[:6]]
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+    for s in short:
+        paths = list(itertools.product(range(3), repeat=len(s)))
+        p = np.array([model.start[z[0]] * np.prod([model.emit[x, y] for x, y in zip(s, z, strict=True)]) * np.prod([model.move[a, b] for a, b in itertools.pairwise(z)]) for z in paths])
+        for z, w in zip(paths, p / p.sum(), strict=True):
+            starts[z[0]] += w
+            for a, b in itertools.pairwise(z):
+                moves[a, b] += w
+            for x, y in zip(s, z, strict=True):
+                emits[x, y] += w
+    for window in (1, 2, 3, 100):
+        got = hmm.expected(model, short, window)
+        assert np.allclose(got[0], starts, atol=1e-4) and np.allclose(got[1], moves, atol=1e-4) and np.allclose(got[2], emits, atol=1e-4)
     last = -np.inf
     for _ in range(8):
-        *sums, total = hmm.expected(model, seqs, window=64)
-        assert np.isclose(total, hmm.forward(model, seqs).sum()) and total > last - 0.5
-        assert np.isclose(sums[3].sum(), sum(map(len, seqs))) and np.isclose(sums[2].sum(), sum(len(s) - 1 for s in seqs))
+        *sums, total = hmm.expected(model, seqs, window=7)
+        assert np.isclose(total, hmm.forward(model, seqs).sum(), rtol=1e-5) and total > last - 0.5
+        assert np.isclose(sums[2].sum(), sum(map(len, seqs))) and np.isclose(sums[1].sum(), sum(len(s) - 1 for s in seqs))
         last, model = total, hmm.maximise(*sums)
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
 
@@ -468,18 +517,19 @@ def test_training_runs_until_it_converges(spark):
     rng = np.random.default_rng(1)
     seqs = [np.repeat(rng.permutation(4), 3) * 3 + rng.integers(0, 3, 12) for _ in range(200)]
     shares = np.bincount(np.concatenate(seqs), minlength=12) / sum(map(len, seqs))
-    rows = spark.createDataFrame([(s.astype(np.uint16).tobytes(),) for s in seqs], "classes binary").repartition(3)
-    model = hmm.train(rows, shares)
-    *sums, total = hmm.expected(model, seqs)
-    # One more round would gain next to nothing; three rounds are far from that.
-    assert hmm.expected(hmm.maximise(*sums), seqs)[4] - total < 1e-3 * abs(total)
-    early = hmm.Model.initial(shares)
-    for _ in range(3):
-        early = hmm.maximise(*hmm.expected(early, seqs)[:4])
-    assert total > hmm.expected(early, seqs)[4] + 0.01 * abs(total)
+    for parts in (1, 3, 12):
+        rows = materialise(spark.createDataFrame([(s.astype(np.uint16).tobytes(), False) for s in seqs] + [(b"", True)], "classes binary, held_out boolean").repartition(parts), "test-rows")
+        model = hmm.train(rows, shares)
+        *sums, total = hmm.expected(model, seqs)
+        # One more round would gain next to nothing; three rounds are far from that.
+        assert hmm.expected(hmm.maximise(*sums), seqs)[3] - total < 2e-3 * abs(total)
+        early = hmm.Model.initial(shares)
+        for _ in range(3):
+            early = hmm.maximise(*hmm.expected(early, seqs)[:3])
+        assert total > hmm.expected(early, seqs)[3] + 0.01 * abs(total)
     with pytest.warns(UserWarning, match="not converged"):
         hmm.train(rows, shares, most=2)
-    assert hmm.train(rows.limit(0), shares).rounds == 0
+    assert np.allclose(hmm.train(materialise(rows.limit(0), "test-rows"), shares).emit, hmm.Model.initial(shares).emit)
 
 
 def test_letters_of_all_planes_and_sets_of_many_languages():
