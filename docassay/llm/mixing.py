@@ -1,12 +1,15 @@
 """Soft-membership mixing of sources to target weights.
 
-A softmax classifier, fitted on a bounded sample of labelled rows (SAMPLE, the rows of least hash), gives every document
-a posterior p over domains from its hashed words and a few shape features. Projected-gradient least squares fits
-nonnegative document rates r so that the sum of r * tokens * p matches target token totals: from r = 1, each round
-aggregates that sum over all documents (one small row) and moves every rate along the gradient, p . (target - sum),
-scaled by one over the document's tokens and by the inverse of the sum of tokens * p p' over the documents whose rate is
-not zero. Moves add up before the projection to r >= 0, so of all rates that match, those nearest to one are found. A
-rate depends on the sum of the moves and its own p only: the driver keeps one small vector, and no rate is collected.
+A softmax classifier, fitted by small steps over a bounded sample of labelled rows (SAMPLE, the rows of least hash), gives
+every document a posterior p over domains from its hashed words and a few shape features.
+
+Projected-gradient least squares fits nonnegative document rates r. With S the sum of r * tokens * p over all documents
+and T the target totals, it minimises (S - T)' M (S - T) / 2 + SLACK * sum of tokens * (r - 1)^2 / 2 over r >= 0, where M is the
+inverse of the sum of tokens * p p'; so differences weigh by what documents can do about them. Each round aggregates S
+over all documents (one small row) and moves every rate against its gradient, scaled by one over its tokens, then
+projects it: r <- max(0, r + STEP * (p . M (T - S) - SLACK * (r - 1))). That the curvature is 1 + SLACK at most makes the step safe
+everywhere. A rate depends on its own p and the rounds' small vectors M (T - S) only: the driver keeps these, rates are
+column expressions over them, and none is collected.
 
 A document is then emitted floor(rate) times, and once more with the probability of the rest, by a hash of doc_id.
 
@@ -17,23 +20,28 @@ that no document can supply stay short of their target; the fit then is the leas
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm._common import hash_words, materialise, released, slices, words_of
+from docassay.llm._common import expand, hash_words, materialise, released, slices, words_of
 
 SAMPLE = 8_000
 BUCKETS = 1 << 14
 SHAPES = 5
-EPOCHS = 150
-RIDGE = 1e-4
-ROUNDS = 40
-TOLERANCE = 1e-5
-#: Weight of the rates' moves against the misfit: it keeps rates bounded where no document can supply a domain.
-SLACK = 1e-5
+EPOCHS, BATCH = 12, 256
+RIDGE = 2e-3
+ROUNDS = 60
+#: Share of the tokens that the domains' totals may miss their targets by, or that a round may still move them.
+TOLERANCE = 1e-4
+#: Weight of the rates' distance from one against the misfit: it keeps rates bounded where no document can supply a domain.
+SLACK = 1e-4
+STEP = 1 / (1 + SLACK)
 
 
 def featurise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,21 +90,27 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[np.ndar
     shape = np.asarray(table["shape"].combine_chunks().flatten()).reshape(-1, SHAPES)
     truth = np.array([domains.index(d) for d in table["domain"].to_pylist()])
     one = np.eye(len(domains))[truth]
-    # Adam on the full batch.
+    # Adam over batches in an order of its own.
     m = [np.zeros_like(w), np.zeros_like(v)]
     s = [np.zeros_like(w), np.zeros_like(v)]
-    owner = np.repeat(np.arange(len(truth)), np.diff(ends))
-    for step in range(1, EPOCHS + 1):
-        z = _logits(flat, ends, shape, w, v)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - one) / len(truth)
-        part = g[owner]
-        gw = np.stack([np.bincount(flat, part[:, c], BUCKETS) for c in range(len(domains))], axis=1) + RIDGE * w
-        for k, (x, grad) in enumerate(((w, gw), (v, shape.T @ g + RIDGE * v))):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            s[k] = 0.99 * s[k] + 0.01 * grad * grad
-            x -= 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+    rng, step = np.random.default_rng(1), 0
+    for epoch in range(EPOCHS):
+        order = rng.permutation(len(truth))
+        rate = 0.02 * (1 - epoch / EPOCHS)
+        for a in range(0, len(order), BATCH):
+            rows, step = order[a : a + BATCH], step + 1
+            sizes = ends[rows + 1] - ends[rows]
+            own, cuts = flat[expand(ends[rows], sizes)], np.r_[0, np.cumsum(sizes)]
+            z = _logits(own, cuts, shape[rows], w, v)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            g = (p - one[rows]) / len(rows)
+            part = np.repeat(g, sizes, axis=0)
+            gw = np.stack([np.bincount(own, part[:, c], BUCKETS) for c in range(len(domains))], axis=1) + RIDGE * w
+            for k, (x, grad) in enumerate(((w, gw), (v, shape[rows].T @ g + RIDGE * v))):
+                m[k] = 0.9 * m[k] + 0.1 * grad
+                s[k] = 0.99 * s[k] + 0.01 * grad * grad
+                x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
     return w, v
 
 
@@ -121,49 +135,42 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: l
     return chosen.mapInArrow(released(run), schema)
 
 
-def rate_of(tokens: Column, posterior: Column, moved: list[float]) -> Column:
-    """A document's rate: one for a document without tokens, else one plus the sum of the rounds' moves along its posterior, projected to what is not negative."""
-    dot = F.lit(1.0)
-    for k, m in enumerate(moved):
-        dot = dot + F.get(posterior, F.lit(k)) * F.lit(float(m))
-    return F.when(tokens == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), dot))
+def rate_of(tokens: Column, posterior: Column, moves: list[list[float]]) -> Column:
+    """A document's rate after the rounds' moves; one for a document without tokens."""
+    rate = F.lit(1.0)
+    for move in moves:
+        dot = reduce(add, (F.get(posterior, F.lit(k)) * F.lit(float(STEP * x)) for k, x in enumerate(move)))
+        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - STEP * SLACK) + F.lit(STEP * SLACK) + dot)
+    return F.when(tokens == 0, F.lit(1.0)).otherwise(rate)
 
 
-def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior") -> tuple[list[float], float]:
-    """(sum of the moves, relative slope left) that bring the domains' expected tokens to shares of the total; rows are read once a round."""
+def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior") -> tuple[list[list[float]], float]:
+    """(the rounds' moves, share of the tokens by which totals miss) that bring the domains' expected tokens to shares of
+    the total; rows are read once a round."""
     d = len(targets)
     p, t = F.col(posterior), F.col(tokens).cast("double")
     pairs = [(j, k) for j in range(d) for k in range(j, d)]
     share = np.array(targets) / sum(targets)
-    best, lowest, least, moved, step = [0.0] * d, np.inf, np.inf, np.zeros(d), np.zeros(d)
+    first = rows.agg(F.sum(t).alias("t"), *(F.sum(t * F.get(p, F.lit(j)) * F.get(p, F.lit(k))).alias(f"h{j}_{k}") for j, k in pairs)).first()
+    total = float(first["t"] or 0)
+    if not total:
+        return [], 0.0
+    h = np.zeros((d, d))
+    for j, k in pairs:
+        h[j, k] = h[k, j] = first[f"h{j}_{k}"] / total
+    weigh = np.linalg.inv(h + 1e-9 * np.eye(d))  # a domain that no document has stays without effect
+    moves: list[list[float]] = []
+    before, left = None, np.inf
     for _ in range(ROUNDS):
-        held = rows.select(rate_of(t, p, moved.tolist()).alias("r"), t.alias("t"), *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(d)))
-        free = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
-        now = held.agg(F.sum("t").alias("t"), (F.sum(F.col("t") * F.col("r") * F.col("r")) / 2).alias("half"), *(F.sum(F.col("r") * F.col("t") * F.col(f"p{k}")).alias(f"s{k}") for k in range(d)), *(F.sum(free * F.col(f"p{j}") * F.col(f"p{k}")).alias(f"h{j}_{k}") for j, k in pairs)).first()
-        total = float(now["t"] or 0)
-        if not total:
-            return [0.0] * d, 0.0
-        goal = share * total
-        short = goal - np.array([float(now[f"s{k}"]) for k in range(d)])
-        slope = short - SLACK * total * moved
-        left = float(np.abs(slope).sum() / total)
-        soft = SLACK * total
-        value = float(now["half"]) - float(moved @ goal) + soft / 2 * float(moved @ moved)  # convex
-        if value > lowest:  # too far: half the step from the best point
-            step = step / 2
-            if np.abs(step).max() < 1e-9:
-                break
-            moved = np.array(best) + step
-            continue
-        best, lowest, least = moved.tolist(), value, left
-        if left < TOLERANCE:
+        held = rows.select((rate_of(t, p, moves) * t).alias("rt"), *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(d)))
+        now = held.agg(*(F.sum(F.col("rt") * F.col(f"p{k}")).alias(f"s{k}") for k in range(d))).first()
+        reached = np.array([float(now[f"s{k}"]) for k in range(d)]) / total
+        left = float(np.abs(share - reached).sum())
+        if left < TOLERANCE or (before is not None and np.abs(reached - before).sum() < TOLERANCE / 100):
             break
-        h = np.zeros((d, d))
-        for j, k in pairs:
-            h[j, k] = h[k, j] = now[f"h{j}_{k}"]
-        step = np.linalg.solve(h + np.eye(d) * soft, slope)
-        moved = moved + step
-    return best, least
+        before = reached
+        moves.append((weigh @ (share - reached)).tolist())
+    return moves, left
 
 
 def copies_of(rate: Column, doc_id: str) -> Column:

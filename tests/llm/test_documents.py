@@ -420,6 +420,30 @@ def test_rates_match_targets(spark, documents, empty):
     assert Counter(r["doc_id"] for r in again.collect()) == Counter({int(k): int(v) for k, v in out.groupby("doc_id").copies.sum().items() if v})
 
 
+def test_rates_are_the_least_squares_ones(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.5, 0.2, 0.1], 400)
+    t = rng.integers(0, 300, 400).astype(float)
+    t[:3] = 0, 0, 30_000
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "n_tokens bigint, posterior array<double>")
+    for targets in ([0.3, 0.3, 0.4], [0.02, 0.03, 0.95], [1.0, 0.0, 0.0]):
+        moves, left = mixing.solve(df, targets)
+        got = df.select("n_tokens", "posterior", mixing.rate_of(F.col("n_tokens"), F.col("posterior"), moves).alias("r")).toPandas()
+        r, tokens, post = got.r.to_numpy(), got.n_tokens.to_numpy(), np.array(got.posterior.tolist())
+        # The plain iteration on an array of rates.
+        weigh = np.linalg.inv(np.einsum("i,ij,ik->jk", tokens, post, post) / tokens.sum() + 1e-9 * np.eye(3))
+        own = np.ones(400)
+        for _ in range(len(moves)):
+            miss = np.array(targets) - (own * tokens) @ post / tokens.sum()
+            own = np.maximum(0, own + mixing.STEP * (post @ weigh @ miss - mixing.SLACK * (own - 1)))
+        assert np.allclose(r[tokens > 0], own[tokens > 0], rtol=1e-6, atol=1e-9) and (r[tokens == 0] == 1).all() and (r >= 0).all()
+        reached = (r * tokens) @ post / tokens.sum()
+        assert np.isclose(np.abs(np.array(targets) - reached).sum(), left, atol=2e-3)
+        assert left < 0.3 * np.abs(np.array(targets) - tokens @ post / tokens.sum()).sum()
+    assert mixing.solve(df, [0.3, 0.3, 0.4])[1] < 1e-3
+    assert mixing.solve(df.limit(0), [0.5, 0.3, 0.2]) == ([], 0.0)
+
+
 # Language models
 
 
