@@ -1,4 +1,4 @@
-"""What the two vector searches share: clean vectors, bounded chunks of queries, blocks of rows, best-k tables."""
+"""What the two vector searches share: clean vectors, written chunks of queries, blocks of rows, best-k tables."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm._common import released
+from docassay.llm._common import materialise, released
 
-#: Queries to a broadcast chunk, and rows that a task indexes at a time.
+#: Queries that are looked up at a time, and rows that are indexed at a time.
 CHUNK = 8_192
-ROWS = 32_768
+ROWS = 65_536
 
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -27,24 +29,32 @@ def clean(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & good)
 
 
-def matrix(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) by number of components; vectors of different length are not comparable."""
+def matrix(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, places) by number of components; vectors of different length are not comparable."""
     column = table.column("v")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ids, sizes = np.asarray(table.column("vec_id")), np.asarray(pc.list_value_length(column))
+    places = np.asarray(table.column("place")) if "place" in table.schema.names else np.zeros(len(ids), np.int64)
     flat, ends = np.asarray(column.flatten()), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     out = {}
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        out[int(n)] = ids[at], flat[ends[at][:, None] + np.arange(n)]
+        out[int(n)] = ids[at], flat[ends[at][:, None] + np.arange(n)], places[at]
     return out
 
 
-def query_chunks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries in chunks of some CHUNK rows, by hash, one after the other; the driver holds one chunk at a time."""
-    n = -(-queries.count() // CHUNK)
-    for i in range(n):
-        yield queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).toArrow()
+def query_files(queries: DataFrame) -> list[str]:
+    """The queries, written to the shared folder in files of some CHUNK rows."""
+    n = max(1, -(-queries.count() // CHUNK))
+    return materialise(queries.repartition(n, "vec_id", "place"), "queries").inputFiles()
+
+
+def chunks_of(files: list[str]) -> Iterator[pa.Table]:
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(CHUNK):
+                yield pa.Table.from_batches([batch])
 
 
 def row_blocks(batches, rows: int = ROWS) -> Iterator[pa.Table]:
@@ -62,8 +72,9 @@ def row_blocks(batches, rows: int = ROWS) -> Iterator[pa.Table]:
 class Best:
     """The k best (score, id) of each query; ties go to the smaller id."""
 
-    def __init__(self, queries: np.ndarray, k: int, kind=np.float64):
+    def __init__(self, queries: np.ndarray, k: int, kind=np.float64, places: np.ndarray | None = None):
         self.queries, self.k = queries, k
+        self.places = np.zeros(len(queries), np.int64) if places is None else places
         self.low = np.iinfo(np.int64).min if kind == np.int64 else -np.inf
         self.score = np.full((len(queries), k), self.low, dtype=kind)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -80,23 +91,22 @@ class Best:
 
     def batch(self) -> pa.RecordBatch:
         i, j = np.nonzero(self.id != np.iinfo(np.int64).max)
-        return pa.RecordBatch.from_arrays([pa.array(self.queries[i]), pa.array(self.id[i, j]), pa.array(self.score[i, j])], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.queries[i]), pa.array(self.places[i]), pa.array(self.id[i, j]), pa.array(self.score[i, j])], names=["query_id", "place", "vec_id", "score"])
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, kind: str, task: Callable) -> DataFrame:
-    """query_id, rank, vec_id, score: task(chunk, blocks of rows) gives a task's best, Spark the best of all tasks."""
-    spark = rows.sparkSession
-    found = None
-    for chunk in query_chunks(queries):
-        sent = spark.sparkContext.broadcast(chunk)  # some CHUNK rows
+def search(rows: DataFrame, queries: DataFrame, k: int, kind: str, index: Callable, look: Callable) -> DataFrame:
+    """query_id, rank, vec_id, score. Each task indexes its rows block by block, once, and lets all chunks of the queries
+    pass: look(index(block), chunk) gives the best of a block, Spark the best of all. Rows are read once, and the plan is
+    the same however many queries there are. Queries are distinct (vec_id, v); place tells those of one vec_id apart."""
+    files = query_files(queries.withColumn("place", F.xxhash64("v")))
 
-        def run(batches, sent=sent):
-            for best in task(sent.value, row_blocks(batches)):
-                yield best.batch()
+    def run(batches):
+        for block in row_blocks(batches):
+            made = index(block)
+            for chunk in chunks_of(files):
+                for best in look(made, chunk):
+                    yield best.batch()
 
-        part = rows.mapInArrow(released(run), f"query_id bigint, vec_id bigint, score {kind}")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id bigint, rank int, vec_id bigint, score {kind}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(released(run), f"query_id bigint, place bigint, vec_id bigint, score {kind}")
+    order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,28 +1,33 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-Codes: the sample's mean is taken off, principal axes and an iterated rotation (as many bits as components, 64 at most)
-make sign bits. They are fitted on at most SAMPLE rows, those of least hash; every row is coded and indexed. A task
-indexes its rows in each of the code's substrings of PART bits; a query probes, in each substring, all values within
-radius // substrings, which by the pigeonhole principle retrieves every code within the radius, checks the whole code's
-distance, and ranks what is left by exact cosine. Where fewer than k rows of a task lie in the ball, its next codes by
-distance are taken too.
-
-The radius is measured, not guessed: for at most PROBES queries the exact neighbours among all rows are found, and the
-radius covers the share COVER of their code distances.
+Codes: the sample's mean is taken off, principal axes and an iterated rotation make sign bits, as many as components and
+64 at most; WORDS such rotations from different starts stand side by side. They are fitted on at most SAMPLE rows, those
+of least hash; every row is coded and indexed. A task indexes its rows, block by block, in each of the code's substrings
+of PART bits. A query probes, in each substring, all values within radius // substrings, which by the pigeonhole principle
+retrieves every code within the radius, checks the whole code's distance, and ranks what is left by exact cosine.
+
+The radius grows with the query: codes of rows at cosine c differ in bits * t places on average, t = acos(c) / pi. For at
+most PROBES queries the exact neighbours among all rows are found; margin is the number of deviations sqrt(bits * t * (1 - t))
+by which the share COVER of them is nearer than average or at most further. A query is done with a block once its radius
+reaches bits * t + margin * deviation for its kth best cosine so far: what is further would have to be an exception to be
+among the best. Where fewer than k rows are in the ball the radius grows on, to the whole code.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without vec_id; vectors of different length are not compared (the commonest length of the sample is coded, others are
-searched exactly). Ties go to the smaller vec_id; a query is not its own candidate.
+searched exactly). Ties go to the smaller vec_id; a query is not its own candidate. Rows that repeat a query's vec_id with
+the same vector count once as a query; with another vector they are a query of their own. Extra columns take no part.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.llm._common import released
@@ -30,30 +35,60 @@ from docassay.llm._vectors import Best, clean, matrix, row_blocks, search
 
 SAMPLE = 4_096
 PROBES = 96
-COVER = 0.96
+COVER = 0.97
 PART = 16
 ITERATIONS = 30
-
-
-def fit(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) such that the signs of (x - mean) @ projection are the code bits."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = unit.mean(axis=0)
-    values, axes = np.linalg.eigh(np.cov(unit - mean, rowvar=False).reshape(x.shape[1], x.shape[1]))
-    axes = axes[:, np.argsort(-values)[:bits]]
-    v = (unit - mean) @ axes
-    r = np.linalg.qr(np.random.default_rng(3).normal(size=(axes.shape[1], axes.shape[1])))[0]
-    for _ in range(ITERATIONS):
-        left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (left @ right).T
-    return mean, axes @ r
-
-
-def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    mean, projection = model
-    bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0
-    packed = np.packbits(bits, axis=1, bitorder="little")
-    return np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).view("<u8").ravel()
+WORDS = 3
+#: Bits by which a radius grows where too few rows are near.
+STEP = 16
+
+
+class Model:
+    """The mean and, for each word of the code, the projection whose signs are its bits."""
+
+    def __init__(self, x: np.ndarray):
+        self.bits = min(64, x.shape[1])
+        self.margin = 2.0
+        self.start = 0.5
+        unit = x / norms_of(x)[:, None]
+        self.mean = unit.mean(axis=0)
+        values, axes = np.linalg.eigh(np.cov(unit - self.mean, rowvar=False).reshape(x.shape[1], x.shape[1]))
+        axes = axes[:, np.argsort(-values)[: self.bits]]
+        v = (unit - self.mean) @ axes
+        self.projections = []
+        for word in range(WORDS):
+            r = np.linalg.qr(np.random.default_rng(3 + word).normal(size=(self.bits, self.bits)))[0]
+            for _ in range(ITERATIONS):
+                left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (left @ right).T
+            self.projections.append(axes @ r)
+
+    @property
+    def whole(self) -> int:
+        return self.bits * WORDS
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """Rows x words."""
+        centred = x / norms_of(x)[:, None] - self.mean
+        out = np.empty((len(x), WORDS), dtype="<u8")
+        for word, projection in enumerate(self.projections):
+            packed = np.packbits(centred @ projection >= 0, axis=1, bitorder="little")
+            out[:, word] = np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 8 - packed.shape[1])))).view("<u8").ravel()
+        return out
+
+    def deviations(self, cosine: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """How far codes are from the distance that their vectors' cosine leads to, in deviations."""
+        t = np.clip(np.arccos(np.clip(cosine, -1, 1)) / np.pi, 1e-6, 1 - 1e-6)
+        return (distance - self.whole * t) / np.sqrt(self.whole * t * (1 - t))
+
+    def radius(self, cosine: float) -> int:
+        """The code distance within which rows of at least such a cosine are, but for exceptions."""
+        t = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+        return max(0, min(self.whole, math.ceil(self.whole * t + self.margin * math.sqrt(self.whole * t * (1 - t)))))
+
+
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
 @cache
@@ -67,18 +102,18 @@ class Index:
 
     def __init__(self, code: np.ndarray, bits: int):
         self.code = code
-        self.parts = [(a, min(PART, bits - a)) for a in range(0, bits, PART)]
+        self.parts = [(word, a, min(PART, bits - a)) for word in range(code.shape[1]) for a in range(0, bits, PART)]
         self.tables = []
-        for a, n in self.parts:
-            value = ((code >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64)
+        for word, a, n in self.parts:
+            value = ((code[:, word] >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64)
             order = np.argsort(value, kind="stable")
             self.tables.append((order, np.r_[0, np.cumsum(np.bincount(value, minlength=1 << n))]))
 
-    def ball(self, code: np.uint64, radius: int, least: int) -> np.ndarray:
-        """Rows whose code is within the radius, and more of the next distances if they are fewer than least."""
+    def ball(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose code is within the radius."""
         seen = np.zeros(len(self.code), dtype=bool)
-        for (a, n), (order, heads) in zip(self.parts, self.tables, strict=True):
-            probe = masks(n, radius // len(self.parts)) ^ ((int(code) >> a) & ((1 << n) - 1))
+        for (word, a, n), (order, heads) in zip(self.parts, self.tables, strict=True):
+            probe = masks(n, radius // len(self.parts)) ^ ((int(code[word]) >> a) & ((1 << n) - 1))
             start, size = heads[probe], heads[probe + 1] - heads[probe]
             hit = size > 0
             start, size = start[hit], size[hit]
@@ -87,12 +122,7 @@ class Index:
                 ends = np.cumsum(size)
                 seen[order[np.arange(total) + np.repeat(start - (ends - size), size)]] = True
         rows = np.flatnonzero(seen)
-        rows = rows[np.bitwise_count(self.code[rows] ^ code) <= radius]
-        if len(rows) < least and len(rows) < len(self.code):
-            distance = np.bitwise_count(self.code ^ code)
-            cut = np.partition(distance, min(least, len(distance)) - 1)[min(least, len(distance)) - 1]
-            rows = np.flatnonzero(distance <= max(int(cut), radius))
-        return rows
+        return rows[distances(self.code[rows], code) <= radius]
 
 
 def cosines(x: np.ndarray, norms: np.ndarray, q: np.ndarray, norm: float) -> np.ndarray:
@@ -104,62 +134,80 @@ def norms_of(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
-def task(k: int, width: int, bits: int, model, radius: int):
-    def run(chunk, blocks):
-        held = {n: (q, norms_of(q), Best(ids, k), codes(q, model) if n == width else None) for n, (ids, q) in matrix(chunk).items()}
-        for block in blocks:
-            for n, (ids, x) in matrix(block).items():
-                if n not in held:
+def index(model: Model | None, width: int):
+    def run(block) -> dict:
+        out = {}
+        for n, (ids, x, _) in matrix(block).items():
+            out[n] = ids, x, norms_of(x), Index(model.codes(x), model.bits) if model and n == width else None
+        return out
+
+    return run
+
+
+def look(k: int, model: Model | None, width: int):
+    def run(made: dict, chunk) -> Iterator[Best]:
+        for n, (query_ids, q, places) in matrix(chunk).items():
+            if n not in made:
+                continue
+            ids, x, x_norms, held = made[n]
+            best, q_norms = Best(query_ids, k, places=places), norms_of(q)
+            codes = model.codes(q) if held else None
+
+            def offer(i: int, rows: np.ndarray, ids=ids, x=x, x_norms=x_norms, q=q, q_norms=q_norms, best=best) -> None:
+                rows = rows[ids[rows] != best.queries[i]]
+                rough = (x[rows] @ q[i]) / (x_norms[rows] * q_norms[i])
+                keep = rough >= best.score[i, -1] - 1e-9
+                if keep.sum() > k:
+                    keep &= rough >= np.partition(rough, -k)[-k] - 1e-9
+                rows = rows[keep]
+                best.offer(i, cosines(x[rows], x_norms[rows], q[i], q_norms[i]), ids[rows])
+
+            for i in range(len(q)):
+                if not held:
+                    offer(i, np.arange(len(x)))
                     continue
-                q, q_norms, best, q_codes = held[n]
-                x_norms = norms_of(x)
-                index = Index(codes(x, model), bits) if n == width else None
-                known = np.sort(ids)
-                own = np.searchsorted(known, best.queries, "right") - np.searchsorted(known, best.queries, "left")  # rows that repeat the query's vec_id
-                for i in range(len(q)):
-                    rows = index.ball(q_codes[i], radius, k + int(own[i])) if index else np.arange(len(x))
-                    rows = rows[ids[rows] != best.queries[i]]
-                    rough = (x[rows] @ q[i]) / (x_norms[rows] * q_norms[i])
-                    keep = rough >= best.score[i, -1] - 1e-9
-                    if keep.sum() > k:
-                        keep &= rough >= np.partition(rough, -k)[-k] - 1e-9
-                    rows = rows[keep]
-                    best.offer(i, cosines(x[rows], x_norms[rows], q[i], q_norms[i]), ids[rows])
-        yield from (best for _, _, best, _ in held.values())
+                radius = model.radius(model.start)
+                while True:
+                    best.score[i], best.id[i] = best.low, np.iinfo(np.int64).max
+                    offer(i, held.ball(codes[i], radius))
+                    wanted = model.radius(float(best.score[i, -1])) if best.score[i, -1] > best.low else radius + STEP
+                    if radius >= min(wanted, model.whole):
+                        break
+                    radius = min(wanted, model.whole)
+            yield best
 
     return run
 
 
-def radius_for(rows: DataFrame, queries: DataFrame, k: int, width: int, model) -> int:
-    """The code distance that covers COVER of the exact neighbours of at most PROBES queries among all rows."""
-    probes = queries.orderBy(F.xxhash64("vec_id")).limit(PROBES).toArrow()  # PROBES rows
-    held = matrix(probes).get(width)
+def calibrate(rows: DataFrame, queries: DataFrame, k: int, width: int, model: Model) -> None:
+    """Set a model's margin and first cosine from the exact neighbours of at most PROBES queries among all rows."""
+    held = matrix(queries.orderBy(F.xxhash64("vec_id"), "v").limit(PROBES).toArrow()).get(width)  # PROBES rows
     if held is None:
-        return 0
-    ids, q = held
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q, codes(q, model)))
+        return
+    ids, q, _ = held
+    sent = rows.sparkSession.sparkContext.broadcast((ids, q, model.codes(q), model))
 
     def run(batches):
-        ids, q, q_codes = sent.value
-        best = Best(ids, k)
-        distances: dict[tuple[int, int], int] = {}
+        ids, q, q_codes, model = sent.value
         for block in row_blocks(batches):
-            row_ids, x = matrix(block).get(width, (None, None))
+            row_ids, x, _ = matrix(block).get(width, (None, None, None))
             if x is None:
                 continue
             score = (x @ q.T) / (norms_of(x)[:, None] * norms_of(q))
-            code = codes(x, model)
-            for i in range(len(q)):
-                score[row_ids == ids[i], i] = -np.inf
-                top = np.flatnonzero(score[:, i] >= np.partition(score[:, i], -min(k, len(x)))[-min(k, len(x))])
-                best.offer(i, score[top, i], row_ids[top])
-                distances |= {(i, int(row_ids[r])): int(np.bitwise_count(code[r] ^ q_codes[i])) for r in top}
-        i, j = np.nonzero(best.id != np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best.score[i, j]), pa.array([distances[a, int(best.id[a, b])] for a, b in zip(i.tolist(), j.tolist(), strict=True)], pa.int32())], names=["query_id", "score", "distance"])
-
-    near = rows.mapInArrow(released(run), "query_id bigint, score double, distance int").groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "distance")), asc=False), 1, k).alias("near"))
-    far = sorted(d["distance"] for r in near.collect() for d in r["near"])  # PROBES times k values
-    return far[min(len(far) - 1, int(COVER * len(far)))] if far else 0
+            score[row_ids[:, None] == ids[None, :]] = -np.inf
+            top = np.argpartition(-score, min(k, len(x)) - 1, axis=0)[: min(k, len(x))]
+            i, j = np.tile(np.arange(len(q)), len(top)), top.ravel()
+            near = np.isfinite(score[j, i])
+            i, j = i[near], j[near]
+            far = np.bitwise_count(model.codes(x[j]) ^ q_codes[i]).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(score[j, i]), pa.array(far)], names=["probe", "score", "distance"])
+
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "distance")
+    near = rows.mapInArrow(released(run), "probe int, score double, distance int").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).toArrow()  # PROBES times k rows
+    if near.num_rows:
+        score, rank = near["score"].to_numpy(), near["rank"].to_numpy()
+        model.margin = float(np.quantile(model.deviations(score, near["distance"].to_numpy()), COVER, method="higher"))
+        model.start = float(np.median(score[rank == rank.max()]))
 
 
 def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50) -> DataFrame:
@@ -168,8 +216,8 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50) -> DataFrame:
     queries = rows.where(F.pmod("vec_id", F.lit(modulus)) == 0).distinct()
     sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow())  # SAMPLE rows
     width = max(sample, key=lambda n: len(sample[n][0]), default=0)
-    bits = min(64, width)
-    if not bits or len(sample[width][0]) < 2:
-        return search(rows, queries, k, "double", task(k, 0, 0, None, 0))
-    model = fit(sample[width][1], bits)
-    return search(rows, queries, k, "double", task(k, width, bits, model, radius_for(rows, queries, k, width, model)))
+    model = None
+    if width and len(sample[width][0]) > 1:
+        model = Model(sample[width][1])
+        calibrate(rows, queries, k, width, model)
+    return search(rows, queries, k, "double", index(model, width), look(k, model, width))

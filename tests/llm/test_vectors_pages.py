@@ -61,12 +61,16 @@ def test_a_query_row_repeated_within_a_task(spark):
     chunk = pa.table({"vec_id": pa.array([0]), "v": pa.array([x[0].astype(float).tolist()])})
     block = pa.table({"vec_id": pa.array([i for i, _ in rows]), "v": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
     want = {i for q, _, i, _ in brute(clean_rows(df, False), cosine) if q == 0}
-    (best,) = mih.task(5, 0, 0, None, 0)(chunk, [block])
-    assert set(best.id[0].tolist()) == want
-    # Within the ball too: at radius 0 it holds the own rows only, and k others are to come.
-    model = mih.fit(x.astype(float), 8)
-    (best,) = mih.task(5, 8, 8, model, 0)(chunk, [block])
-    assert (best.id[0] != np.iinfo(np.int64).max).all()
+    for model in (None, mih.Model(x.astype(float))):  # without codes, and with a ball that must grow beyond the own rows
+        (best,) = mih.look(5, model, 8)(mih.index(model, 8)(block), chunk)
+        assert set(best.id[0].tolist()) == want
+
+
+def test_queries_that_share_a_vec_id_are_two(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9]), (3, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for found in (covertree.top_k(df, 2), mih.nearest(df, 2)):
+        assert sorted((r["rank"], r["vec_id"]) for r in found.collect()) == [(1, 1), (1, 2), (2, 3), (2, 3)]
 
 
 def test_whole_numbers_beyond_floating_point(spark):
@@ -89,6 +93,11 @@ def test_cover_tree_prunes_and_stays_exact():
         assert not n.children or (n.children[0].a, n.children[-1].b) == (n.a, n.b)
         for c in n.children:
             check(c)
+            assert c.level <= n.level and c.most <= n.most
+        nets = [c.center for c in n.children if (c.center != n.center).any() and c.radius < n.radius / covertree.RATIO + 1e-6]
+        reach = min(covertree.RATIO ** (n.level - 1), n.radius / covertree.RATIO) if n.children else 0
+        if len(n.children) < covertree.FANOUT:
+            assert all(np.linalg.norm(a - b) > reach for k, a in enumerate(nets) for b in nets[:k])  # separation
 
     check(root)
     q = x[::100]
@@ -96,7 +105,7 @@ def test_cover_tree_prunes_and_stays_exact():
     best = covertree.Best(np.arange(len(q))[q_order] + 10_000, 5, np.int64)
     scored = covertree.dual_search(best, q[q_order], q_root, x[order], np.arange(2000)[order], root, True)
     leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
-    assert scored < 0.3 * leaves(q_root) * leaves(root)
+    assert scored < 0.5 * leaves(q_root) * leaves(root)
     want = np.sort(q[q_order] @ x.T, axis=1)[:, ::-1][:, :5]
     assert (best.score == want).all()
 
@@ -110,15 +119,34 @@ def test_nearest_neighbours_recall(vectors):
     assert mih.nearest(vectors.limit(0)).count() == 0
 
 
+def test_recall_and_scores_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = clean_rows(df, False)
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    got = mih.nearest(df).toPandas()
+    hits = total = 0
+    for q, part in got.groupby("query_id"):
+        (at,) = np.flatnonzero(ids == q)
+        cosine = unit @ unit[at]
+        cosine[at] = -2
+        best = set(ids[np.lexsort((ids, -cosine))[:5]].tolist())
+        hits, total = hits + len(best & {*part.vec_id}), total + len(best)
+        for r in part.itertuples():
+            y = x[np.flatnonzero(ids == r.vec_id)[0]]
+            assert abs(r.score - float((y * x[at]).sum() / (np.sqrt((y * y).sum()) * np.sqrt((x[at] ** 2).sum())))) < 1e-12
+        assert part.sort_values("rank").score.is_monotonic_decreasing
+    assert total == 5 * (ids % 50 == 0).sum() and hits >= 0.9 * total
+
+
 def test_pigeonhole_probing_finds_the_whole_ball():
     rng = np.random.default_rng(1)
-    code = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    code = rng.integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
     index = mih.Index(code, 64)
-    for radius in (0, 7, 20):
-        for q in (code[3], np.uint64(12345)):
-            want = np.flatnonzero(np.bitwise_count(code ^ q) <= radius)
-            assert index.ball(q, radius, 0).tolist() == want.tolist()
-    assert len(index.ball(np.uint64(12345), 0, 5)) >= 5
+    for radius in (0, 7, 20, 45):
+        for q in (code[3], np.array([12345, 7], np.uint64)):
+            want = np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= radius)
+            assert index.ball(q, radius).tolist() == want.tolist()
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="home"><header id="top"><h1>Site</h1><a href=x>Home</a></header>
