@@ -144,7 +144,7 @@ def rate_of(tokens: Column, posterior: Column, moves: list[list[float]]) -> Colu
     return F.when(tokens == 0, F.lit(1.0)).otherwise(rate)
 
 
-def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior") -> tuple[list[list[float]], float]:
+def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", posterior: str = "posterior", rounds: int = ROUNDS) -> tuple[list[list[float]], float]:
     """(the rounds' moves, share of the tokens by which totals miss) that bring the domains' expected tokens to shares of
     the total; rows are read once a round."""
     d = len(targets)
@@ -161,7 +161,7 @@ def solve(rows: DataFrame, targets: list[float], tokens: str = "n_tokens", poste
     weigh = np.linalg.inv(h + 1e-9 * np.eye(d))  # a domain that no document has stays without effect
     moves: list[list[float]] = []
     before, left = None, np.inf
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         held = rows.select((rate_of(t, p, moves) * t).alias("rt"), *(F.get(p, F.lit(k)).alias(f"p{k}") for k in range(d)))
         now = held.agg(*(F.sum(F.col("rt") * F.col(f"p{k}")).alias(f"s{k}") for k in range(d))).first()
         reached = np.array([float(now[f"s{k}"]) for k in range(d)]) / total
