@@ -40,10 +40,12 @@ FREQUENT = 1 << 18
 #: Bins to a doubling of the count, where the commonest words are told from the others.
 BINS = 64
 #: Tokens that are walked between two stored states, and rows that are walked at once.
-WINDOW, ROWS = 128, 1024
+WINDOW, ROWS = 64, 2048
 #: Training ends when a pass's relative gain in log-likelihood is below this.
-TOLERANCE = 1e-4
+TOLERANCE = 3e-4
 SHARDS = 8
+#: How many times the tolerance the first share's training may stop at.
+START = 4
 MOST_PASSES = 200
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 1_000_000
@@ -321,7 +323,7 @@ def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, mos
                     a, c, d, _ = np.split(counts.sum(axis=0), np.cumsum(parts)[:-1])
                     model = maximise(a, c.reshape(k, k), d.reshape(m, k))
             total = counts[:, -1].sum()
-            if not total or total - last <= tolerance * abs(total):
+            if not total or total - last <= (tolerance if len(stage) == len(shards) else START * tolerance) * abs(total):
                 break
             last = total
         else:
