@@ -12,7 +12,9 @@ from docassay.functions.text import compact, half_width
 
 # How reports write dates, numbers and the labels before a date.
 DATE = r"((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](3[01]|[12]\d|0?[1-9])(?:日)?(?:[T\s]*([01]?\d|2[0-3])[:：]([0-5]\d)(?:[:：]([0-5]\d))?)?"
-NUMBER = r"(?i)(?:报\s*告\s*编\s*号|报告号码|NO\.?)(?:[:：]|：)?\s*([0-9OIl\s]{14,28})"
+NUMBER = r"(?i)(?:报\s*告\s*编\s*号|报告号码|NO\.?)\s*[:：]?\s*([0-9OIl\s]{14,28})"
+#: The same without line breaks between date and time.
+DATE_ON_LINE = DATE.replace(r"[T\s]*", r"[T \t]*")
 BOUNDARY = r"(?<![A-Za-z㐀-鿿])"
 TIME_LABELS = (r"报告\s*时\s*间\s*:?\s*", r"报告\s*日\s*期\s*:?\s*")
 FORWARD = r"(?i)(?:到期|截止|有效期|有效截止|营业期限|许可截止|还款计划|终止)(?:日期|日|时间|期)?[:：]?$"
@@ -34,58 +36,76 @@ def cover(text: Column) -> Column:
 
 
 def timestamp_of(raw: Column) -> Column:
-    """A date as written, with its time if there is one; impossible dates are null."""
-    part = lambda k: F.nullif(F.regexp_extract(raw, DATE, k), F.lit("")).try_cast("int")
-    day = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:%02d", part(1), part(2), part(3), F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)), F.coalesce(part(6), F.lit(0))), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.when(part(1).isNotNull(), day)
-
-
-def report_time(text: Column, seconds: bool) -> Column:
-    """The time on the cover; a report time counts before a report date; with seconds, only complete ones count."""
-    page, out = cover(half_width(text)), None
-    for label in TIME_LABELS:
-        found = F.regexp_extract_all(page, F.lit(BOUNDARY + label + "(" + DATE + ")"), F.lit(1))
-        if seconds:
-            found = F.filter(found, lambda d: F.regexp_extract(d, DATE, 6) != "")
-        raw = F.get(found, F.lit(0))
-        out = raw if out is None else F.coalesce(out, raw)
-    return timestamp_of(out)
-
-
-def report_number(text: Column) -> Column:
-    """Leading digits of the number on the cover, with letters that recognition takes for digits put right."""
-    raw = F.regexp_extract(cover(half_width(text)), NUMBER, 1)
+    """A date as written, with its time if there is one; impossible dates are null. One match gives all parts."""
+
+    def made(parts: Column) -> Column:
+        n = [F.coalesce(F.get(parts, F.lit(k)).try_cast("int"), F.lit(0)) for k in range(6)]
+        return F.when(n[0] > 0, F.try_make_timestamp_ntz(*n[:5], n[5].cast("decimal(8,6)")).cast("timestamp"))
+
+    return let(F.split(F.regexp_replace(raw, f"^(?:{DATE}).*$", "$1,$2,$3,$4,$5,$6"), ","), made)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def report_dates(page: Column) -> Column:
+    """(any, exact): the dates as written after the first label of a cover page; a report time counts before a report
+    date; exact ones have seconds."""
+
+    def chosen(found: Column, seconds: bool) -> Column:
+        kept = F.filter(found, lambda d: d.rlike(r"[:：][0-5]\d[:：][0-5]\d$")) if seconds else found
+        return F.get(kept, F.lit(0))
+
+    every = [F.regexp_extract_all(page, F.lit(BOUNDARY + label + "(" + DATE + ")"), F.lit(1)) for label in TIME_LABELS]
+    both = let(F.struct(every[0].alias("time"), every[1].alias("day")), lambda x: F.struct(*(F.coalesce(chosen(x["time"], s), chosen(x["day"], s)).alias(n) for n, s in (("any", False), ("exact", True)))))
+    return F.when(page.rlike("报告\\s*[时日]\\s*[间期]"), both)
+
+
+def report_number(page: Column) -> Column:
+    """Leading digits of the number on a cover page, with letters that recognition takes for digits put right."""
+    raw = F.regexp_extract(page, NUMBER, 1)
     return F.regexp_extract(F.translate(compact(raw), "OIl", "011"), r"^\d+", 0)
 
 
 def later_dates(text: Column, limit: Column) -> Column:
-    """Kinds (forward, historical, unknown) of the dates later than a limit, each by the label right before it.
+    """(kind, date) of the dates later than a limit: forward, historical or unknown, each by the label right before it on
+    its line.
 
-    Split at the dates, the text before the k-th date on its line is the end of the k-th piece: no position is needed.
+    Split at the dates, the text before the k-th date is the end of the k-th piece: no position is needed.
     """
-    lines = F.split(half_width(text), "[\n\f\r]")
 
-    def on_line(line: Column) -> Column:
-        dates, rest = F.regexp_extract_all(line, F.lit(DATE), F.lit(0)), F.split(line, DATE, -1)
-        kinds = F.transform(dates, lambda d, i: F.struct(timestamp_of(d).alias("t"), compact(F.right(F.get(rest, i), F.lit(36))).alias("label")))
-        kept = F.filter(kinds, lambda x: x["t"].isNotNull() & (x["t"] > limit))
-        return F.transform(kept, lambda x: F.when(x["label"].rlike(FORWARD), "forward").when(x["label"].rlike(HISTORICAL), "historical").otherwise("unknown"))
+    def judged(dates: Column, pieces: Column) -> Column:
+        times = F.transform(dates, lambda d, i: F.struct(timestamp_of(d).alias("t"), i.alias("i")))
+        kept = F.filter(times, lambda x: x["t"] > limit)
+
+        def kind(x: Column) -> Column:
+            label = compact(F.regexp_extract(F.right(F.get(pieces, x["i"]), F.lit(36)), r"([^\n\f\r\x0B]*)$", 1))
+            return let(label, lambda s: F.struct(F.when(s.rlike(FORWARD), "forward").when(s.rlike(HISTORICAL), "historical").otherwise("unknown").alias("kind"), x["t"].alias("t")))
 
-    return F.flatten(F.transform(F.filter(lines, lambda s: s.rlike(DATE)), on_line))
+        return F.transform(kept, kind)
+
+    found = F.regexp_extract_all(text, F.lit(DATE_ON_LINE), F.lit(0))
+    return let(found, lambda dates: F.when(F.size(dates) > 0, let(F.split(text, DATE_ON_LINE, -1), lambda pieces: judged(dates, pieces))).otherwise(F.array().cast("array<struct<kind:string,t:timestamp>>")))
 
 
 def common_rules(reports: DataFrame) -> DataFrame:
-    """g1 and g2 of reports with text, embedded (native text) and number_reliable."""
-    t, c = F.coalesce("text", F.lit("")), F.col
-    rows = reports.withColumns({"report_number": report_number(t), "report_time": report_time(t, False), "report_time_exact": report_time(t, True)})
-    stamp = F.date_format("report_time_exact", "yyyyMMddHHmmss")
-    known = (F.char_length("report_number") >= 14) & c("report_time_exact").isNotNull()
-    g1 = F.when(~F.coalesce(known, F.lit(False)), "manual").when(F.left("report_number", F.lit(14)) == stamp, "pass").when(c("number_reliable"), "fail").otherwise("manual")
+    """g1 and g2 of reports with text, embedded (native text) and number_reliable, with what they were read from:
+    report_number, report_time, report_time_exact, later (kinds and dates)."""
+    c = F.col
+    rows = reports.withColumn("norm_", half_width(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("cover_", cover(c("norm_")))
+    rows = rows.withColumns({"report_number": report_number(c("cover_")), "dates_": report_dates(c("cover_"))})
+    rows = rows.withColumns({"report_time": timestamp_of(c("dates_")["any"]), "report_time_exact": timestamp_of(c("dates_")["exact"])})
     limit = F.coalesce("report_time_exact", F.date_trunc("day", "report_time") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND"))
-    rows = rows.withColumn("later", F.when(c("report_time").isNotNull(), later_dates(t, limit)))
-    some = lambda kind: F.array_contains("later", kind)
+    rows = rows.withColumn("later", F.when(c("report_time").isNotNull(), later_dates(c("norm_"), limit)))
+    known = (F.char_length("report_number") >= 14) & c("report_time_exact").isNotNull()
+    equal = F.left("report_number", F.lit(14)) == F.date_format("report_time_exact", "yyyyMMddHHmmss")
+    g1 = F.when(~F.coalesce(known, F.lit(False)), "manual").when(equal, "pass").when(c("number_reliable"), "fail").otherwise("manual")
+    some = lambda kind: F.exists("later", lambda x: x["kind"] == kind)
     g2 = F.when(c("report_time").isNull(), "manual").when(some("historical") & c("embedded"), "fail").when(some("historical") | some("unknown"), "manual").otherwise("pass")
-    return rows.withColumns({"g1": g1, "g2": g2})
+    return rows.withColumns({"g1": g1, "g2": g2}).drop("norm_", "cover_", "dates_")
 
 
 def variant(text: Column, embedded: Column) -> Column:
@@ -125,7 +145,7 @@ def identity_rule(fields: list[tuple[Column, Column]], native: Column) -> Column
         both = (F.size(a) == 1) & (F.size(b) == 1)
         conflict = conflict | (both & (F.get(a, F.lit(0)) != F.get(b, F.lit(0))))
         equal = equal & both & (F.get(a, F.lit(0)) == F.get(b, F.lit(0)))
-    return F.when(ambiguous, "manual").when(F.coalesce(conflict, F.lit(False)), F.when(native, "fail").otherwise("manual")).when(F.coalesce(equal, F.lit(False)), "pass").otherwise("manual")
+    return F.when(ambiguous, "manual").when(F.coalesce(conflict, F.lit(False)), F.when(native, "fail").otherwise("manual")).when(F.coalesce(equal, F.lit(False)) & native, "pass").otherwise("manual")
 
 
 def status_counts(results: DataFrame, key: str = "source_id") -> DataFrame:

@@ -83,3 +83,19 @@ def sampled(df: DataFrame, key: str, group: str, n: int) -> DataFrame:
     """The first n rows of each group in hash order."""
     w = Window.partitionBy(group).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def name_of(source_id: str) -> Column:
+    """The public name of a source id, as a literal."""
+    return public_id(F.lit(source_id))
+
+
+def one_report(results: DataFrame, document_id: Column | str) -> DataFrame:
+    """The rows of one report by its public name: a name is a digest of the source id, so no table of names is kept."""
+    wanted = F.lit(document_id) if isinstance(document_id, str) else document_id
+    return results.withColumn("document_id", public_id("source_id")).where(F.col("document_id") == wanted)
+
+
+def attention(rows: DataFrame, top: int = 12) -> DataFrame:
+    """The public rows of the most serious reports."""
+    return rows.where(F.col("risk_conclusion").isin("fail", "possible")).orderBy(*ordered(rows)).limit(top)

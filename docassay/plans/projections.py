@@ -96,7 +96,7 @@ SELECT concat('src', CAST(user_id AS STRING)) AS source_id, CASE WHEN user_id %
 FROM {events}
 """
 
-TABLES = ("documents", "labels", "pages", "embeddings", "conversations", "events", "lineitem", "benchmark")
+TABLES = ("documents", "labels", "pages", "embeddings", "conversations", "events", "lineitem", "benchmark", "orders", "customer", "supplier")
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.operators import credit, layout, seals, serving
+from docassay.operators import layout, seals, serving
 from docassay.plans import projections as P
 from docassay.plans.registry import query
 
@@ -111,20 +111,3 @@ UNION ALL SELECT 'status', name, CAST(n AS BIGINT) FROM s UNION ALL SELECT 'sour
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results(spark, sf_dir)
     return serving.dashboard(serving.public_rows(r), r)
-
-
-@query("""
-WITH g AS (SELECT o_orderkey AS k, 20200101000000 + (o_orderkey % 27) * 1000000 + (o_orderkey % 24) * 10000 + (o_orderkey % 60) * 100 + (o_orderkey % 60) AS stamp, o_orderkey % 3 = 0 AS bad, o_orderkey % 4 AS kind FROM orders)
-SELECT k, CASE WHEN kind = 1 THEN 'manual' WHEN bad THEN CASE WHEN kind = 2 THEN 'manual' ELSE 'fail' END ELSE 'pass' END AS g1, CASE WHEN kind = 3 THEN CASE WHEN k % 2 = 0 THEN 'fail' ELSE 'fail' END ELSE 'pass' END AS g2 FROM g
-""")
-def credit_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report number, report time and later dates, over reports made from order keys."""
-    k = F.col("o_orderkey")
-    stamp = F.lit(20200101000000) + (k % 27) * 1000000 + (k % 24) * 10000 + (k % 60) * 100 + (k % 60)
-    when = F.date_format(F.to_timestamp(stamp.cast("string"), "yyyyMMddHHmmss"), "yyyy-MM-dd HH:mm:ss")
-    number = F.when(k % 3 == 0, stamp + 1000000).otherwise(stamp).cast("string")
-    seen = F.when(k % 4 == 1, F.substring(when, 1, 10)).otherwise(when)
-    later = F.when(k % 4 == 3, F.lit("开户日期：2031-01-01")).otherwise(F.lit("到期日期：2031-01-01"))
-    text = F.concat(F.lit("个人信用报告\n报告编号："), number, F.lit("0001\n报告时间："), seen, F.lit("\n\f"), later)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), text.alias("text"), F.lit(True).alias("embedded"), (k % 4 != 2).alias("number_reliable"))
-    return credit.common_rules(orders).select("k", "g1", "g2")
