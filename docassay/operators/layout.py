@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.text import SIGNED_FLOW, squeeze
@@ -33,11 +33,24 @@ def page_text(words: DataFrame, pages: DataFrame, key: str = "document_id", heig
     return filled.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda s: s["text"]), "\n\f\n").alias("text"))
 
 
-def repeated_line_ratio(lines: DataFrame, key: str = "document_id", least: int = 6) -> DataFrame:
-    """Share of the lines, of at least so many characters, whose normalised text occurs more than once."""
-    norm = lines.select(key, F.lower(squeeze("text")).alias("line")).where(F.char_length("line") >= least)
-    by = norm.groupBy(key, "line").agg(F.count("*").alias("n"))
-    return by.groupBy(key).agg(F.sum("n").alias("line_count"), F.bround(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("duplicate_line_ratio"))
+def repeated_lines(text: Column, least: int = 6) -> Column:
+    """(line_count, duplicate_line_ratio) of a text: its normalised lines of at least so many characters, and the share of
+    them that occur more than once. Equal lines stand together once sorted, so rows are neither exploded nor shuffled."""
+    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s&&[^\n]]+", " "))
+    lines = F.array_sort(F.filter(F.split(flat, " ?\n ?"), lambda s: F.char_length(s) >= least))
+
+    def counted(own: Column) -> Column:
+        twin = lambda s, i: F.coalesce(s == F.get(own, i - 1), F.lit(False)) | F.coalesce(s == F.get(own, i + 1), F.lit(False))
+        again = F.size(F.array_remove(F.transform(own, twin), False))
+        return F.struct(F.size(own).cast("bigint").alias("line_count"), F.bround(F.try_divide(again, F.size(own)), 4).alias("duplicate_line_ratio"))
+
+    return F.transform(F.array(lines), counted)[0]
+
+
+def word_counts(text: Column) -> Column:
+    """(words, distinct_words) between spaces and line breaks; distinct ones in lower case."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \n]+"), "")
+    return F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct_words")))[0]
 
 
 def balance_breaks(rows: DataFrame, key: str, order: list[str], tolerance: float = 0.05) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.functions.text import ACCOUNT_STRICT, found
-from docassay.operators.layout import repeated_line_ratio
+from docassay.functions.text import ACCOUNT_STRICT
+from docassay.operators.layout import repeated_lines, word_counts
 from docassay.operators.rules import object_rules, ocr_rules, reasons_of, score_of, text_rules, visual_rules
 
 TYPE_OF = "CASE {0} % 6 WHEN 0 THEN 'invoice' WHEN 1 THEN 'contract' WHEN 2 THEN 'bank_page' WHEN 3 THEN 'credit_report' WHEN 4 THEN 'settlement_statement' ELSE 'other' END"
@@ -175,16 +175,14 @@ VISUAL_SQL = f"visual AS (SELECT *, {VISUAL_RULES_SQL[0]} AS visual_risk_score,
 def text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text layer features of the documents with their rules' score and reasons."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    lines = docs.select(F.format_string("doc_%06d", "doc_id").alias("document_id"), F.explode(F.split("text", "\n")).alias("text"))
     n = F.col("doc_id")
-    rows = docs.select(
+    rows = docs.select("doc_id", "n_chars", "text", word_counts(F.col("text")).alias("w"), repeated_lines(F.col("text")).alias("lines")).select(
         F.format_string("doc_%06d", "doc_id").alias("document_id"),
         F.when(n % 6 == 0, "fake").otherwise("normal").alias("label"),
         F.expr(TYPE_OF.format("doc_id")).alias("doc_type"),
         F.lit(".pdf").alias("ext"),
-        F.size(words).alias("word_count"),
-        F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).alias("unique_word_count"),
+        F.col("w.words").alias("word_count"),
+        F.col("w.distinct_words").alias("unique_word_count"),
         (F.col("n_chars") * 1.5).alias("amount"),
         (F.col("n_chars") * 0.09).alias("tax"),
         (F.col("n_chars") * 1.59 + F.when(n % 11 == 0, 25).otherwise(0)).alias("total"),
@@ -192,14 +190,14 @@ def text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 4 == 0, "").otherwise("A").alias("party_a"),
         F.lit("B").alias("party_b"),
         (n % 2).alias("date_count"),
-        F.size(found("text", ACCOUNT_STRICT)).alias("account_count"),
-        F.size(found("text", "[0-9]+")).alias("amount_count"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ACCOUNT_STRICT)).alias("account_count"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9]+")).alias("amount_count"),
         (n % 7).alias("balance_rows"),
         F.when(n % 5 == 0, 1).otherwise(0).alias("balance_breaks"),
         (n % 2).alias("id_count"),
+        F.coalesce("lines.duplicate_line_ratio", F.lit(0.0)).alias("duplicate_line_ratio"),
     )
     rules = text_rules()
-    rows = rows.join(repeated_line_ratio(lines).select("document_id", "duplicate_line_ratio"), "document_id", "left").withColumn("duplicate_line_ratio", F.coalesce("duplicate_line_ratio", F.lit(0.0)))
     return rows.withColumns({"business_risk_score": score_of(rules), "business_risk_reasons": F.array_join(reasons_of(rules), "|")})
 
 

@@ -64,8 +64,8 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P.LINES_SQL} SELECT * FROM line_ratio")
 def dup_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = documents(spark, sf_dir).select("document_id", F.explode(F.split("text", "\n")).alias("text"))
-    return layout.repeated_line_ratio(lines)
+    rows = documents(spark, sf_dir).select("document_id", layout.repeated_lines(F.col("text")).alias("r"))
+    return rows.select("document_id", "r.*").where("line_count > 0")
 
 
 @query(rf"""
@@ -73,8 +73,8 @@ WITH w AS (SELECT {ID_SQL}, list_filter(string_split_regex(text, '[ \n]+'), lamb
 SELECT document_id, len(w) AS words, len(list_distinct(list_transform(w, lambda x: lower(x)))) AS distinct_words, len(w) >= 20 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) < 0.28 AS repetitive FROM w
 """)
 def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    rows = documents(spark, sf_dir).select("document_id", F.size(words).cast("bigint").alias("words"), F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).cast("bigint").alias("distinct_words"))
+    counts = documents(spark, sf_dir).select("document_id", layout.word_counts(F.col("text")).alias("n"))
+    rows = counts.select("document_id", F.col("n.words").cast("bigint").alias("words"), F.col("n.distinct_words").cast("bigint").alias("distinct_words"))
     return rows.withColumn("repetitive", (F.col("words") >= 20) & (F.col("distinct_words") / F.greatest("words", F.lit(1)) < 0.28))
 
 
