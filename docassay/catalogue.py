@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.plans import credit, evaluation, fusion, generated, identity, reports, text  # noqa: F401  they register their queries
+from docassay.plans import credit, evaluation, fusion, generated, identity, reports, summaries, text  # noqa: F401  they register their queries
 from docassay.plans.registry import QUERIES, SQL
 
 

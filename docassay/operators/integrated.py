@@ -112,3 +112,16 @@ def integrate(joined: DataFrame, business: DataFrame, enabled: tuple[str, ...] =
     reasons = {"pdf_structure": T.split_reasons("pdf_object_risk_reasons"), "image_forensics": visual_reasons, "seal_overlay": seal_reasons, "ocr_text": F.concat(T.split_reasons("ocr_ocr_risk_reasons"), T.split_reasons("text_business_risk_reasons"))}
     score, level, listed = compose(scores, reasons, enabled)
     return rows.select("document_id", score.alias("score"), listed.alias("reasons")).withColumn("level", detector_level("score"))
+
+
+def one_document(pdf: DataFrame, visual: DataFrame, text: DataFrame, ocr: DataFrame, document_id: str, key: str = "document_id") -> DataFrame:
+    """What all tables know of one document, with the fields of its text overlaid by those that were recognised. Every
+    table is filtered at its scan. A visual row alone is not a document; JSON that cannot be read adds no fields."""
+    own = lambda df: df.where(F.col(key) == document_id)
+    fields = lambda c: F.coalesce(F.from_json(F.coalesce(c, F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    known = [own(df).select(key, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key), F.lit(True).alias(f"has_{name}")) for name, df in (("pdf", pdf), ("text", text), ("ocr", ocr))]
+    joined = known[0].join(known[1], key, "full").join(known[2], key, "full").join(own(visual), key, "left")
+    doc_type = F.coalesce(*(F.nullif(f"{name}_doc_type", F.lit("")) for name in ("pdf", "text", "ocr")), F.lit("other"))
+    base, over = fields(F.col("text_extracted_fields_json")), fields(F.col("ocr_ocr_fields_json"))
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k))
+    return joined.withColumns({"doc_type": doc_type, "fields": F.map_concat(kept, over)})

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,13 @@ def out_of_fold(df: DataFrame, features: list[str], folds: int = 5, key: str = "
     """Every row scored by a model that has not seen its fold; folds by a hash of the key."""
     fold = F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(folds))
     return reduce(DataFrame.unionByName, (apply(fit(df.where(fold != k), features), df.where(fold == k), features) for k in range(folds)))
+
+
+def importance(rows: DataFrame, positive: str, features: list[str]) -> DataFrame:
+    """Features by the weight's size, largest first: the difference of the classes' means in deviations of all rows."""
+    yes, no = F.col(positive), ~F.col(positive)
+    gap = lambda c: F.try_divide(F.avg(F.when(yes, F.col(c))) - F.avg(F.when(no, F.col(c))), F.stddev_pop(c))
+    wide = rows.agg(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(gap(c), F.lit(0.0)).alias("weight")) for c in features)).alias("w"))
+    long = wide.select(F.explode("w").alias("w")).select("w.*")  # one row a feature
+    rank = F.row_number().over(Window.orderBy(F.desc(F.abs("weight")), "feature"))
+    return long.select(rank.alias("rank"), "feature", F.bround("weight", 6).alias("weight"))

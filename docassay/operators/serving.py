@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.text import public_id
+from docassay.operators.metrics import hash_order
 
 STATUSES = ("pass", "fail", "possible", "manual", "not_applicable")
 CONCLUSIONS = ("fail", "possible", "no_automatic_anomaly", "undetermined")
@@ -81,7 +82,7 @@ def dashboard(rows: DataFrame, results: DataFrame, top: int = 8) -> DataFrame:
 
 def sampled(df: DataFrame, key: str, group: str, n: int) -> DataFrame:
     """The first n rows of each group in hash order."""
-    w = Window.partitionBy(group).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
+    w = Window.partitionBy(group).orderBy(hash_order(key), key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -99,3 +100,25 @@ def one_report(results: DataFrame, document_id: Column | str) -> DataFrame:
 def attention(rows: DataFrame, top: int = 12) -> DataFrame:
     """The public rows of the most serious reports."""
     return rows.where(F.col("risk_conclusion").isin("fail", "possible")).orderBy(*ordered(rows)).limit(top)
+
+
+def limited(rows: DataFrame, asked: str | int | None = None, least: int = 1, most: int = 2000, usual: int = 500) -> DataFrame:
+    """As many rows as asked for, within bounds; what is no number counts as not asked."""
+    try:
+        n = max(least, min(int(asked or usual), most))
+    except ValueError:
+        n = usual
+    return rows.limit(n)
+
+
+def merged(base: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows with what other tables know of them: a later table's value takes the place of an earlier one where it is there."""
+    out, known = base, set(base.columns)
+    for i, other in enumerate(others):
+        fresh = [c for c in other.columns if c != key]
+        named = other.select(key, *(F.col(c).alias(f"{c}__{i}") for c in fresh))
+        out = out.join(named, key, "left")
+        for c in fresh:
+            out = out.withColumn(c, F.coalesce(f"{c}__{i}", c) if c in known else F.col(f"{c}__{i}")).drop(f"{c}__{i}")
+            known.add(c)
+    return out

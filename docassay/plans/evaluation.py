@@ -92,11 +92,6 @@ def data_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.data_warnings(P.manifest(spark, sf_dir).withColumn("split", F.when(F.col("n") % 4 == 0, "validation").otherwise("train")))
 
 
-@query()
-def evaluation_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.provenance(fused(spark, sf_dir))
-
-
 @query()
 def object_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold AUC of a class-weighted logistic regression on PDF structure."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docassay.functions import text as T
 from docassay.operators import geometry, layout, seals
 from docassay.plans import projections as P
-from docassay.plans.registry import query
+from docassay.plans import reports  # noqa: F401  its SQL is part of one here
+from docassay.plans.registry import SQL, query
 
 
 def semantic_pairs(spark: SparkSession, n: int) -> DataFrame:
@@ -62,7 +63,7 @@ def candidate_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.semantics(P.spark_sql(spark, sf_dir, CANDIDATES)).select("document_id", F.bround("semantic_score", 9).alias("semantic_score"), "reason", "seal_class", "should_ocr")
 
 
-@query()
+@query(f"WITH classified AS ({SQL['seal_classify']}) SELECT seal_class, count(*) AS candidates, count(*) FILTER (should_ocr) AS worth_recognising, round_even(avg(confidence), 4) AS mean_confidence FROM classified GROUP BY 1")
 def seal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seals.summary(seals.classify(P.seals(spark, sf_dir)))
 

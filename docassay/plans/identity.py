@@ -96,13 +96,22 @@ def training_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("label", "doc_type").agg(F.count("*").alias("documents"))
 
 
-@query()
+@query(f"WITH m AS ({P.oracle(P.MANIFEST)}), r AS (SELECT document_id, doc_type, CAST(row_number() OVER (PARTITION BY doc_type ORDER BY md5(document_id), document_id) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 20")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty documents of each type in hash order."""
     return serving.sampled(P.manifest(spark, sf_dir), "document_id", "doc_type", 20).select("document_id", "doc_type", "rank")
 
 
-@query()
+SPLIT_SQL = "m AS ({0}), r AS (SELECT document_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(document_id), document_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM m)"
+
+
+@query(f"WITH {SPLIT_SQL.format(P.oracle(P.MANIFEST))} SELECT document_id, label, CASE WHEN n > 1 AND place <= greatest(1, least(n - 1, round_even(n * 0.2E0, 0))) THEN 'validation' ELSE 'train' END AS split FROM r")
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of each label's documents for validation."""
     return metrics.split_by_document(P.manifest(spark, sf_dir), "document_id", "label")
+
+
+@query(f"WITH {SPLIT_SQL.format(P.oracle(P.MANIFEST))} SELECT document_id, label, CASE WHEN n > 1 AND place <= greatest(1, round_even(n * 0.25E0, 0)) THEN 'validation' ELSE 'train' END AS split FROM r")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of each label's rows for validation."""
+    return metrics.stratified_split(P.manifest(spark, sf_dir).select("document_id", "label"), "document_id", "label")

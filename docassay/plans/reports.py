@@ -70,7 +70,13 @@ def page_to_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.documents_of_pages(P.spark_sql(spark, sf_dir, PAGES), "document_id", ["ela", "edge"], "visual_score")
 
 
-@query()
+@query("""
+WITH h AS (SELECT CAST(floor(vec_id / 16) AS BIGINT) AS document_id, vec_id % 16 AS point, (vec_id % 4) * 40.0E0 AS x, (CAST(floor(vec_id / 4) AS BIGINT) % 4) * 40.0E0 AS y,
+  CAST(list_sum(list_transform(range(1, 61), lambda k: CASE WHEN embedding[k + 1] > embedding[k] THEN CAST(1 AS BIGINT) << CAST(k - 1 AS INTEGER) ELSE CAST(0 AS BIGINT) END)) AS BIGINT) AS code FROM embeddings),
+n AS (SELECT a.document_id, a.point AS p, b.x - a.x AS dx, b.y - a.y AS dy, row_number() OVER (PARTITION BY a.document_id, a.point ORDER BY bit_count(xor(a.code, b.code)), b.point) AS rank FROM h a JOIN h b ON a.document_id = b.document_id AND a.point <> b.point WHERE bit_count(xor(a.code, b.code)) <= 32),
+o AS (SELECT document_id, abs(round_even(dx / 8, 0)) AS ox, abs(round_even(dy / 8, 0)) AS oy, count(*) AS votes FROM n WHERE rank <= 3 AND sqrt(dx * dx + dy * dy) >= 32 GROUP BY ALL)
+SELECT document_id, max(votes) AS offset_votes, CAST(sum(votes) AS BIGINT) AS match_count FROM o GROUP BY 1
+""")
 def copied_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset votes among the key points of made-up documents of sixteen points."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -92,3 +92,72 @@ def test_pages_are_clamped(spark):
     assert serving.page_of(rows, 9, 3).count() == 1 and serving.page_of(rows, -1, 3).count() == 3
     assert serving.page_of(rows, 1, 3).first()["risk_conclusion"] == "fail"
     assert serving.filtered(rows, conclusion="fail").count() == 3 and serving.filtered(rows, conclusion="other").count() == 7
+
+
+def report(**evidence):
+    from docassay.operators import strict
+
+    kinds = {"source_id": "string", **strict.EVIDENCE}
+    base = {"source_id": "s", "pages": 1, "large_images": 0, "metadata_readable": True, "fonts_readable": True} | evidence
+    return [base.get(k) for k in kinds], ", ".join(f"{k} {v}" for k, v in kinds.items())
+
+
+def statuses(spark, **evidence):
+    from docassay.operators import strict
+
+    row, schema = report(**evidence)
+    got = strict.analyse(spark.createDataFrame([row], schema)).orderBy("position").collect()
+    assert [r["rule_id"] for r in got][:22] == list(credit.RULES)
+    return {r["rule_id"]: r for r in got}
+
+
+def test_all_rules_of_an_unreadable_and_an_empty_report(spark):
+    got = statuses(spark, native_text=None)
+    assert {k: r["status"] for k, r in got.items()} == {**{k: "manual" for k in ("G1", "G2", "G3", "G4", "A0")}, **{k: "not_applicable" for k in credit.RULES if k[0] != "G"}}
+    assert got["G1"]["source_format"] == "scanned_or_image" and got["G1"]["observed"] == ""
+
+
+def test_number_and_later_dates_of_an_original(spark):
+    body = "正文" * 200
+    text = f"个人信用报告 还款状态\n报告编号：202001021530590001\n报告时间：2020-01-02 15:30:59\n\f开户日期：2020-01-02 15:31:00 到期日期 2031.1.1\n{body}"
+    got = statuses(spark, native_text=text)
+    assert got["G1"]["status"] == "pass" and "2020-01-02 15:30:59" in got["G1"]["observed"]
+    assert got["G2"]["status"] == "fail" and got["A2"]["status"] == "manual" and got["H5"]["status"] == "manual" and got["C1"]["status"] == "not_applicable"
+    assert statuses(spark, native_text=text.replace("0001\n", "0001\n").replace("15305900", "15305800"))["G1"]["status"] == "fail"
+    assert statuses(spark, native_text=text.replace(" 15:30:59", ""))["G1"]["status"] == "manual"
+    assert statuses(spark, native_text=text.replace("2020-01-02 15:30:59", "2020-02-31 15:30:59"))["G2"]["status"] == "manual"
+    scan = statuses(spark, native_text=text, large_images=1)
+    assert (scan["G1"]["status"], scan["G2"]["status"], scan["P2"]["status"]) == ("pass", "manual", "not_applicable")
+
+
+def test_native_text_beneath_images_may_contradict_its_number(spark):
+    page = "报告编号：202001021530580001\n报告时间：2020-01-02 15:30:59\n" + "".join(f"第{k}行内容各不相同" for k in range(80))
+    evidence = {"native_text": f"{page}\f{page}又一页", "pages": 2, "large_images": 2, "font_objects": 12, "fonts": "A yes yes yes\nB yes yes yes\nC yes yes yes", "ocr_text": "识别"}
+    assert statuses(spark, **evidence)["G1"]["status"] == "fail"
+    for other in ({"font_objects": 11}, {"fonts": "A yes yes yes\nB yes yes yes"}, {"native_text": f"{page}\f{page}"}, {"native_text": f"{page[:40]}\f{page[:90]}又一页"}):
+        assert statuses(spark, **evidence | other)["G1"]["status"] == "manual", other
+
+
+def test_invalid_rule_sets_and_missing_structure_raise(spark):
+    import pytest
+
+    from docassay.operators import strict
+
+    row, schema = report(native_text="x")
+    good = strict.analyse(spark.createDataFrame([row], schema))
+    assert strict.checked(good).count() == 23
+    with pytest.raises(Exception, match="G1"):
+        strict.checked(good.where("rule_id <> 'G1'")).collect()
+    texts = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "source_id string, place int, ocr_text string")
+    objects = spark.createDataFrame([("a", 1, 1, 0, 3)], "source_id string, place int, pages int, large_images int, font_objects int")
+    reports = spark.createDataFrame([("a",), ("b",)], "source_id string")
+    assert strict.with_objects(reports.limit(1), objects, texts).first()["ocr_text"] == "new"
+    with pytest.raises(Exception, match="no object features of b"):
+        strict.with_objects(reports, objects, texts).collect()
+
+
+def test_entities_anywhere_in_fields(spark):
+    raw = '{"Party_A": " 甲公司 ", "list": [{"payee": "Bee"}, {"PayeeName": "甲公司"}, {"deep": {"issuer": ["One", "1", "' + "x" * 81 + '"]}}], "note": "no"}'
+    assert value(spark, seals.entities_of(F.lit(raw))) == ["甲公司", "Bee", "One"]
+    for bad in (None, "", "[1", "[]", "3"):
+        assert value(spark, seals.entities_of(F.lit(bad).cast("string"))) == []

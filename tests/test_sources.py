@@ -4,6 +4,8 @@ import io
 import zipfile
 
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docassay.operators import pixels
@@ -77,3 +79,51 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     got = {r["document_id"]: (r["risk_score"], r["risk_reasons"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"d1": (25, "smask"), "d2": (0, "")}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_side_texts_by_their_path_below_the_root(spark, tmp_path):
+    import gzip
+
+    root = tmp_path / "pri vate+1"
+    for folder, text in (("a", "first"), ("b", "second")):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "x.txt").write_text(text)
+    with gzip.open(root / "b" / "ü %20.txt.gz", "wt") as f:
+        f.write("packed")
+    (tmp_path / "out.txt").write_text("outside")
+    asked = [(1, "a/x.txt"), (2, "b/x.txt"), (3, "./b//./x.txt"), (4, "../out.txt"), (5, "x.txt"), (6, None), (7, str(tmp_path / "out.txt")), (8, "b/ü %20.txt.gz"), (9, "a/../b/x.txt")]
+    rows = spark.createDataFrame([(i, p, "spare") for i, p in asked], "id int, path string, preview string")
+    got = {r["id"]: r["text"] for r in tables.side_texts(spark, str(root), rows, "path", "preview").collect()}
+    assert got == {1: "first", 2: "second", 3: "second", 4: "spare", 5: "spare", 6: "spare", 7: "spare", 8: "packed", 9: "spare"}
+
+
+def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
+    assert tables.read_csv(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
+    with pytest.raises(AnalysisException):
+        tables.read_csv(spark, str(tmp_path / "none.csv"), ["a"], missing_ok=False)
+    with pytest.raises(AnalysisException):
+        tables.read_csv(spark, "nosuchscheme-!://x/y.csv", ["a"])
+
+
+def test_publish_replaces_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "table")
+    df = spark.range(3)
+    tables.publish(df.write.parquet, path)
+    tables.publish(spark.range(5).write.parquet, path)
+    assert spark.read.parquet(path).count() == 5
+
+    def broken(staged):
+        df.write.parquet(staged)
+        raise RuntimeError("half way")
+
+    with pytest.raises(RuntimeError):
+        tables.publish(broken, path)
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["table"]
+    tables.write_summary(spark.createDataFrame([(2, "x")], "n int, name string"), str(tmp_path / "summary"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "summary")).collect()] == ['{"n":2,"name":"x"}']
+
+
+def test_console_table_cuts_cells(spark):
+    shown = tables.console(spark.createDataFrame([(1, "x" * 80), (22, None)], "id int, text string"))
+    assert shown.splitlines()[0] == "id  text" and shown.splitlines()[2].endswith("x…") and len(shown.splitlines()[2]) == 4 + 54
+    assert shown.splitlines()[3] == "22"
