@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm._common import expand, hash_words, materialise, released, slices, words_of
+from docassay.llm._common import discard, expand, hash_words, materialise, released, slices, words_of
 
 SAMPLE = 8_000
 BUCKETS = 1 << 14
@@ -196,6 +196,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> D
     model = fit(docs, labels, domains)
     rows = materialise(posteriors(docs, model, domains, keep=()), "posteriors")
     moved, _ = solve(rows, [targets[d] for d in domains])
+    discard(rows)
     again = posteriors(docs, model, domains, keep=tuple(docs.columns), prefix=prefix)
     rate = rate_of(F.col(prefix + "n_tokens"), F.col(prefix + "posterior"), moved)
     dealt = again.withColumn(prefix + "n", copies_of(rate, "doc_id")).where(F.col(prefix + "n") > 0)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm._common import U64, hash_words, materialise, mix, released, slices, words_of
+from docassay.llm._common import U64, discard, hash_words, materialise, mix, released, slices, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -185,18 +185,21 @@ def similar(a: Weighted, b: Weighted) -> bool:
     return (a.weights is not None or b.weights is not None) and probability_jaccard(a, b) >= SIMILARITY - 1e-9
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (its component's least node) of all nodes of (a, b): least neighbour and pointer jumping, by joins."""
+def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, comp (its component's least node) of all nodes of (a, b), and the table they are read from: least neighbour and
+    pointer jumping, by joins."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    labels = old = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         lower = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
         new = materialise(lower.join(jump, F.col("next") == F.col("to"), "left").select("node", F.least("next", "far").alias("comp"), "was"), "labels")
-        labels = new.select("node", "comp")
+        discard(old)
+        old, labels = new, new.select("node", "comp")
         if new.where("comp <> was").isEmpty():
-            return labels
+            discard(both)
+            return labels, old
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -280,14 +283,16 @@ def members(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("rep", "node")
     sets = materialise(shingle_sets(docs, wanted), "shingles")
     edges = materialise(verified(pairs, sets), "edges")
-    labels = components(edges)
+    labels, held = components(edges)
     placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = placed.join(open_keys, "key").join(nodes.select("node", "keys"), "node")
     more = materialise(across(left, sets), "edges")
     if not more.isEmpty():
-        labels = components(edges.union(more))
+        discard(held)
+        labels, held = components(edges.union(more))
     named = materialise(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "classes")
+    discard(nodes, buckets, sets, edges, more, held)
     return rows.select("doc_id", "twin", "node").join(named, "node", "left")
 
 
