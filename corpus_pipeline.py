@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docassay.llm import bpe, langid, mixing, pii, probminhash
-from docassay.llm._common import materialise, read_table
+from docassay.llm._common import discard, materialise, read_table
 from docassay.llm.queries import TARGETS, tokenizer_path
 
-#: SQL cannot express the fitted stages; tests hold the pipeline against brute force.
+#: SQL cannot express the fitted stages; a test holds the pipeline against its stages, which have tests of their own.
 ORACLE_SQL = None
 
 
@@ -42,7 +42,10 @@ STAGES = [("language_id", language), ("minhash_near_dedup", near_duplicates), ("
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written and read again before the next one."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)  # the next stage reads what this one wrote
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
