@@ -3,8 +3,9 @@
 Codes: the sample's mean is taken off, principal axes and an iterated rotation make sign bits, as many as components and
 64 at most; WORDS such rotations from different starts stand side by side. They are fitted on at most SAMPLE rows, those
 of least hash; every row is coded and indexed. A task indexes its rows, block by block, in each of the code's substrings
-of PART bits. A query probes, in each substring, all values within radius // substrings, which by the pigeonhole principle
-retrieves every code within the radius, checks the whole code's distance, and ranks what is left by exact cosine.
+of PART bits. A query probes all values within radius // substrings of the first substrings, as many as the division leaves
+over and one, and within one less of the others, which by the pigeonhole principle retrieves every code within the radius,
+checks the whole code's distance, and ranks what is left by exact cosine.
 
 The radius grows with the query: codes of rows at cosine c differ in bits * t places on average, t = acos(c) / pi. For at
 most PROBES queries the exact neighbours among all rows are found; margin is the number of deviations sqrt(bits * t * (1 - t))
@@ -35,7 +36,7 @@ from docassay.llm._vectors import Best, clean, matrix, row_blocks, search
 
 SAMPLE = 4_096
 PROBES = 96
-COVER = 0.97
+COVER = 0.93
 PART = 16
 ITERATIONS = 30
 WORDS = 3
@@ -112,8 +113,12 @@ class Index:
     def ball(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius."""
         seen = np.zeros(len(self.code), dtype=bool)
-        for (word, a, n), (order, heads) in zip(self.parts, self.tables, strict=True):
-            probe = masks(n, radius // len(self.parts)) ^ ((int(code[word]) >> a) & ((1 << n) - 1))
+        each, more = divmod(radius, len(self.parts))
+        for j, ((word, a, n), (order, heads)) in enumerate(zip(self.parts, self.tables, strict=True)):
+            near = each - (j > more)  # were all parts further than this, the codes would differ in more than the radius
+            if near < 0:
+                continue
+            probe = masks(n, near) ^ ((int(code[word]) >> a) & ((1 << n) - 1))
             start, size = heads[probe], heads[probe + 1] - heads[probe]
             hit = size > 0
             start, size = start[hit], size[hit]
