@@ -210,7 +210,7 @@ def expected(model: Model, seqs: list[np.ndarray], window: int = WINDOW) -> tupl
     onward = np.ascontiguousarray(move.T)
     for a in range(0, len(seqs), ROWS):  # arrays are states x sequences, the longest first
         group = seqs[a : a + ROWS]
-        flat, n = np.concatenate(group), np.fromiter(map(len, group), dtype=np.int64, count=len(group))
+        flat, n = np.concatenate(group).astype(np.intp), np.fromiter(map(len, group), dtype=np.int64, count=len(group))
         begin = np.cumsum(n) - n
         longer = lambda t, n=n: int(np.searchsorted(-n, -t, side="left"))  # noqa: E731  sequences longer than t
 
@@ -282,7 +282,21 @@ def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 def sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column("classes")]
+    return [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("classes")]
+
+
+def gathered(batches, size: int = 12_000_000):
+    """Lists of batches of some bytes of classes together, so that the few long rows of many batches are walked side by side."""
+    held, n = [], 0
+    for whole in batches:
+        for batch in slices(whole, "classes", size):
+            held.append(batch)
+            n += batch.column("classes").nbytes
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, most: int = MOST_PASSES) -> Model:
@@ -301,10 +315,9 @@ def train(rows: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, mos
 
         def run(batches):
             sums = np.zeros(sum(parts))
-            for whole in batches:
-                for batch in slices(whole, "classes", 2_000_000):
-                    got = expected(sent.value, sequences(batch))
-                    sums += np.concatenate([np.ravel(x) for x in got])
+            for some in gathered(batches):
+                got = expected(sent.value, [s for batch in some for s in sequences(batch)])
+                sums += np.concatenate([np.ravel(x) for x in got])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["place", "x"])
 
@@ -349,10 +362,11 @@ def score(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "classes", 4_000_000):
-                logs = forward(sent.value, sequences(batch)) / np.log(10)
-                yield batch.drop_columns(["classes"]).append_column("sequence", pa.array(logs))
+        for some in gathered(batches):
+            logs, at = forward(sent.value, [s for batch in some for s in sequences(batch)]) / np.log(10), 0
+            for batch in some:
+                yield batch.drop_columns(["classes"]).append_column("sequence", pa.array(logs[at : at + batch.num_rows]))
+                at += batch.num_rows
 
     scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "logs", "within", "classes").mapInArrow(released(run), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, within double, sequence double")
 
