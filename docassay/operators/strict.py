@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions.text import compact, half_width
 from docassay.operators import credit
+from docassay.sources.files import printed_date
 
 # Rules in their order, the kind of report that each is for, its grade and what it expects.
 RULES = (
@@ -78,9 +79,15 @@ def mixed_reliable(text: Column, pages: Column, large_images: Column, font_objec
 
 def read(reports: DataFrame) -> DataFrame:
     """Reports with embedded, text (native, or recognised where that is what counts), report_variant and source_format;
-    evidence columns that are absent count as null."""
-    have = {c.lower() for c in reports.columns}
-    rows = reports.select("source_id", *((F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in EVIDENCE.items()))
+    evidence columns that are absent count as null, dates may be as a tool prints them."""
+    have = {f.name: f.dataType.simpleString() for f in reports.schema}
+
+    def given(c: str, kind: str) -> Column:
+        if c not in have:
+            return F.lit(None).cast(kind)
+        return printed_date(F.col(c)) if kind == "timestamp" and have[c] == "string" else F.col(c).cast(kind)
+
+    rows = reports.select("source_id", *(given(c, kind).alias(c) for c, kind in EVIDENCE.items()))
     native = F.coalesce("native_text", F.lit(""))
     rows = rows.withColumn("native", F.char_length(compact(native)) >= NATIVE_CHARS)
     embedded = F.coalesce(F.col("native") & (F.col("pages") > 0) & ~images_prevail(F.col("pages"), F.coalesce("large_images", F.lit(0))), F.lit(False))

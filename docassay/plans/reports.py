@@ -20,7 +20,7 @@ k AS (SELECT *, CASE WHEN dense THEN 1 WHEN duplicate_count >= 3 AND area BETWEE
   WHEN doc_type IN ('credit_report', 'bank_page') AND zone = 'top' AND area <= 0.03 AND saturation >= 0.12 THEN 3 WHEN duplicate_count >= 3 AND area >= 0.012 AND NOT outer_ring THEN 4 WHEN initial_class = 'seal' THEN 5 ELSE 6 END AS w FROM z),
 v AS (SELECT *, CASE w WHEN 1 THEN 'unknown' WHEN 2 THEN 'logo' WHEN 3 THEN 'logo' WHEN 4 THEN 'unknown' WHEN 5 THEN 'seal' ELSE 'unknown' END AS seal_class FROM k)
 SELECT document_id, seal_class, CASE w WHEN 1 THEN 0.96E0 WHEN 2 THEN least(0.97E0, 0.68E0 + 0.04E0 * duplicate_count) WHEN 3 THEN 0.78E0 WHEN 4 THEN least(0.96E0, 0.66E0 + 0.03E0 * duplicate_count) WHEN 5 THEN greatest(0.62E0, semantic) ELSE greatest(0.35E0, semantic) END AS confidence,
-  CASE w WHEN 1 THEN 'dense_square_pattern' WHEN 2 THEN 'repeated_compact_emblem' WHEN 3 THEN 'header_emblem_context' WHEN 4 THEN 'repeated_layout_fragment' WHEN 5 THEN 'annular_stamp_geometry' ELSE 'insufficient_stamp_geometry' END AS reason,
+  CASE w WHEN 1 THEN 'dense_square_pattern' WHEN 2 THEN 'repeated_compact_emblem' WHEN 3 THEN 'header_emblem_context' WHEN 4 THEN 'repeated_layout_fragment' WHEN 5 THEN 'annular_stamp_geometry' ELSE 'insufficient_stamp_geometry' END AS reason, reason || CASE WHEN w = 1 THEN '|ocr_not_recommended' WHEN w IN (2, 4) THEN '|duplicate_hash:' || duplicate_count ELSE '' END AS reasons,
   CASE WHEN w = 5 THEN true WHEN w = 6 THEN semantic >= 0.42 ELSE false END AS should_ocr, zone,
   CASE WHEN seal_class <> 'seal' THEN 'not_applicable' WHEN doc_type IN ('contract', 'invoice', 'settlement_statement') AND zone = 'bottom' THEN 'expected_signature_zone' WHEN doc_type IN ('contract', 'invoice', 'settlement_statement') AND zone = 'top' THEN 'unusual_header_zone_review' ELSE 'context_unknown' END AS position
 FROM v

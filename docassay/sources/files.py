@@ -103,6 +103,26 @@ def key_values(printed: Column) -> Column:
     return F.map_from_entries(last)
 
 
+# Months, and how tools print a moment: as in mail, and as a clock does.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MAIL_DATE = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+CLOCK_DATE = r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})(?:\s+[A-Za-z]{1,5})?\s+(\d{4})"
+PLAIN_DATES = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
+
+
+def printed_date(raw: Column) -> Column:
+    """The wall-clock moment that a tool printed, whatever its zone; null for what is no date."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+
+    def made(pattern: str, year: int, month: int, day: int, hour: int) -> Column:
+        part = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("int"), F.lit(0))
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month))).cast("int")
+        moment = F.try_make_timestamp_ntz(part(year), number, part(day), part(hour), part(hour + 1), part(hour + 2).cast("decimal(8,6)")).cast("timestamp")
+        return F.when(text.rlike(pattern), moment)
+
+    return F.coalesce(made(MAIL_DATE, 3, 2, 1, 4), made(CLOCK_DATE, 6, 1, 2, 3), *(F.try_to_timestamp(text, F.lit(f)) for f in PLAIN_DATES))
+
+
 def image_rows(df: DataFrame, printed: str, key: str = "document_id") -> DataFrame:
     """One row an image object from a printed list whose first two lines are headings."""
     lines = F.slice(F.split(printed, "\n"), 3, 1_000_000)

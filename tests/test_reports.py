@@ -161,3 +161,20 @@ def test_entities_anywhere_in_fields(spark):
     assert value(spark, seals.entities_of(F.lit(raw))) == ["甲公司", "Bee", "One"]
     for bad in (None, "", "[1", "[]", "3"):
         assert value(spark, seals.entities_of(F.lit(bad).cast("string"))) == []
+
+
+def test_seal_outcomes_beside_the_geometry(spark):
+    columns = "document_id string, doc_type string, y0 double, y1 double, ring double, center double, ink double, area double, saturation double, semantic double, initial_class string, duplicate_count int, dense_square int, recommended int, class_reason string"
+    rows = [
+        ("none", "invoice", None, None, 0.1, 0.1, 0.1, 0.01, 0.1, 0.1, "seal", 1, 0, 0, None),
+        ("flag", "invoice", 0.8, 0.9, 0.1, 0.1, 0.1, 0.01, 0.1, 0.1, "seal", 1, 1, 0, None),
+        ("copies", "invoice", 0.8, 0.9, 0.05, 0.1, 0.1, 0.005, 0.1, 0.1, "seal", 4, 0, 0, None),
+        ("told", "invoice", 0.8, 0.9, 0.1, 0.01, 0.1, 0.01, 0.1, 0.9, "seal", 1, 0, 0, "bottom_stamp_geometry"),
+        ("asked", "invoice", 0.8, 0.9, 0.1, 0.01, 0.1, 0.01, 0.1, 0.1, "unknown", 1, None, 1, ""),
+    ]
+    got = {r["document_id"]: (r["seal_class"], r["reasons"], r["should_ocr"]) for r in seals.classify(spark.createDataFrame(rows, columns)).collect()}
+    assert got["none"] == ("none", "candidate_missing", False)
+    assert got["flag"] == ("unknown", "dense_square_pattern|ocr_not_recommended", False)
+    assert got["copies"] == ("logo", "repeated_compact_emblem|duplicate_hash:4", False)
+    assert got["told"] == ("seal", "bottom_stamp_geometry", True)
+    assert got["asked"] == ("unknown", "insufficient_stamp_geometry", True)

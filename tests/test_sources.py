@@ -127,3 +127,9 @@ def test_console_table_cuts_cells(spark):
     shown = tables.console(spark.createDataFrame([(1, "x" * 80), (22, None)], "id int, text string"))
     assert shown.splitlines()[0] == "id  text" and shown.splitlines()[2].endswith("x…") and len(shown.splitlines()[2]) == 4 + 54
     assert shown.splitlines()[3] == "22"
+
+
+def test_printed_dates(spark):
+    raws = ["Thu Jan  2 15:30:59 2020 CST", "Thu, 02 Jan 2020 15:30:59 +0800", "2 January 2020 15:30", "2020-01-02 15:30:59", "2020/01/02 15:30:59", "2020-01-02", "2020-02-31", "Thu Foo  2 15:30:59 2020", "", None, "2020-13-01 00:00:00"]
+    got = [r["t"] for r in spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").select("k", F.date_format(files.printed_date(F.col("raw")), "yyyyMMddHHmmss").alias("t")).orderBy("k").collect()]
+    assert got == ["20200102153059", "20200102153059", "20200102153000", "20200102153059", "20200102153059", "20200102000000", None, None, None, None, None]
