@@ -40,9 +40,9 @@ from pyspark.sql import DataFrame
 from docassay.llm._common import Recent, expand, released, slices, words_of
 
 #: Bytes, about, of a worker's caches of pre-tokens and of other white-space-parted chunks; entries of its table of compatible tokens.
-WORDS, CHUNKS, PAIRS = 64_000_000, 16_000_000, 200_000
+WORDS, CHUNKS, PAIRS = 40_000_000, 12_000_000, 150_000
 #: Bytes of text that a worker encodes at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
 END = "\0"  # the end of a pre-token; a control character is never a byte-level letter
 
 
@@ -339,5 +339,6 @@ def _run(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], digest: b
                     first = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids.astype(np.int32 if digest is None else np.int64)))
                 yield pa.RecordBatch.from_arrays([*kept, n, first, second], names=[*keep, "n_tokens", "ids_sha256" if digest else "ids", "decoded" if digest is False else "decoded_sha256"])
         tokenizer.release()
+        load.cache_clear()  # a worker lives on for other operators
 
     return chosen.mapInArrow(released(run), f"{kinds}, {made}" if kinds else made)

@@ -124,7 +124,7 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: l
     def run(batches):
         w, v = sent.value
         for whole in batches:
-            for batch in slices(whole, f"{prefix}text_", 4_000_000):
+            for batch in slices(whole, f"{prefix}text_", 2_000_000):
                 flat, ends, shape, n = featurise(batch.column(len(keep)))
                 z = _logits(flat, ends, shape, w, v)
                 p = np.exp(z - z.max(axis=1, keepdims=True))
