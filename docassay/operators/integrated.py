@@ -33,51 +33,72 @@ def business_fields(df: DataFrame, text: str = "text", given: tuple[str, ...] =
     return df.withColumns({k: v for k, v in made.items() if k not in given})
 
 
-def business_findings(text: Column, created: Column | None = None) -> list[Rule]:
-    """The rules of each document type over business_fields."""
-    c, kind = F.col, F.col("doc_type")
-    a, b, z = (F.get("amounts", F.lit(k)) for k in range(3))
-    adds = lambda x, y, s: F.abs(x + y - s) <= F.greatest(F.lit(0.1), s * 0.002)
-    some = lambda name: F.size(name) > 0
-    day = lambda x: x.try_cast("date")
-    invoice, contract, bank, credit, slip = kind == "invoice", kind == "contract", kind == "bank_page", kind == "credit_report", kind.isin("settlement_statement", "receipt")
-    other = ~kind.isin("invoice", "contract", "bank_page", "credit_report", "settlement_statement", "receipt")
-    number, report = c("credit_report_number"), c("credit_report_date")
-    births = F.filter(F.transform("id_numbers", T.id_birth), lambda x: x.isNotNull())
-    rules = [
-        Rule("invoice_amount_tax_total_mismatch", invoice & (F.size("amounts") >= 3) & ~(adds(a, b, z) | adds(a, z, b) | adds(b, z, a)), 25),
-        Rule("invoice_amount_fields_sparse", invoice & (F.size("amounts") < 3), 8),
-        Rule("invoice_number_missing", invoice & ~some("invoice_numbers"), 8),
-        Rule("invoice_tax_id_missing", invoice & ~some("tax_ids"), 6),
-        Rule("contract_amount_missing", contract & ~some("amounts"), 8),
-        Rule("contract_date_missing", contract & ~some("dates"), 8),
-        Rule("contract_party_a_missing", contract & ~F.contains(text, F.lit("甲方")) & ~F.contains(text, F.lit("Party A")), 6),
-        Rule("contract_party_b_missing", contract & ~F.contains(text, F.lit("乙方")) & ~F.contains(text, F.lit("Party B")), 6),
-        Rule("contract_uppercase_amount_weak", contract & some("amounts") & some("upper_amounts") & (F.char_length(F.get("upper_amounts", F.lit(0))) <= 2), 6),
-        Rule("bank_account_number_missing", bank & ~some("account_numbers"), 8),
-        Rule("bank_amount_sequence_sparse", bank & (F.size("amounts") < 3), 8),
-        Rule("bank_date_missing", bank & ~some("dates"), 6),
-        Rule("credit_report_number_date_mismatch", credit & number.rlike(r"^\d{14}") & report.isNotNull() & (F.concat_ws("-", F.substring(number, 1, 4), F.substring(number, 5, 2), F.substring(number, 7, 2)) != report), 35),
-        Rule("credit_report_future_date", credit & day(report).isNotNull() & F.exists("dates", lambda d: F.coalesce(day(d) > day(report), F.lit(False))), 35),
-        Rule("credit_report_id_birth_date_mismatch", credit & c("birth_date").isNotNull() & (F.size(births) > 0) & ~F.array_contains(births, c("birth_date")), 35),
-    ]
-    if created is not None:
-        rules.append(Rule("credit_report_report_after_pdf_creation", credit & (day(report) > day(F.get(T.iso_dates(created), F.lit(0)))), 35))
-    return [
-        *rules,
-        Rule("settlement_amount_missing", slip & ~some("amounts"), 10),
-        Rule("settlement_account_missing", slip & ~some("account_numbers"), 8),
-        Rule("settlement_date_missing", slip & ~some("dates"), 6),
-        Rule("generic_core_fields_missing", other & ~some("amounts") & ~some("dates") & ~some("account_numbers"), 8),
-    ]
+# What is found in documents of a type (other: none of those named), in the words of the measures below, and
+# its points.
+FINDINGS = (
+    ("invoice_amount_tax_total_mismatch", "invoice", "amount_count >= 3 and not adds_up", 25),
+    ("invoice_amount_fields_sparse", "invoice", "amount_count < 3", 8),
+    ("invoice_number_missing", "invoice", "size(invoice_numbers) = 0", 8),
+    ("invoice_tax_id_missing", "invoice", "size(tax_ids) = 0", 6),
+    ("contract_amount_missing", "contract", "amount_count = 0", 8),
+    ("contract_date_missing", "contract", "size(dates) = 0", 8),
+    ("contract_party_a_missing", "contract", "not names_party_a", 6),
+    ("contract_party_b_missing", "contract", "not names_party_b", 6),
+    ("contract_uppercase_amount_weak", "contract", "amount_count > 0 and first_upper_length <= 2", 6),
+    ("bank_account_number_missing", "bank_page", "size(account_numbers) = 0", 8),
+    ("bank_amount_sequence_sparse", "bank_page", "amount_count < 3", 8),
+    ("bank_date_missing", "bank_page", "size(dates) = 0", 6),
+    ("credit_report_number_date_mismatch", "credit_report", "number_date <> credit_report_date", 35),
+    ("credit_report_future_date", "credit_report", "later_dates > 0", 35),
+    ("credit_report_id_birth_date_mismatch", "credit_report", "size(births) > 0 and not array_contains(births, birth_date)", 35),
+    ("credit_report_report_after_pdf_creation", "credit_report", "report_day > created_day", 35),
+    ("settlement_amount_missing", "settlement_statement receipt", "amount_count = 0", 10),
+    ("settlement_account_missing", "settlement_statement receipt", "size(account_numbers) = 0", 8),
+    ("settlement_date_missing", "settlement_statement receipt", "size(dates) = 0", 6),
+    ("generic_core_fields_missing", "other", "amount_count = 0 and size(dates) = 0 and size(account_numbers) = 0", 8),
+)
+
+
+def business_measures(df: DataFrame, text: Column, created: Column | None) -> DataFrame:
+    """What the findings compare, from business_fields."""
+    first = lambda k: F.get("amounts", F.lit(k))
+    sums = [(0, 1, 2), (0, 2, 1), (1, 2, 0)]  # any of three amounts may be the total
+    adds = [F.abs(first(i) + first(j) - first(k)) <= F.greatest(F.lit(0.1), first(k) * 0.002) for i, j, k in sums]
+    named = lambda *words: F.contains(text, F.lit(words[0])) | F.contains(text, F.lit(words[1]))
+    number, day = F.col("credit_report_number"), lambda x: x.try_cast("date")
+    measures = {
+        "amount_count": F.size("amounts"),
+        "adds_up": adds[0] | adds[1] | adds[2],
+        "names_party_a": named("甲方", "Party A"),
+        "names_party_b": named("乙方", "Party B"),
+        "first_upper_length": F.char_length(F.get("upper_amounts", F.lit(0))),
+        "number_date": F.when(number.rlike(r"^\d{14}"), F.concat_ws("-", F.substring(number, 1, 4), F.substring(number, 5, 2), F.substring(number, 7, 2))),
+        "report_day": day(F.col("credit_report_date")),
+        "later_dates": F.size(F.filter("dates", lambda d: day(d) > day(F.col("credit_report_date")))),
+        "births": F.filter(F.transform("id_numbers", T.id_birth), lambda x: x.isNotNull()),
+        "created_day": F.lit(None).cast("date") if created is None else day(F.get(T.iso_dates(created), F.lit(0))),
+    }
+    return df.withColumns(measures)
+
+
+def business_findings() -> list[Rule]:
+    """The findings as rules over business_fields and business_measures."""
+    known = sorted({t for _, types, _, _ in FINDINGS for t in types.split()} - {"other"})
+
+    def of(types: str) -> Column:
+        return ~F.col("doc_type").isin(known) if types == "other" else F.col("doc_type").isin(types.split())
+
+    return [Rule(code, of(types) & F.expr(predicate), points) for code, types, predicate, points in FINDINGS]
 
 
 def detect_business(df: DataFrame, text: str = "text", created: Column | None = None, given: tuple[str, ...] = ()) -> DataFrame:
     """business_score, business_level and business_findings of every document."""
-    rules = business_findings(F.coalesce(F.col(text), F.lit("")), created)
     rows = business_fields(df, text, given)
+    measured = business_measures(rows, F.coalesce(F.col(text), F.lit("")), created)
+    rules = business_findings()
     score = score_of(rules)
-    return rows.withColumns({"business_score": score.cast("double"), "business_level": detector_level(score), "business_findings": reasons_of(rules)})
+    found = measured.withColumns({"business_score": score.cast("double"), "business_level": detector_level(score), "business_findings": reasons_of(rules)})
+    return found.select(*rows.columns, "business_score", "business_level", "business_findings")
 
 
 def seal_component(smask: Column, visual_reasons: Column, best: Column, kind: Column, monochrome: Column) -> tuple[Column, Column]:

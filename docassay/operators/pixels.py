@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -92,7 +94,7 @@ def page_statistics(rgb: np.ndarray) -> dict[str, float]:
 def raster_statistics(rasters: pd.DataFrame) -> pd.DataFrame:
     """Statistics of each raster; an absent or empty one has zeros."""
     zero = {"block_variance": 0.0, "edge": 0.0, "red": 0.0, "red_count": 0, "red_max_ratio": 0.0, "edge_contrast": 0.0, "color_std": 0.0, "noise_peak_ratio": 0.0}
-    return pd.DataFrame([page_statistics(image(r)) if r["data"] is not None and len(r["data"]) else zero for _, r in rasters.iterrows()], columns=[*zero])
+    return pd.DataFrame([page_statistics(image(dict(zip("hwc", size, strict=True)) | {"data": data})) if data is not None and len(data) else zero for *size, data in zip(rasters["h"], rasters["w"], rasters["c"], rasters["data"], strict=True)], columns=[*zero])
 
 
 def dhash(plane: np.ndarray) -> int:
@@ -120,3 +122,52 @@ def ring_features(mask: np.ndarray, sectors: int = 24) -> dict[str, float]:
     part = ((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * sectors).astype(int) % sectors
     share = np.array([mask[rim & (part == s)].mean() if (rim & (part == s)).any() else 0.0 for s in range(sectors)])
     return {"ring": float(mask[rim].mean()) if rim.any() else 0.0, "center": float(mask[middle].mean()) if middle.any() else 0.0, "coverage": float((share > 0.02).mean()), "uniformity": float(1 - min(1.0, share.std() / max(share.mean(), 1e-6)))}
+
+
+def resized(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A raster in other dimensions: area means where it shrinks, the nearest pixel where it grows."""
+    ys, xs = np.linspace(0, rgb.shape[0], height + 1), np.linspace(0, rgb.shape[1], width + 1)
+    if height >= rgb.shape[0] and width >= rgb.shape[1]:
+        return rgb[np.minimum(ys[:-1].astype(int), rgb.shape[0] - 1)][:, np.minimum(xs[:-1].astype(int), rgb.shape[1] - 1)]
+    rows, columns = ys[:-1].astype(int), xs[:-1].astype(int)
+    sums = np.add.reduceat(np.add.reduceat(rgb.astype(np.float64), rows, axis=0), columns, axis=1)
+    sizes = np.diff(np.r_[rows, rgb.shape[0]])[:, None] * np.diff(np.r_[columns, rgb.shape[1]])[None, :]
+    return np.round(sums / sizes[..., None]).astype(np.uint8)
+
+
+def shrunk(rgb: np.ndarray, most: int) -> np.ndarray:
+    """A raster whose longer side is at most so many pixels."""
+    scale = min(most / max(rgb.shape[:2]), 1.0)
+    return rgb if scale >= 1 else resized(rgb, max(1, int(rgb.shape[0] * scale)), max(1, int(rgb.shape[1] * scale)))
+
+
+def context_crop(rgb: np.ndarray, x0: float, y0: float, x1: float, y1: float, pad: float = 0.20) -> np.ndarray:
+    """The part within a box of shares of the page, with a fifth of its longer side around it."""
+    h, w = rgb.shape[:2]
+    left, top, right, bottom = x0 * w, y0 * h, x1 * w, y1 * h
+    more = pad * max(right - left, bottom - top)
+    return rgb[max(0, int(top - more)) : min(h, math.ceil(bottom + more)), max(0, int(left - more)) : min(w, math.ceil(right + more))]
+
+
+def reading_crop(rgb: np.ndarray, x0: float, y0: float, x1: float, y1: float, least: int = 640) -> np.ndarray:
+    """The grey context crop with its contrast stretched between the first and the last hundredth, grown to a recogniser's size."""
+    plane = grey(context_crop(rgb, x0, y0, x1, y1))
+    if not plane.size:
+        return plane.astype(np.uint8)
+    low, high = np.percentile(plane, (1, 99))
+    plane = np.clip((plane - low) / max(high - low, 1e-6) * 255, 0, 255).astype(np.uint8)
+    scale = max(1.0, least / max(plane.shape))
+    return resized(plane[..., None], int(plane.shape[0] * scale), int(plane.shape[1] * scale))[..., 0] if scale > 1 else plane
+
+
+@F.pandas_udf(T.StructType([*(T.StructField(n, T.IntegerType()) for n in "hwc"), T.StructField("data", T.BinaryType())]))
+def cropped(rasters: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+    """Context crops of rasters by boxes (struct x0, y0, x1, y1); an absent raster or box has none."""
+    out = []
+    for h, w, c, data, *box in zip(rasters["h"], rasters["w"], rasters["c"], rasters["data"], *(boxes[k] for k in ("x0", "y0", "x1", "y1")), strict=True):
+        if data is None or any(pd.isna(b) for b in box):
+            out.append((0, 0, 0, None))
+        else:
+            part = context_crop(np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(c)), *box)
+            out.append((*part.shape, part.tobytes()))
+    return pd.DataFrame(out, columns=["h", "w", "c", "data"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.functions import text as T
-from docassay.operators import geometry, layout, seals
+from docassay.operators import geometry, layout, seals, synthetic
 from docassay.plans import projections as P
 from docassay.plans import reports  # noqa: F401  its SQL is part of one here
 from docassay.plans.registry import SQL, query
@@ -63,6 +63,22 @@ def candidate_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.semantics(P.spark_sql(spark, sf_dir, CANDIDATES)).select("document_id", F.bround("semantic_score", 9).alias("semantic_score"), "reason", "seal_class", "should_ocr")
 
 
+NEGATIVES = synthetic.negatives_sql("SELECT doc_id AS id FROM {documents}")
+
+
+@query(P.oracle(NEGATIVES))
+def synthetic_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fakes of every type and kind of tampering, one for each id."""
+    return P.spark_sql(spark, sf_dir, NEGATIVES)
+
+
+@query(f"WITH n AS ({P.oracle(NEGATIVES)}) SELECT tamper_type, category, count(*) AS documents, count(*) FILTER (regexp_matches(text, 'EDITED-|FONT-|HIDDEN_ORIGINAL|INSERTED PAGE|Total: 19800')) AS told_by_text FROM n GROUP BY 1, 2")
+def negative_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fakes of each kind there are, and how many of them their text layer tells."""
+    rows = P.spark_sql(spark, sf_dir, NEGATIVES)
+    return rows.groupBy("tamper_type", "category").agg(F.count("*").alias("documents"), F.count_if(F.col("text").rlike("EDITED-|FONT-|HIDDEN_ORIGINAL|INSERTED PAGE|Total: 19800")).alias("told_by_text"))
+
+
 @query(f"WITH classified AS ({SQL['seal_classify']}) SELECT seal_class, count(*) AS candidates, count(*) FILTER (should_ocr) AS worth_recognising, round_even(avg(confidence), 4) AS mean_confidence FROM classified GROUP BY 1")
 def seal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seals.summary(seals.classify(P.seals(spark, sf_dir)))

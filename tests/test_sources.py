@@ -133,3 +133,37 @@ def test_printed_dates(spark):
     raws = ["Thu Jan  2 15:30:59 2020 CST", "Thu, 02 Jan 2020 15:30:59 +0800", "2 January 2020 15:30", "2020-01-02 15:30:59", "2020/01/02 15:30:59", "2020-01-02", "2020-02-31", "Thu Foo  2 15:30:59 2020", "", None, "2020-13-01 00:00:00"]
     got = [r["t"] for r in spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").select("k", F.date_format(files.printed_date(F.col("raw")), "yyyyMMddHHmmss").alias("t")).orderBy("k").collect()]
     assert got == ["20200102153059", "20200102153059", "20200102153000", "20200102153059", "20200102153059", "20200102000000", None, None, None, None, None]
+
+
+def test_crops_sizes_and_polar_images(spark):
+    rng = np.random.default_rng(0)
+    page = rng.integers(0, 255, (100, 200, 3)).astype(np.uint8)
+    crop = pixels.context_crop(page, 0.25, 0.5, 0.5, 0.75)
+    assert crop.shape == (45, 70, 3) and (crop == page[40:85, 40:110]).all()
+    assert pixels.context_crop(page, 0.9, 0.9, 1.0, 1.0).shape == (14, 24, 3)
+    assert pixels.shrunk(page, 50).shape == (25, 50, 3) and pixels.shrunk(page, 400) is page
+    assert (pixels.resized(page[:4, :4], 2, 2)[0, 0] == np.round(page[:2, :2].reshape(-1, 3).mean(axis=0))).all()
+    assert (pixels.resized(page[:2, :2], 4, 4) == np.repeat(np.repeat(page[:2, :2], 2, 0), 2, 1)).all()
+    read = pixels.reading_crop(page, 0.25, 0.5, 0.5, 0.75)
+    assert read.shape == (411, 640) and read.min() == 0 and read.max() == 255
+    df = spark.createDataFrame([((100, 200, 3, bytearray(page.tobytes())), (0.25, 0.5, 0.5, 0.75)), ((100, 200, 3, None), (0.0, 0.0, 1.0, 1.0)), ((1, 1, 3, bytearray(3)), (None, 0.0, 1.0, 1.0))], f"r {pixels.RASTER}, b struct<x0:double,y0:double,x1:double,y1:double>")
+    got = [r["c"] for r in df.select(pixels.cropped("r", "b").alias("c")).collect()]
+    assert (got[0]["h"], got[0]["w"], bytes(got[0]["data"])) == (45, 70, crop.tobytes()) and got[1]["data"] is None and got[2]["data"] is None
+    y, x = np.mgrid[0:65, 0:65] - 32
+    r = np.sqrt(x * x + y * y)
+    ring, disc = (r > 26) & (r < 32), r < 12
+    of_ring, of_disc = pixels.ring_features(ring), pixels.ring_features(disc)
+    assert of_ring["ring"] > 0.4 and of_ring["center"] == 0 and of_ring["coverage"] == 1 and of_ring["uniformity"] > 0.8
+    assert of_disc["ring"] == 0 and of_disc["center"] > 0.6 and of_disc["coverage"] == 0
+    unrolled = pixels.polar(ring.astype(float))
+    assert unrolled.shape == (64, 256) and unrolled[2:8].mean() > 0.9 and unrolled[-20:].mean() == 0
+    left = np.tile(np.arange(90.0), (80, 1))
+    assert pixels.dhash(left) == (1 << 64) - 1 and pixels.dhash(left[:, ::-1]) == 0
+
+
+def test_rules_of_local_forensics(spark):
+    from docassay.operators.rules import local_rules, reasons_of, score_of
+
+    rows = spark.createDataFrame([(6.0, 3.5, 8), (5.9, 3.4, 7), (None, 9.0, None)], "ela_p99_ratio double, noise_peak_ratio double, copymove_offset_votes int")
+    got = [(r["s"], r["r"]) for r in rows.select(score_of(local_rules()).alias("s"), reasons_of(local_rules()).alias("r")).collect()]
+    assert got == [(70, ["local_ela_hotspot", "local_noise_hotspot", "copy_move_match"]), (0, []), (18, ["local_noise_hotspot"])]
