@@ -12,9 +12,10 @@ from docassay.plans.registry import query
 BASE = f"m AS ({P.oracle(P.MANIFEST)}), f AS ({P.oracle(P.PDF)})"
 
 
-@query(f"WITH {BASE} SELECT DISTINCT document_id FROM f WHERE document_id NOT IN (SELECT document_id FROM m)")
+@query(f"WITH {BASE}, s AS ({P.oracle(P.SEAL)}) SELECT DISTINCT document_id FROM s WHERE document_id NOT IN (SELECT document_id FROM m)")
 def identity_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.outside(P.spark_sql(spark, sf_dir, P.PDF), P.manifest(spark, sf_dir))
+    """Documents of seal candidates that the manifest does not know."""
+    return identity.outside(P.spark_sql(spark, sf_dir, P.SEAL), P.manifest(spark, sf_dir))
 
 
 @query(f"WITH {BASE} SELECT document_id FROM m WHERE document_id NOT IN (SELECT document_id FROM f)")

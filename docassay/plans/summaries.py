@@ -10,10 +10,10 @@ from docassay.plans import projections as P
 from docassay.plans.registry import query
 
 KIND = "CASE d.doc_id % 10 WHEN 0 THEN 'local_cover_overlay' WHEN 1 THEN 'page_splice' WHEN 2 THEN 'stamp_paste' WHEN 3 THEN 'font_mismatch' WHEN 4 THEN 'amount_edit' ELSE 'noise_patch' END"
-#: Scored documents; every third is a fake whose file tells the kind of tampering.
+#: Scored documents; three of seven are fakes whose file tells the kind of tampering.
 SCORED = f"""
-SELECT printf('doc_%06d', d.doc_id) AS document_id, CASE WHEN d.doc_id % 3 = 0 THEN 'fake' WHEN d.doc_id % 17 = 0 THEN 'uploaded' ELSE 'normal' END AS label, {P.TYPE_OF.format("d.doc_id")} AS doc_type,
-  CASE WHEN d.doc_id % 3 = 0 THEN concat('/data/made/synthetic_fake_', lpad(CAST(d.doc_id AS STRING), 4, '0'), '_', {KIND}, '.pdf') ELSE concat('/data/', d.source, '/', CAST(d.doc_id AS STRING), '.pdf') END AS path,
+SELECT printf('doc_%06d', d.doc_id) AS document_id, CASE WHEN d.doc_id % 7 < 3 THEN 'fake' WHEN d.doc_id % 17 = 0 THEN 'uploaded' ELSE 'normal' END AS label, {P.TYPE_OF.format("d.doc_id")} AS doc_type,
+  CASE WHEN d.doc_id % 7 < 3 THEN concat('/data/made/synthetic_fake_', lpad(CAST(d.doc_id AS STRING), 4, '0'), '_', {KIND}, '.pdf') ELSE concat('/data/', d.source, '/', CAST(d.doc_id AS STRING), '.pdf') END AS path,
   CAST((d.n_chars * 7 + d.doc_id * 13) % 60 AS INT) AS marker_free_risk_score, CASE WHEN d.doc_id % 5 = 0 THEN '' WHEN d.doc_id % 5 = 1 THEN 'v2' ELSE 'v3' END AS scoring_version,
   CASE WHEN d.doc_id % 23 = 0 THEN concat('timeout: ', CAST(d.doc_id AS STRING)) WHEN d.doc_id % 29 = 0 THEN 'unreadable' ELSE '' END AS error
 FROM {{documents}} d
@@ -74,7 +74,7 @@ def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(30)
 
 
-@query(f"WITH s AS ({S}), p AS (SELECT doc_type, CASE WHEN marker_free_risk_score < 20 THEN doc_type ELSE 'other' END AS predicted FROM s), k AS (SELECT doc_type AS c FROM p UNION SELECT predicted FROM p), m AS (SELECT c, count(*) FILTER (doc_type = c) AS support, count(*) FILTER (predicted = c) AS given, count(*) FILTER (doc_type = c AND predicted = c) AS hits FROM k, p GROUP BY 1) SELECT count(*) AS classes, round_even(avg(hits / support), 6) AS macro_recall, round_even(avg(2 * hits / (support + given)), 6) AS macro_f1 FROM m WHERE support > 0")
+@query(f"WITH s AS ({S}), p AS (SELECT doc_type, CASE WHEN marker_free_risk_score < 20 THEN doc_type ELSE 'other' END AS predicted FROM s), k AS (SELECT doc_type AS c FROM p UNION SELECT predicted FROM p), m AS (SELECT c, count(*) FILTER (doc_type = c) AS support, count(*) FILTER (predicted = c) AS given, count(*) FILTER (doc_type = c AND predicted = c) AS hits FROM k, p GROUP BY 1) SELECT count(*) AS classes, round_even(avg(round_even(hits / support, 6)), 6) AS macro_recall, round_even(avg(round_even(2 * hits / (support + given), 6)), 6) AS macro_f1 FROM m WHERE support > 0")
 def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of recall and F1 over the classes that occur."""
     rows = scored(spark, sf_dir).withColumn("predicted", F.when(F.col("marker_free_risk_score") < 20, F.col("doc_type")).otherwise("other"))
