@@ -22,8 +22,23 @@ def last_wins(df: DataFrame, position: str, key: str = KEY) -> DataFrame:
     return best.select(key, *(F.col("row")[c].alias(c) for c in rest))
 
 
-def number_rows(df: DataFrame, *order: str, start: int = 1, name: str = "position") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) + (start - 1))
+def number_rows(df: DataFrame, order: str, group: str | None = None, start: int = 1, name: str = "position") -> DataFrame:
+    """Rows numbered in an order, within each group if there is one, without a task that holds a group: rows are dealt to
+    ranges, each range is numbered by itself, and the counts of the ranges before it, few rows, give its offset. The number
+    of ranges is fixed, so that both readings of them are dealt alike. Equal rows of the order stand in one range."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = [group] if group else []
+    dealt = df.repartitionByRange(n, *groups, order).withColumn("range_", F.spark_partition_id())
+    before = Window.partitionBy(*groups).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*groups, "range_").agg(F.count("*").alias("here_"))  # one row a range and group
+    offsets = counts.select(*(F.col(g).alias(f"{g}_of_") for g in groups), F.col("range_").alias("range_of_"), F.coalesce(F.sum("here_").over(before), F.lit(0)).alias("before_"))
+    same = F.col("range_") == F.col("range_of_")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_of_"))
+    local = dealt.withColumn("own_", F.row_number().over(Window.partitionBy("range_", *groups).orderBy(order)))
+    joined = local.join(F.broadcast(offsets), same)
+    return joined.select(*df.columns, (F.col("before_") + F.col("own_") + (start - 1)).alias(name))
 
 
 def evidence(tables: dict[str, DataFrame], owning: tuple[str, ...] = ("pdf", "visual", "text", "ocr", "seal"), extra: tuple[str, ...] = ("marker", "qwen")) -> DataFrame:

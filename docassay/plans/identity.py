@@ -74,10 +74,9 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH m AS ({P.oracle(P.MANIFEST)}) SELECT document_id, printf('%s_%06d', label, row_number() OVER (PARTITION BY label ORDER BY document_id) - 1) AS running_id FROM m")
 def running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("label").orderBy("document_id")) - 1
-    return P.manifest(spark, sf_dir).select("document_id", F.format_string("%s_%06d", "label", n).alias("running_id"))
+    """Documents numbered within their label, in the order of their ids."""
+    rows = fusion.number_rows(P.manifest(spark, sf_dir).select("document_id", "label"), "document_id", "label", start=0, name="n")
+    return rows.select("document_id", F.format_string("%s_%06d", "label", "n").alias("running_id"))
 
 
 @query(f"WITH m AS ({P.oracle(P.MANIFEST)}) SELECT document_id, doc_type FROM m WHERE label IN ('fake', 'normal') AND lower(ext) IN ('.pdf', '.jpg', '.jpeg', '.png') AND NOT starts_with(split_part(path, '/', -1), '1')")

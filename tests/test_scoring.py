@@ -82,3 +82,17 @@ def test_auc_with_ties_and_empty(spark):
     df = spark.createDataFrame([(0.1, False), (0.5, True), (0.5, False), (0.9, True)], "s double, y boolean")
     assert metrics.roc_auc(df, "s", F.col("y")).first()["auc"] == 0.875
     assert metrics.roc_auc(df.limit(0), "s", F.col("y")).first()["auc"] is None
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    from docassay.operators.fusion import number_rows
+
+    rows = [(f"k{i:04d}", None if i % 5 == 0 else "ab"[i % 2]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, kind string").repartition(7)
+    got = {(r["kind"], r["n"]): r["id"] for r in number_rows(df, "id", "kind", start=0, name="n").collect()}
+    for kind in (None, "a", "b"):
+        ids = sorted(i for i, k in rows if k == kind)
+        assert [got[kind, n] for n in range(len(ids))] == ids
+    plain = number_rows(df, "id").orderBy("id").collect()
+    assert [r["position"] for r in plain] == list(range(1, 501))
+    assert number_rows(df.limit(0), "id", "kind").count() == 0
