@@ -204,7 +204,7 @@ def parse(source: str) -> list[Block]:
                     continue
                 seen.add(key)
                 if key in ("class", "id") and name not in ("html", "body"):
-                    evidence |= named(value, bool(evidence & MAIN))
+                    evidence |= (named if len(value) <= 256 else named.__wrapped__)(value, bool(evidence & MAIN))
                 elif key == "role":
                     roles = {*value.lower().split()}
                     evidence |= ASIDE * bool(roles & AWAY_ROLES) | MAIN * bool(roles & MAINS)
