@@ -131,11 +131,15 @@ def image_rows(df: DataFrame, printed: str, key: str = "document_id") -> DataFra
     return cells.select(key, n(0).alias("page"), F.get("c", F.lit(2)).alias("kind"), n(3).alias("width"), n(4).alias("height"))
 
 
-def image_counts(images: DataFrame, key: str = "document_id") -> DataFrame:
-    """Images, masks, images of a million pixels or more, and overlays below 300,000."""
+# Pixels from which an image is large, and below which it is an overlay.
+LARGE_IMAGE, SMALL_OVERLAY = 1_000_000, 300_000
+
+
+def image_counts(images: DataFrame, key: str = "document_id", large: int = LARGE_IMAGE, small: int = SMALL_OVERLAY) -> DataFrame:
+    """Images, masks, large images and small overlays of each document."""
     area = F.col("width").cast("bigint") * F.col("height")
     image = F.col("kind") == "image"
-    return images.groupBy(key).agg(F.count_if(image).alias("image_count"), F.count_if(F.col("kind") == "smask").alias("smask_count"), F.count_if(image & (area >= 1_000_000)).alias("large_image_count"), F.count_if(image & (area < 300_000)).alias("small_overlay_count"))
+    return images.groupBy(key).agg(F.count_if(image).alias("image_count"), F.count_if(F.col("kind") == "smask").alias("smask_count"), F.count_if(image & (area >= large)).alias("large_image_count"), F.count_if(image & (area < small)).alias("small_overlay_count"))
 
 
 def word_boxes(df: DataFrame, xml: str, key: str = "document_id") -> DataFrame:

@@ -167,3 +167,23 @@ def test_rules_of_local_forensics(spark):
     rows = spark.createDataFrame([(6.0, 3.5, 8), (5.9, 3.4, 7), (None, 9.0, None)], "ela_p99_ratio double, noise_peak_ratio double, copymove_offset_votes int")
     got = [(r["s"], r["r"]) for r in rows.select(score_of(local_rules()).alias("s"), reasons_of(local_rules()).alias("r")).collect()]
     assert got == [(70, ["local_ela_hotspot", "local_noise_hotspot", "copy_move_match"]), (0, []), (18, ["local_noise_hotspot"])]
+
+
+def test_settings_come_from_one_object(spark, tmp_path):
+    from docassay.settings import Settings
+
+    path = tmp_path / "settings.json"
+    path.write_text('{\n"seed": 7, "type_words": {"invoice": ["bill"]}, "validation_share": 0.1}')
+    got = Settings.read(spark, str(path))
+    assert (got.seed, got.type_words, got.validation_share, got.large_image_pixels) == (7, (("invoice", ("bill",)),), 0.1, 1_000_000)
+    for bad in ('{"sed": 7}', '{"seed": "7"}', '{"folders": []}'):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            Settings.read(spark, str(path))
+
+
+def test_private_texts_are_written_by_run(spark, tmp_path):
+    df = spark.createDataFrame([("doc-1", "secret"), ("doc-2", None)], "document_id string, text string")
+    tables.write_private_texts(df, str(tmp_path / "texts"), "run7")
+    back = spark.read.json(str(tmp_path / "texts")).collect()
+    assert {r["run_id"] for r in back} == {"run7"} and all(len(r["ref"]) == 20 and "doc" not in r["ref"] for r in back) and {r["text"] for r in back} == {"secret", None}
