@@ -118,10 +118,15 @@ def ring_features(mask: np.ndarray, sectors: int = 24) -> dict[str, float]:
     y, x = np.mgrid[0:h, 0:w]
     dy, dx = (y - (h - 1) / 2) / max(h / 2, 1), (x - (w - 1) / 2) / max(w / 2, 1)
     r = np.sqrt(dy * dy + dx * dx)
-    rim, middle = (r >= 0.62) & (r <= 1.02), r < 0.45
-    part = ((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * sectors).astype(int) % sectors
-    share = np.array([mask[rim & (part == s)].mean() if (rim & (part == s)).any() else 0.0 for s in range(sectors)])
-    return {"ring": float(mask[rim].mean()) if rim.any() else 0.0, "center": float(mask[middle].mean()) if middle.any() else 0.0, "coverage": float((share > 0.02).mean()), "uniformity": float(1 - min(1.0, share.std() / max(share.mean(), 1e-6)))}
+    rim, middle = (r >= 0.62) & (r <= 1.02), r <= 0.52
+    if min(h, w) < 8 or not rim.any():
+        return {"ring": 0.0, "center": 0.0, "coverage": 0.0, "uniformity": 0.0}
+    part = np.minimum(((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * sectors).astype(int), sectors)
+    inked, size = np.bincount(part[rim & mask], minlength=sectors + 1)[:sectors], np.bincount(part[rim], minlength=sectors + 1)[:sectors]
+    share = inked / np.maximum(size, 1)
+    held = share[share >= 0.018]
+    even = 1 / (1 + held.std() / max(held.mean(), 1e-6)) if len(held) >= 4 else 0.0
+    return {"ring": float(mask[rim].mean()), "center": float(mask[middle].mean()), "coverage": len(held) / sectors, "uniformity": float(even)}
 
 
 def resized(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
