@@ -15,6 +15,8 @@ DATE = r"((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](3[01]|[12]\d|0?[1-9])(
 NUMBER = r"(?i)(?:报\s*告\s*编\s*号|报告号码|NO\.?)\s*[:：]?\s*([0-9OIl\s]{14,28})"
 #: The same without line breaks between date and time.
 DATE_ON_LINE = DATE.replace(r"[T\s]*", r"[T \t]*")
+#: What stands for a date while a text is split at its dates: splitting at one character needs no pattern.
+MARK = "\x01"
 BOUNDARY = r"(?<![A-Za-z㐀-鿿])"
 TIME_LABELS = (r"报告\s*时\s*间\s*:?\s*", r"报告\s*日\s*期\s*:?\s*")
 FORWARD = r"(?i)(?:到期|截止|有效期|有效截止|营业期限|许可截止|还款计划|终止)(?:日期|日|时间|期)?[:：]?$"
@@ -36,13 +38,10 @@ def cover(text: Column) -> Column:
 
 
 def timestamp_of(raw: Column) -> Column:
-    """A date as written, with its time if there is one; impossible dates are null. One match gives all parts."""
-
-    def made(parts: Column) -> Column:
-        n = [F.coalesce(F.get(parts, F.lit(k)).try_cast("int"), F.lit(0)) for k in range(6)]
-        return F.when(n[0] > 0, F.try_make_timestamp_ntz(*n[:5], n[5].cast("decimal(8,6)")).cast("timestamp"))
-
-    return let(F.split(F.regexp_replace(raw, f"^(?:{DATE}).*$", "$1,$2,$3,$4,$5,$6"), ","), made)
+    """A date as written, with its time if there is one; impossible dates are null. One match puts it in the usual order,
+    what is left of an absent time goes, and a cast that does not raise reads it."""
+    usual = F.regexp_replace(raw, f"^(?:{DATE}).*$", "$1-$2-$3 $4:$5:$6")
+    return F.rtrim(usual, F.lit(" :")).try_cast("timestamp")
 
 
 def let(value: Column, f) -> Column:
@@ -87,7 +86,7 @@ def later_dates(text: Column, limit: Column) -> Column:
         return F.transform(kept, kind)
 
     found = F.regexp_extract_all(text, F.lit(DATE_ON_LINE), F.lit(0))
-    return let(found, lambda dates: F.when(F.size(dates) > 0, let(F.split(text, DATE_ON_LINE, -1), lambda pieces: judged(dates, pieces))).otherwise(F.array().cast("array<struct<kind:string,t:timestamp>>")))
+    return let(found, lambda dates: F.when(F.size(dates) > 0, let(F.split(F.regexp_replace(text, DATE_ON_LINE, MARK), MARK, -1), lambda pieces: judged(dates, pieces))).otherwise(F.array().cast("array<struct<kind:string,t:timestamp>>")))
 
 
 def common_rules(reports: DataFrame) -> DataFrame:
