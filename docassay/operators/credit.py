@@ -109,12 +109,15 @@ def common_rules(reports: DataFrame) -> DataFrame:
 
 def variant(text: Column, embedded: Column) -> Column:
     """Which kind of report a text is."""
-    flat = compact(text)
-    n = lambda words: sum((F.contains(flat, F.lit(w)).cast("int") for w in words), F.lit(0))
+    found = let(compact(text), lambda flat: F.struct(*(sum((F.contains(flat, F.lit(w)).cast("int") for w in words), F.lit(0)).alias(name) for name, words in (("enterprise", ENTERPRISE), ("personal", PERSONAL), ("online", ONLINE), ("printed", PRINTED)))))
     lessor = F.contains(F.regexp_extract(compact(cover(text)), r"查询机构:?(.{2,100}?)(?=报告时间|报告日期|第\d+页|$)", 1), F.lit("租赁"))
     enterprise = F.when(~embedded, "scanned_enterprise").when(lessor, "leasing_enterprise").otherwise("online_enterprise")
-    personal = F.when(n(ONLINE) > 0, F.when(embedded, "online_personal").otherwise("scanned_online_personal")).when(n(PRINTED) > 0, "pboc_print_personal").otherwise("unknown")
-    return F.when(n(ENTERPRISE) > n(PERSONAL), enterprise).when(n(PERSONAL) > 0, personal).otherwise("unknown")
+
+    def judged(n: Column) -> Column:
+        personal = F.when(n["online"] > 0, F.when(embedded, "online_personal").otherwise("scanned_online_personal")).when(n["printed"] > 0, "pboc_print_personal").otherwise("unknown")
+        return F.when(n["enterprise"] > n["personal"], enterprise).when(n["personal"] > 0, personal).otherwise("unknown")
+
+    return let(found, judged)
 
 
 def original_rules(created: Column, modified: Column, producer: Column, version: Column, report: Column, scanned: Column, readable: Column, trusted_producers: tuple[str, ...]) -> dict[str, Column]:
@@ -132,19 +135,26 @@ def birth_rule(ids: Column, births: Column, printed: Column, native: Column) ->
     """H1: one identity number and one date of birth, both native, must agree."""
     from docassay.functions.text import id_birth
 
-    certain = native & (F.size(F.array_distinct(ids)) == 1) & (F.size(F.array_distinct(births)) == 1)
-    return F.when(~printed, "not_applicable").when(~F.coalesce(certain, F.lit(False)), "manual").when(id_birth(F.get(ids, F.lit(0))) == F.get(births, F.lit(0)), "pass").otherwise("fail")
+    def judged(v: Column) -> Column:
+        certain = native & (F.size(F.array_distinct(v["ids"])) == 1) & (F.size(F.array_distinct(v["births"])) == 1)
+        return F.when(~F.coalesce(certain, F.lit(False)), "manual").when(id_birth(F.get(v["ids"], F.lit(0))) == F.get(v["births"], F.lit(0)), "pass").otherwise("fail")
+
+    return F.when(~printed, "not_applicable").otherwise(let(F.struct(ids.alias("ids"), births.alias("births")), judged))
 
 
 def identity_rule(fields: list[tuple[Column, Column]], native: Column) -> Column:
     """C2: pairs of value sets from two sections. Several values in one section are ambiguous before anything else."""
-    ambiguous, conflict, equal = F.lit(False), F.lit(False), F.lit(True)
-    for a, b in fields:
-        ambiguous = ambiguous | (F.size(a) > 1) | (F.size(b) > 1)
-        both = (F.size(a) == 1) & (F.size(b) == 1)
-        conflict = conflict | (both & (F.get(a, F.lit(0)) != F.get(b, F.lit(0))))
-        equal = equal & both & (F.get(a, F.lit(0)) == F.get(b, F.lit(0)))
-    return F.when(ambiguous, "manual").when(F.coalesce(conflict, F.lit(False)), F.when(native, "fail").otherwise("manual")).when(F.coalesce(equal, F.lit(False)) & native, "pass").otherwise("manual")
+
+    def judged(v: Column) -> Column:
+        ambiguous, conflict, equal = F.lit(False), F.lit(False), F.lit(True)
+        for a, b in ((v[f"a{k}"], v[f"b{k}"]) for k in range(len(fields))):
+            ambiguous = ambiguous | (F.size(a) > 1) | (F.size(b) > 1)
+            both = (F.size(a) == 1) & (F.size(b) == 1)
+            conflict = conflict | (both & (F.get(a, F.lit(0)) != F.get(b, F.lit(0))))
+            equal = equal & both & (F.get(a, F.lit(0)) == F.get(b, F.lit(0)))
+        return F.when(ambiguous, "manual").when(F.coalesce(conflict, F.lit(False)), F.when(native, "fail").otherwise("manual")).when(F.coalesce(equal, F.lit(False)) & native, "pass").otherwise("manual")
+
+    return let(F.struct(*(x.alias(f"{side}{k}") for k, pair in enumerate(fields) for side, x in zip("ab", pair, strict=True))), judged)
 
 
 def status_counts(results: DataFrame, key: str = "source_id") -> DataFrame:
@@ -185,20 +195,18 @@ def _has(name, font: str, attributes: str):
 def personal_section(text: Column) -> Column:
     """Lines from the heading of personal data, on one of the first six pages, to the next heading or a hundred lines on."""
 
-    def of_page(page: Column) -> Column:
-        lines = F.split(page, "\n")
-        start = F.array_position(F.transform(lines, lambda s: F.contains(compact(s), F.lit("个人基本信息"))), True)
-        scoped = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), 100)
+    def ends(s: Column, i: Column) -> Column:
+        return let(compact(s), lambda flat: F.exists(F.array(*map(F.lit, AFTER_PERSONAL)), lambda h: F.contains(flat, h))) & (i > 1)
+
+    def cut(scoped: Column) -> Column:
+        return let(F.array_position(F.transform(scoped, ends), True), lambda stop: F.when(stop > 0, F.slice(scoped, 1, (stop - 1).cast("int"))).otherwise(scoped))
 
-        def ends(s: Column, i: Column) -> Column:
-            hit = F.lit(False)
-            for h in AFTER_PERSONAL:
-                hit = hit | F.contains(compact(s), F.lit(h))
-            return hit & (i > 1)
+    def of_lines(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda s: F.contains(compact(s), F.lit("个人基本信息"))), True)
+        return let(start, lambda at: F.when(at > 0, let(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), 100), cut)))
 
-        stop = F.array_position(F.transform(scoped, ends), True)
-        cut = F.when(stop > 0, F.slice(scoped, 1, (stop - 1).cast("int"))).otherwise(scoped)
-        return F.when(start > 0, cut)
+    def of_page(page: Column) -> Column:
+        return let(F.split(page, "\n"), of_lines)
 
     found = F.filter(F.transform(F.slice(pages(half_width(text)), 1, 6), of_page), lambda x: x.isNotNull())
     return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
@@ -207,12 +215,15 @@ def personal_section(text: Column) -> Column:
 def after_label(lines: Column, label: str, ahead: int = 3) -> Column:
     """What follows a label on its line, or the first of the next lines that is not blank; one value a labelled line."""
 
-    def value(s: Column, i: Column) -> Column:
-        tail = F.regexp_extract(s, label + r"\s*[:：]?\s*(.*)$", 1)
-        following = F.get(F.filter(F.slice(lines, i + 2, ahead), lambda x: F.trim(x) != ""), F.lit(0))
-        return F.when(s.rlike(label), F.coalesce(F.nullif(F.trim(tail), F.lit("")), following, F.lit("")))
+    def values(lines: Column) -> Column:
+        def value(s: Column, i: Column) -> Column:
+            tail = F.regexp_extract(s, label + r"\s*[:：]?\s*(.*)$", 1)
+            following = F.get(F.filter(F.slice(lines, i + 2, ahead), lambda x: F.trim(x) != ""), F.lit(0))
+            return F.when(s.rlike(label), F.coalesce(F.nullif(F.trim(tail), F.lit("")), following, F.lit("")))
 
-    return F.filter(F.transform(lines, value), lambda v: v.isNotNull())
+        return F.filter(F.transform(lines, value), lambda v: v.isNotNull())
+
+    return let(lines, values)  # an outer column in a function is computed again for every line
 
 
 def personal_values(section: Column) -> tuple[Column, Column]:
@@ -228,11 +239,13 @@ def identity_sections(text: Column) -> tuple[Column, Column]:
     """Lines of the cover, and of the first page from the second to the eighth with an identity heading, up to thirty that are not blank."""
     every = pages(half_width(text))
 
-    def of_page(page: Column) -> Column:
-        lines = F.split(page, "\n")
+    def of_lines(lines: Column) -> Column:
         heads = F.transform(F.slice(lines, 1, 60), lambda s: F.regexp_replace(compact(s), "^[:：|｜]+|[:：|｜]+$", "") == "身份标识")
-        start = F.array_position(heads, True)
-        return F.when(start > 0, F.slice(F.filter(F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), 1_000_000), lambda s: F.trim(s) != ""), 1, 30))
+        rest = lambda at: F.filter(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), 1_000_000), lambda s: F.trim(s) != "")
+        return let(F.array_position(heads, True), lambda at: F.when(at > 0, F.slice(rest(at), 1, 30)))
+
+    def of_page(page: Column) -> Column:
+        return let(F.split(page, "\n"), of_lines)
 
     found = F.filter(F.transform(F.slice(every, 2, 7), of_page), lambda x: x.isNotNull())
     return F.split(cover(half_width(text)), "\n"), F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
@@ -244,19 +257,25 @@ def identity_values(lines: Column, label: str) -> Column:
     known = rf"^\s*(?:{others})\s*:?[ \t]*"
 
     def valid(raw: Column) -> Column:
-        x = F.upper(F.regexp_replace(compact(F.split(raw, others, 2)[0]), "^[:：|｜]+|[:：|｜]+$", ""))
-        ok = {"中征码": x.rlike(r"^\d{16}$"), "统一社会信用代码": x.rlike("^[0-9A-Z]{18}$")}.get(label, F.char_length(x).between(2, 80) & x.rlike("[㐀-鿿]") & ~x.isin(*NOT_NAMES))
-        return F.when(ok, x)
+        def judged(x: Column) -> Column:
+            ok = {"中征码": x.rlike(r"^\d{16}$"), "统一社会信用代码": x.rlike("^[0-9A-Z]{18}$")}.get(label, F.char_length(x).between(2, 80) & x.rlike("[㐀-鿿]") & ~x.isin(*NOT_NAMES))
+            return F.when(ok, x)
+
+        return let(F.upper(F.regexp_replace(compact(F.split(raw, others, 2)[0]), "^[:：|｜]+|[:：|｜]+$", "")), judged)
+
+    def values(lines: Column) -> Column:
+        def value(s: Column, i: Column) -> Column:
+            own = valid(F.regexp_extract(s, rf"^\s*{label}\s*:?[ \t]*(.*)$", 1))
+            following = F.get(F.filter(F.slice(lines, i + 2, 4), lambda x: F.trim(x) != ""), F.lit(0))
+            return F.when(s.rlike(rf"^\s*{label}"), F.coalesce(own, let(following, lambda x: F.when(~x.rlike(known), valid(F.trim(x))))))
 
-    def value(s: Column, i: Column) -> Column:
-        own = valid(F.regexp_extract(s, rf"^\s*{label}\s*:?[ \t]*(.*)$", 1))
-        following = F.get(F.filter(F.slice(lines, i + 2, 4), lambda x: F.trim(x) != ""), F.lit(0))
-        return F.when(s.rlike(rf"^\s*{label}"), F.coalesce(own, F.when(~following.rlike(known), valid(F.trim(following)))))
+        return F.array_distinct(F.array_compact(F.transform(lines, value)))
 
-    return F.array_distinct(F.array_compact(F.transform(lines, value)))
+    return let(lines, values)
 
 
 def enterprise_identity(text: Column, native: Column) -> Column:
     """C2 of an enterprise report: name and both codes on the cover and in the identity section."""
     first, second = identity_sections(text)
-    return identity_rule([(identity_values(first, x), identity_values(second, x)) for x in LABELS[:3]], native)
+    both = F.struct(first.alias("first"), second.alias("second"))
+    return let(both, lambda s: identity_rule([(identity_values(s["first"], x), identity_values(s["second"], x)) for x in LABELS[:3]], native))

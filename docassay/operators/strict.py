@@ -112,8 +112,8 @@ def analyse(reports: DataFrame) -> DataFrame:
     original["P2"] = F.when(~c("embedded") | readable, original["P2"]).otherwise("manual")
     original["P1D"] = F.when(~c("embedded"), "not_applicable").when(~F.coalesce("fonts_readable", no), "manual").when(credit.fonts_rule(c("fonts")) == "pass", "pass").otherwise("possible")
     kinds = {"online": c("report_variant").isin("online_personal", "scanned_online_personal"), "print": c("report_variant") == "pboc_print_personal", "enterprise": F.contains("report_variant", F.lit("enterprise"))}
-    ids, births = credit.personal_values(credit.personal_section(c("analysis")))
-    found = {"G1": c("g1"), "G2": c("g2"), **original, "H1": F.when(kinds["print"], credit.birth_rule(ids, births, F.lit(True), c("embedded"))), "C2": F.when(kinds["enterprise"], credit.enterprise_identity(c("analysis"), c("embedded")))}
+    born = credit.let(credit.personal_section(c("analysis")), lambda s: credit.birth_rule(*credit.personal_values(s), F.lit(True), c("embedded")))
+    found = {"G1": c("g1"), "G2": c("g2"), **original, "H1": F.when(kinds["print"], born), "C2": F.when(kinds["enterprise"], credit.enterprise_identity(c("analysis"), c("embedded")))}
     time = lambda t: F.coalesce(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit("未提供"))
     seen = {
         "G1": F.when(c("g1").isin("pass", "fail") | (F.char_length("report_number") >= 14) & c("report_time_exact").isNotNull(), F.concat(F.lit("编号前14位为 "), F.left("report_number", F.lit(14)), F.lit("；报告时间为 "), time(c("report_time_exact")))),

@@ -41,6 +41,25 @@ def test_enterprise_identity(spark):
     assert rule("no identity") == "manual"
 
 
+def test_sections_of_a_report_are_read_once(spark):
+    """What a lambda function takes from outside is computed again for every line, so sections must be bound."""
+    row = spark.createDataFrame([(enterprise(), True)], "text string, native boolean")
+    pieces = lambda column: row.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count("split(text")
+    pages = lambda column: row.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(translate(text")
+    assert pages(credit.enterprise_identity(F.col("text"), F.col("native"))) <= 4
+    assert pages(credit.let(credit.personal_section(F.col("text")), lambda s: credit.birth_rule(*credit.personal_values(s), F.lit(True), F.col("native")))) == 1
+    assert pieces(credit.after_label(F.split("text", "\n"), "label")) == 1
+
+
+def test_reports_are_spread_over_the_cores(spark, tmp_path):
+    from docassay.plans import credit as plans
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = plans.full(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert rows.select("source_id").distinct().count() == 40
+
+
 def test_fonts_must_be_the_allowed_ones(spark):
     good = "name type encoding emb sub uni\n---- ----\nABCDEF+Helvetica Type 1 WinAnsi no no no\nGHIJKL+SourceHanSerifCN-Regular CID TrueType Identity-H yes yes yes\n"
     rule = lambda text: value(spark, credit.fonts_rule(F.lit(text)))
