@@ -81,7 +81,7 @@ z AS (SELECT source_id, source_format, report_variant, rule_id, CASE status WHEN
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict.analyse(P.spark_sql(spark, sf_dir, FULL))
+    return strict.analyse(P.spark_sql(spark, sf_dir, FULL, customer="c_custkey"))
 
 
 @query(FULL_SQL + "SELECT * FROM z")

@@ -99,9 +99,16 @@ FROM {events}
 TABLES = ("documents", "labels", "pages", "embeddings", "conversations", "events", "lineitem", "benchmark", "orders", "customer", "supplier")
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A projection over the driver tables; Spark's array subscripts begin at 0."""
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by a key, for work a row that far exceeds its bytes: a small file is one split, whatever
+    its rows cost, and adaptive execution would put small shuffled parts together again unless their number is given."""
+    return table.repartition(4 * table.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, text: str, **keys: str) -> DataFrame:
+    """A projection over the driver tables; Spark's array subscripts begin at 0. Tables with a key are spread by it."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    used |= {t: spread(used[t], key) for t, key in keys.items()}
     for k in range(12):
         text = text.replace(f"{{i{k}}}", str(k))
     return spark.sql(text, **used)
