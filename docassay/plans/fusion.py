@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docassay.functions.text import split_reasons
 from docassay.operators import fusion, integrated, scoring
 from docassay.plans import projections as P
 from docassay.plans.registry import query
@@ -186,8 +187,9 @@ def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {P.TEXT_SQL}, r AS (SELECT label, doc_type, unnest(string_split(business_risk_reasons, '|')) AS reason FROM text WHERE business_risk_reasons <> '')
 SELECT label, doc_type, reason, count(*) AS n FROM r GROUP BY ALL""")
 def text_reasons_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.text(spark, sf_dir).where("business_risk_reasons <> ''")
-    return rows.select("label", "doc_type", F.explode(F.split("business_risk_reasons", r"\|")).alias("reason")).groupBy("label", "doc_type", "reason").agg(F.count("*").alias("n"))
+    """Equal sets of reasons are counted before they are split; a filter or a split of the rows would read the texts again."""
+    sets = P.text(spark, sf_dir).groupBy("label", "doc_type", "business_risk_reasons").agg(F.count("*").alias("n"))
+    return sets.select("label", "doc_type", "n", F.explode(split_reasons("business_risk_reasons")).alias("reason")).groupBy("label", "doc_type", "reason").agg(F.sum("n").alias("n"))
 
 
 INTEGRATED_SQL = f"""WITH {EVIDENCE_SQL},

@@ -92,3 +92,11 @@ def test_similarity_by_blocks(spark):
     rows = [("abcd", "xxabcdxx", 1.0), ("abc", "abc", 0.0), ("abcdef", "abcxef", 2 * 5 / 12), ("", "abcd", 0.0)]
     df = spark.createDataFrame(rows, "a string, b string, want double")
     assert all(abs(r[0] - r[1]) < 1e-9 for r in df.select(seals.partial_similarity("a", "b"), "want").collect())
+
+
+def test_reasons_are_counted_without_reading_texts_again(spark, tmp_path):
+    from docassay.plans import fusion
+
+    spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = fusion.text_reasons_by_group(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
