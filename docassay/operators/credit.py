@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.functions.text import compact, half_width
+from docassay.functions.text import compact, half_width, let
 
 # How reports write dates, numbers and the labels before a date.
 DATE = r"((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](3[01]|[12]\d|0?[1-9])(?:日)?(?:[T\s]*([01]?\d|2[0-3])[:：]([0-5]\d)(?:[:：]([0-5]\d))?)?"
@@ -44,11 +44,6 @@ def timestamp_of(raw: Column) -> Column:
     return F.rtrim(usual, F.lit(" :")).try_cast("timestamp")
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def report_dates(page: Column) -> Column:
     """(any, exact): the dates as written after the first label of a cover page; a report time counts before a report
     date; exact ones have seconds."""

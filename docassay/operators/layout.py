@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.functions.text import SIGNED_FLOW, squeeze
+from docassay.functions.text import SIGNED_FLOW, let, squeeze
 
 
 def lines_of(words: DataFrame, key: str = "document_id", height: float = 6.0) -> DataFrame:
@@ -18,13 +18,54 @@ def lines_of(words: DataFrame, key: str = "document_id", height: float = 6.0) ->
     return by.select(key, "page", "band", text.alias("text"), F.col("x0").alias("x_min"), F.col("y0").alias("y_min"), F.col("x1").alias("x_max"), F.col("y1").alias("y_max")).where("text <> ''")
 
 
+def runs(items: Column, key) -> Column:
+    """Neighbours of equal key as arrays."""
+
+    def cut(own: Column) -> Column:
+        first = F.filter(F.transform(own, lambda x, i: F.when((i == 0) | ~key(x).eqNullSafe(key(F.get(own, i - 1))), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda a, k: F.slice(own, a + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - a)))
+
+    return let(items, cut)
+
+
+def joined(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
+def lines_within(boxes: Column, height: float = 6.0) -> Column:
+    """lines_of for the word boxes (page, seq, text, x_min, y_min, x_max, y_max) of one document as an array, within its
+    row: words are neither exploded nor shuffled."""
+    banded = F.transform(boxes, lambda b: F.struct(b["page"].alias("page"), F.bround(b["y_min"] / height).cast("int").alias("band"), *(b[c].alias(c) for c in ("x_min", "seq", "text", "y_min", "x_max", "y_max"))))
+    edge = lambda ws, f, c: f(F.transform(ws, lambda w: w[c])).alias(c)
+    line = lambda ws: F.struct(ws[0]["page"].alias("page"), ws[0]["band"].alias("band"), squeeze(joined(ws)).alias("text"), edge(ws, F.array_min, "x_min"), edge(ws, F.array_min, "y_min"), edge(ws, F.array_max, "x_max"), edge(ws, F.array_max, "y_max"))
+    return F.filter(F.transform(runs(F.sort_array(banded), lambda w: F.struct(w["page"], w["band"])), line), lambda x: x["text"] != "")
+
+
+def line_label(number: Column, block: Column, paragraph: Column, y: Column, height: float) -> Column:
+    """The recogniser's line, else one by height."""
+    own = F.coalesce(F.nullif(number.cast("string"), F.lit("")), F.lit(""))
+    return F.when(own != "", F.concat_ws("/", block.cast("string"), paragraph.cast("string"), own)).otherwise(F.concat(F.lit("y"), F.bround(y / height).cast("string")))
+
+
+def page_text_within(boxes: Column, page_count: Column, height: float = 18.0) -> Column:
+    """page_text for the word boxes (page, seq, text, x, y, line_num, block_num, par_num) of one document as an array,
+    within its row."""
+    labelled = F.transform(boxes, lambda b: F.struct(b["page"].alias("page"), line_label(b["line_num"], b["block_num"], b["par_num"], b["y"], height).alias("line"), *(b[c].alias(c) for c in ("x", "seq", "text", "y"))))
+    least = lambda ws, c: F.array_min(F.transform(ws, lambda w: w[c])).alias(c)
+    line = lambda ws: F.struct(ws[0]["page"].alias("page"), least(ws, "y"), least(ws, "x"), ws[0]["line"].alias("line"), F.trim(joined(ws)).alias("text"))
+    lines = F.filter(F.transform(runs(F.sort_array(labelled), lambda w: F.struct(w["page"], w["line"])), line), lambda x: x["text"] != "")
+    page = lambda ls: F.struct(ls[0]["page"].alias("page"), F.array_join(F.transform(ls, lambda x: x["text"]), "\n").alias("text"))
+    every = F.transform(runs(F.sort_array(lines), lambda x: F.struct(x["page"])), page)
+    filled = let(every, lambda ps: F.transform(F.sequence(F.lit(1), page_count), lambda n: F.coalesce(F.get(F.filter(ps, lambda p: p["page"] == n), F.lit(0))["text"], F.lit(""))))
+    return F.when(page_count > 0, F.array_join(filled, "\n\f\n"))
+
+
 def page_text(words: DataFrame, pages: DataFrame, key: str = "document_id", height: float = 18.0) -> DataFrame:
     """A document's text: lines by the recogniser's line number, else by height; blank pages keep their place.
 
     pages gives page_count of each key.
     """
-    own = F.coalesce(F.nullif(F.col("line_num").cast("string"), F.lit("")), F.lit(""))
-    line = F.when(own != "", F.concat_ws("/", F.col("block_num").cast("string"), F.col("par_num").cast("string"), own)).otherwise(F.concat(F.lit("y"), F.bround(F.col("y") / height).cast("string")))
+    line = line_label(F.col("line_num"), F.col("block_num"), F.col("par_num"), F.col("y"), height)
     lines = words.groupBy(key, "page", line.alias("line")).agg(F.min("y").alias("y"), F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x", "seq", "text"))).alias("w"))
     lines = lines.select(key, "page", "y", "x", "line", F.trim(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("text")).where("text <> ''")
     by_page = lines.groupBy(key, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "line", "text"))), lambda s: s["text"]), "\n").alias("text"))
@@ -72,11 +113,20 @@ def marker_flags(words: DataFrame, tokens: tuple[str, ...], key: str = "document
     """Documents in whose words, put together in order, one of the tokens occurs."""
     from docassay.functions.text import tokens_in
 
-    blob = words.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ").alias("blob"))
+    blob = words.groupBy(key).agg(joined(F.array_sort(F.collect_list(F.struct("seq", "text")))).alias("blob"))
     hit = blob.select(key, F.array_sort(F.array_distinct(tokens_in("blob", tokens))).alias("hits"))
     return hit.select(key, (F.size("hits") > 0).cast("int").alias("marker_flag"), F.array_join("hits", ";").alias("marker_tokens"))
 
 
+def markers_within(boxes: Column, tokens: tuple[str, ...]) -> Column:
+    """(marker_flag, marker_tokens) of marker_flags for the words (seq, text) of one document as an array, within its row."""
+    from docassay.functions.text import tokens_in
+
+    blob = joined(F.sort_array(F.transform(boxes, lambda b: F.struct(b["seq"].alias("seq"), b["text"].alias("text")))))
+    hits = let(F.lower(blob), lambda low: F.array_sort(F.array_distinct(tokens_in(low, tokens))))
+    return let(hits, lambda h: F.struct((F.size(h) > 0).cast("int").alias("marker_flag"), F.array_join(h, ";").alias("marker_tokens")))
+
+
 def documents_of_pages(pages: DataFrame, key: str, metrics: list[str], score: str, page: str = "page") -> DataFrame:
     """Pages to documents: maxima of metrics, the rest of the page of highest score (the first of equals), page count."""
     rest = [c for c in pages.columns if c not in (key, *metrics)]

@@ -94,6 +94,42 @@ def test_similarity_by_blocks(spark):
     assert all(abs(r[0] - r[1]) < 1e-9 for r in df.select(seals.partial_similarity("a", "b"), "want").collect())
 
 
+def as_rows(df):
+    return sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_lines_and_pages_within_a_row_are_those_of_boxes(spark):
+    boxes = spark.range(400).selectExpr(
+        "concat('d', id % 3) document_id", "cast(1 + 2 * (hash(id) % 2) as int) page", "id * 7 % 400 seq", "case id % 9 when 0 then '' when 1 then ' ' when 2 then 'Token' else concat('w', id) end text",
+        "cast(id % 5 as double) x_min", "id % 5 + 3.0d x_max", "cast(id % 50 as double) y_min", "id % 50 + 5.0d y_max", "case id % 4 when 0 then '2' when 1 then '' end line_num", "cast(id % 2 as string) block_num", "'1' par_num",
+    )
+    rows = boxes.groupBy("document_id").agg(F.collect_list(F.struct(*boxes.columns)).alias("b"))
+    lines = rows.select("document_id", F.explode(layout.lines_within(F.col("b"))).alias("l")).select("document_id", "l.*")
+    assert as_rows(lines) == as_rows(layout.lines_of(boxes)) != []
+    named = boxes.withColumnsRenamed({"x_min": "x", "y_min": "y"})
+    rows = named.groupBy("document_id").agg(F.collect_list(F.struct(*named.columns)).alias("b"))
+    for count in (0, 2, 4):
+        text = rows.select("document_id", layout.page_text_within(F.col("b"), F.lit(count)).alias("text")).where("text is not null")
+        assert as_rows(text) == as_rows(layout.page_text(named, rows.select("document_id", F.lit(count).alias("page_count"))))
+    marks = rows.select("document_id", layout.markers_within(F.col("b"), ("token", "w1", "none")).alias("m")).select("document_id", "m.*")
+    assert as_rows(marks) == as_rows(layout.marker_flags(named, ("token", "w1", "none"))) != []
+
+
+def test_words_of_documents_are_not_shuffled(spark, tmp_path):
+    from docassay.plans import text as plans
+
+    texts = [(1, "b a\n" * 900), (2, None), (3, " \n "), (4, "secret Token"), (4, "other words"), (5, "one")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = plans.documents(spark, str(tmp_path)).select("document_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("pos", "word"))
+    words = spark.sql(f"{plans.WORDS} FROM {{w}}", w=words)
+    found = {q: getattr(plans, q)(spark, str(tmp_path)) for q in ("line_rebuild", "page_text", "marker_tokens")}
+    assert as_rows(found["line_rebuild"]) == as_rows(layout.lines_of(words))
+    assert as_rows(found["marker_tokens"]) == as_rows(layout.marker_flags(words, ("token", "secret", "license")))
+    assert [r["document_id"] for r in found["page_text"].orderBy("document_id").collect()] == ["doc_000001", "doc_000004", "doc_000005"]
+    for df in found.values():
+        assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reasons_are_counted_without_reading_texts_again(spark, tmp_path):
     from docassay.plans import fusion
 
