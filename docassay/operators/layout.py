@@ -18,11 +18,17 @@ def lines_of(words: DataFrame, key: str = "document_id", height: float = 6.0) ->
     return by.select(key, "page", "band", text.alias("text"), F.col("x0").alias("x_min"), F.col("y0").alias("y_min"), F.col("x1").alias("x_max"), F.col("y1").alias("y_max")).where("text <> ''")
 
 
-def runs(items: Column, key) -> Column:
-    """Neighbours of equal key as arrays."""
+def runs(items: Column, *key: str) -> Column:
+    """Neighbours that are equal in some fields, as arrays. Fields are compared one by one: no struct is made for a key."""
 
     def cut(own: Column) -> Column:
-        first = F.filter(F.transform(own, lambda x, i: F.when((i == 0) | ~key(x).eqNullSafe(key(F.get(own, i - 1))), i)), lambda i: i.isNotNull())
+        def starts(x: Column, i: Column) -> Column:
+            new = i == 0
+            for c in key:
+                new = new | ~x[c].eqNullSafe(F.get(own, i - 1)[c])
+            return F.when(new, i)
+
+        first = F.filter(F.transform(own, starts), lambda i: i.isNotNull())
         return let(first, lambda at: F.transform(at, lambda a, k: F.slice(own, a + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - a)))
 
     return let(items, cut)
@@ -38,24 +44,27 @@ def lines_within(boxes: Column, height: float = 6.0) -> Column:
     banded = F.transform(boxes, lambda b: F.struct(b["page"].alias("page"), F.bround(b["y_min"] / height).cast("int").alias("band"), *(b[c].alias(c) for c in ("x_min", "seq", "text", "y_min", "x_max", "y_max"))))
     edge = lambda ws, f, c: f(F.transform(ws, lambda w: w[c])).alias(c)
     line = lambda ws: F.struct(ws[0]["page"].alias("page"), ws[0]["band"].alias("band"), squeeze(joined(ws)).alias("text"), edge(ws, F.array_min, "x_min"), edge(ws, F.array_min, "y_min"), edge(ws, F.array_max, "x_max"), edge(ws, F.array_max, "y_max"))
-    return F.filter(F.transform(runs(F.sort_array(banded), lambda w: F.struct(w["page"], w["band"])), line), lambda x: x["text"] != "")
+    return F.filter(F.transform(runs(F.sort_array(banded), "page", "band"), line), lambda x: x["text"] != "")
+
 
+def page_text_within(boxes: Column, page_count: Column, height: float = 18.0, x: str = "x", y: str = "y", numbered: bool = True) -> Column:
+    """page_text for the word boxes (page, seq, text, x, y, and line_num, block_num, par_num if numbered) of one document as
+    an array, within its row. Lines by height are named once each, not for every word."""
 
-def line_label(number: Column, block: Column, paragraph: Column, y: Column, height: float) -> Column:
-    """The recogniser's line, else one by height."""
-    own = F.coalesce(F.nullif(number.cast("string"), F.lit("")), F.lit(""))
-    return F.when(own != "", F.concat_ws("/", block.cast("string"), paragraph.cast("string"), own)).otherwise(F.concat(F.lit("y"), F.bround(y / height).cast("string")))
+    def banded(b: Column) -> Column:
+        number = F.nullif(b["line_num"].cast("string"), F.lit("")) if numbered else F.lit(None).cast("string")
+        band = F.bround(b[y] / height)
+        return F.struct(b["page"].alias("page"), number_label(number, b).alias("label") if numbered else number.alias("label"), (F.when(number.isNull(), band) if numbered else band).alias("band"), b[x].alias("x"), b["seq"].alias("seq"), b["text"].alias("text"), b[y].alias("y"))
 
+    def number_label(number: Column, b: Column) -> Column:
+        return F.when(number.isNotNull(), F.concat_ws("/", b["block_num"].cast("string"), b["par_num"].cast("string"), number))
 
-def page_text_within(boxes: Column, page_count: Column, height: float = 18.0) -> Column:
-    """page_text for the word boxes (page, seq, text, x, y, line_num, block_num, par_num) of one document as an array,
-    within its row."""
-    labelled = F.transform(boxes, lambda b: F.struct(b["page"].alias("page"), line_label(b["line_num"], b["block_num"], b["par_num"], b["y"], height).alias("line"), *(b[c].alias(c) for c in ("x", "seq", "text", "y"))))
     least = lambda ws, c: F.array_min(F.transform(ws, lambda w: w[c])).alias(c)
-    line = lambda ws: F.struct(ws[0]["page"].alias("page"), least(ws, "y"), least(ws, "x"), ws[0]["line"].alias("line"), F.trim(joined(ws)).alias("text"))
-    lines = F.filter(F.transform(runs(F.sort_array(labelled), lambda w: F.struct(w["page"], w["line"])), line), lambda x: x["text"] != "")
+    name = lambda w: F.coalesce(w["label"], F.concat(F.lit("y"), w["band"].cast("string")))
+    line = lambda ws: F.struct(ws[0]["page"].alias("page"), least(ws, "y"), least(ws, "x"), name(ws[0]).alias("line"), F.trim(joined(ws)).alias("text"))
+    lines = F.filter(F.transform(runs(F.sort_array(F.transform(boxes, banded)), "page", "label", "band"), line), lambda s: s["text"] != "")
     page = lambda ls: F.struct(ls[0]["page"].alias("page"), F.array_join(F.transform(ls, lambda x: x["text"]), "\n").alias("text"))
-    every = F.transform(runs(F.sort_array(lines), lambda x: F.struct(x["page"])), page)
+    every = F.transform(runs(F.sort_array(lines), "page"), page)
     filled = let(every, lambda ps: F.transform(F.sequence(F.lit(1), page_count), lambda n: F.coalesce(F.get(F.filter(ps, lambda p: p["page"] == n), F.lit(0))["text"], F.lit(""))))
     return F.when(page_count > 0, F.array_join(filled, "\n\f\n"))
 
@@ -65,7 +74,8 @@ def page_text(words: DataFrame, pages: DataFrame, key: str = "document_id", heig
 
     pages gives page_count of each key.
     """
-    line = line_label(F.col("line_num"), F.col("block_num"), F.col("par_num"), F.col("y"), height)
+    own = F.coalesce(F.nullif(F.col("line_num").cast("string"), F.lit("")), F.lit(""))
+    line = F.when(own != "", F.concat_ws("/", F.col("block_num").cast("string"), F.col("par_num").cast("string"), own)).otherwise(F.concat(F.lit("y"), F.bround(F.col("y") / height).cast("string")))
     lines = words.groupBy(key, "page", line.alias("line")).agg(F.min("y").alias("y"), F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x", "seq", "text"))).alias("w"))
     lines = lines.select(key, "page", "y", "x", "line", F.trim(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("text")).where("text <> ''")
     by_page = lines.groupBy(key, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "line", "text"))), lambda s: s["text"]), "\n").alias("text"))
